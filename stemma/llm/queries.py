@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import bradley_terry, decontaminate, license_scan, minhash_forest, quality_rules
 from .piece_bpe import encode_digests
 from .token_counts import count_tokens
 from .token_files import token_file_digests
@@ -21,6 +21,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = bradley_terry.train(docs, "doc_id", "text", labels, "quality", ~held_out)
+    scored = bradley_terry.score(docs, "doc_id", "text", model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), "text", "lang", "source", ["doc_id"])
 
@@ -34,6 +46,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(documents(spark, sf_dir), "doc_id", "text"), "doc_id")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call starts with an empty cache of its own, so that it counts all distinct texts."""
     cache = Workspace(spark, "token-counts").path("cache")
@@ -41,5 +57,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_piece_bpe, op6_token_files, op9_token_counts)}
+def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op5_piece_bpe, op6_token_files, op7_license_scan, op9_token_counts, op10_minhash_forest)}
 SQL: dict[str, str] = {}
