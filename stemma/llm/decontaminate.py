@@ -74,7 +74,7 @@ def _templated(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _slots(templated: DataFrame) -> DataFrame:
     """id, version, pos, kind, value of each placeholder."""
-    at = templated.select("id", "version", F.posexplode(F.arrays_zip("template", "tokens")).alias("pos", "x"))
+    at = templated.select("id", "version", F.posexplode_outer(F.arrays_zip("template", "tokens")).alias("pos", "x"))
     return at.where(F.col("x.template").isin("#", "@", "%")).select("id", "version", "pos", F.col("x.template").alias("kind"), F.lower("x.tokens").alias("value"))
 
 
@@ -85,11 +85,12 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     bench = _templated(items, item_key, item_text).dropDuplicates(["id", "version"])
     bench = work.save(bench.withColumn("windows", _windows("template")), "items")
     filled = F.size(F.filter(F.slice("template", F.col("ipos") + 1, WINDOW), lambda t: t.isin("#", "@", "%")))
-    spread = bench.select(F.col("id").alias("item"), F.col("version").alias("iversion"), "template", F.size("windows").alias("n_windows"), F.posexplode("windows").alias("ipos", "hash"))
+    spread = bench.select(F.col("id").alias("item"), F.col("version").alias("iversion"), "template", F.size("windows").alias("n_windows"), F.posexplode_outer("windows").alias("ipos", "hash"))
     spread = work.save(spread.where(filled <= WINDOW // 2).select("item", "iversion", "n_windows", "ipos", "hash"), "windows")
     small = spread.count() <= BROADCAST_WINDOWS
     theirs = _templated(docs, key, text).withColumn("windows", _windows("template"))
-    theirs = theirs.select("id", "version", F.posexplode("windows").alias("pos", "hash"))
+    theirs = theirs.select("id", "version", F.posexplode_outer("windows").alias("pos", "hash"))
+    # Outer explosion: Spark infers a filter from the inner one and would push it, with the whole template, below.
     met = theirs.join(F.broadcast(spread) if small else spread, "hash")
     group = ["id", "version", "item", "iversion", (F.col("pos") - F.col("ipos")).alias("diagonal")]
     passages = met.groupBy(*group).agg(F.count(F.lit(1)).alias("n_matched"), F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.first("n_windows").alias("n_windows"))
