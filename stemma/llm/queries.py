@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bradley_terry, decontaminate, license_scan, minhash_forest, quality_rules
+from . import bradley_terry, decontaminate, license_scan, minhash_forest, passages, quality_rules
 from .piece_bpe import encode_digests
 from .token_counts import count_tokens
 from .token_files import token_file_digests
@@ -50,6 +50,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(documents(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id repeats words [start, stop) of an earlier document, source_id."""
+    found = passages.find_passages(documents(spark, sf_dir), "doc_id", "text")
+    return found.withColumnsRenamed({"key": "doc_id", "source": "source_id"})
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call starts with an empty cache of its own, so that it counts all distinct texts."""
     cache = Workspace(spark, "token-counts").path("cache")
@@ -61,5 +67,5 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op5_piece_bpe, op6_token_files, op7_license_scan, op9_token_counts, op10_minhash_forest)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op5_piece_bpe, op6_token_files, op7_license_scan, op8_passages, op9_token_counts, op10_minhash_forest)}
 SQL: dict[str, str] = {}
