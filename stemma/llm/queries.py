@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bradley_terry, decontaminate, license_scan, minhash_forest, passages, quality_rules
+from . import bradley_terry, decontaminate, license_scan, minhash_forest, passages, quality_rules, suffix_dedup
 from .piece_bpe import encode_digests
 from .token_counts import count_tokens
 from .token_files import token_file_digests
@@ -37,6 +37,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir), "text", "lang", "source", ["doc_id"])
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(documents(spark, sf_dir), "doc_id", "text")
+
+
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
         return encode_digests(documents(spark, sf_dir), "doc_id", "text", f.read())
@@ -67,5 +71,5 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op5_piece_bpe, op6_token_files, op7_license_scan, op8_passages, op9_token_counts, op10_minhash_forest)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op4_suffix_dedup, op5_piece_bpe, op6_token_files, op7_license_scan, op8_passages, op9_token_counts, op10_minhash_forest)}
 SQL: dict[str, str] = {}
