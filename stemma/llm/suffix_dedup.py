@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import fill, flat, slices
+from .arrow_text import fill, flat, lean, slices
 from .induced_sort import permuted_common_prefixes, suffix_array
 from .sieve import minimizers, texts_of
 from .words import mix, powers
@@ -80,6 +80,7 @@ def segments_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 SEGMENTS = "key long, lo int, n int, anchor long, digest long, off int"
 
 
+@lean
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = fill(batch.column(1))
@@ -93,6 +94,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(text)), pa.array((lo + a).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(digest), pa.array(off.astype(np.int32))], [x.split()[0] for x in SEGMENTS.split(", ")])
 
 
+@lean
 def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the bytes of each distinct segment from the text that its row carries (last column)."""
     last, raw = None, b""
@@ -127,6 +129,7 @@ def repeated_windows(segments: list[bytes], windows: np.ndarray, times: np.ndarr
 MASKS = "anchor long, digest long, n int, mask binary"
 
 
+@lean
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group in; a shard ends between groups."""
     names = ("group", "anchor", "digest", "n", "times", "off", "bytes", "part")
@@ -156,6 +159,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+@lean
 def _split_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Deals the segments of an anchor that fills more than a shard by bytes beside the anchor.
 
@@ -228,6 +232,7 @@ def repeated_runs(docs: DataFrame, key: str, text: str, work: Workspace) -> Data
     return runs
 
 
+@lean
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _runs(batches)
 
