@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as T
 from .operators import expand, kwic, relations as R, search as S, similar, stats, versions
+from .sources.markup import html_text
 from .streaming.visits import daily_counts as daily
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,6 +608,11 @@ def similar_passages(spark, sf):
     return similar.similar(chunks, "doc_id", "content", item)
 
 
+@query()
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
 @query()
 def segment_words(spark, sf):
     words = [r.w for r in table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().collect()]  # a dictionary of words
