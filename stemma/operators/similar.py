@@ -71,12 +71,16 @@ def align(query: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([smith_waterman(q or "", t or "") for q, t in zip(query, text)], columns=["score", "highlight"])
 
 
+align = align.asNondeterministic()  # else a filter on its score runs it a second time
+
+
 def similar(rows: DataFrame, key: str, content: str, query: str, k: int = 500, least: int = 16) -> DataFrame:
     """Chunks like the query but without it, by falling score; of neighbouring chunks with one marked text the first.
 
     A match that touches its chunk's edge is dropped, except at the start or end of the text.
     """
     found = candidates(rows, content, query, k, tie=(key, "chunk")).where(~F.contains(F.col(content), F.lit(query)))
+    found = found.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a limit leaves one partition
     found = found.withColumn("a", align(F.lit(query), F.col(content))).select(key, "chunk", "tag", content, "a.score", "a.highlight").where(F.col("score") >= least)
     inside = (~F.startswith("highlight", F.lit("<mark>")) | ((F.col("tag") == "start") | (F.col("chunk") == 0))) & (~F.endswith("highlight", F.lit("</mark>")) | (F.col("tag") == "end"))
     marked = F.array_join(F.regexp_extract_all("highlight", F.lit("<mark>(.*?)</mark>"), F.lit(1)), "")
