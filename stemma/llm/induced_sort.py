@@ -18,15 +18,12 @@ PREFIX_CAP = 400  # common prefixes are told up to this length
 def _types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last counts as smaller."""
     n = len(t)
-    change = np.flatnonzero(t[1:] != t[:-1])
+    up, level = t[:-1] < t[1:], t[:-1] == t[1:]
+    # Equal symbols take the type of the next place where symbols differ.
+    at = np.where(level, n, np.arange(n - 1))
+    at = np.minimum.accumulate(at[::-1])[::-1]
     s = np.ones(n, bool)
-    if len(change):
-        after = np.searchsorted(change, np.arange(n - 1))
-        open_end = after == len(change)
-        at = change[np.minimum(after, len(change) - 1)]
-        s[:-1] = np.where(open_end, False, t[at] < t[np.minimum(at + 1, n - 1)])
-    else:
-        s[:-1] = False
+    s[:-1] = np.r_[up, False][np.minimum(at, n - 1)]
     return s
 
 
@@ -37,7 +34,7 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
     ends = np.cumsum(counts)
     heads = ends - counts
     lms_counts = np.bincount(t[lms], minlength=k)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms_ends = np.cumsum(lms_counts)
     symbol = t[lms]
     sa[ends[symbol] - lms_ends[symbol] + np.arange(len(lms))] = lms
@@ -45,14 +42,20 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
 
     def append(pred: np.ndarray, sign: int, at: np.ndarray) -> None:
         symbols = t[pred]
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols, kind="stable")  # a radix sort for 16-bit symbols
         symbols, pred = symbols[order], pred[order]
         first = np.r_[True, symbols[1:] != symbols[:-1]] if len(symbols) else np.zeros(0, bool)
         starts = np.flatnonzero(first)
-        rank = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.r_[starts, len(symbols)]))
-        sa[at[symbols] + sign * rank - (sign < 0)] = pred
+        sizes = np.diff(np.r_[starts, len(symbols)])
         distinct = symbols[starts]
-        at[distinct] += sign * np.diff(np.r_[starts, len(symbols)])
+        if sign > 0:
+            for c, i, k in zip(distinct.tolist(), starts.tolist(), sizes.tolist()):
+                sa[at[c] : at[c] + k] = pred[i : i + k]
+                at[c] += k
+        else:
+            for c, i, k in zip(distinct.tolist(), starts.tolist(), sizes.tolist()):
+                sa[at[c] - k : at[c]] = pred[i : i + k][::-1]
+                at[c] -= k
 
     for c in np.flatnonzero(counts).tolist():
         done = heads[c]
@@ -95,7 +98,7 @@ def _by_doubling(t: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: max(0, n - h)] = rank[h:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         fresh = np.r_[False, sorted_key[1:] != sorted_key[:-1]]
         rank[order] = np.cumsum(fresh)
@@ -107,6 +110,7 @@ def _by_doubling(t: np.ndarray) -> np.ndarray:
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """t: symbols below k, of which the last is 0 and occurs there alone."""
     n = len(t)
+    t = t.astype(np.uint16) if k < 1 << 16 else t
     if n == 1:
         return np.zeros(1, np.int64)
     s = _types(t)

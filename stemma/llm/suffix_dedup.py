@@ -181,32 +181,48 @@ def _split_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["group", "anchor", "digest", "n", "times", "off", "bytes", "part", "whole"])
 
 
+def _covered(key: np.ndarray, lo: np.ndarray, n: np.ndarray, masks: pa.Array) -> pa.RecordBatch:
+    """For each key (rows sorted by key, lo) the maximal byte runs that its repeated windows cover."""
+    masks = masks.combine_chunks() if isinstance(masks, pa.ChunkedArray) else masks
+    ends = np.frombuffer(masks.buffers()[1], np.int32)[masks.offset : masks.offset + len(masks) + 1].astype(np.int64)
+    flags = np.unpackbits(np.frombuffer(masks.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    at = np.flatnonzero(flags)
+    row = np.searchsorted(8 * (ends[1:] - ends[0]), at, side="right")
+    start = lo[row] + at - 8 * (ends[row] - ends[0])
+    who = key[row]
+    fresh = np.r_[True, (who[1:] != who[:-1]) | (start[1:] - start[:-1] > LENGTH)]
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:], len(at)] - 1
+    owner = who[first]
+    bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    offsets = pa.array(np.r_[bounds, len(owner)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start[first], start[last] + LENGTH)]
+    return pa.RecordBatch.from_arrays([pa.array(owner[bounds]), *lists], ["key", "starts", "stops"])
+
+
+@lean
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, lo) in: lo, n, mask; for each key the maximal byte runs that repeated windows cover."""
-    now, starts, stops = None, [], []
+    """Rows sorted by (key, lo) in; a key's rows are held until the next key comes."""
+    held: list[pa.RecordBatch] = []
 
-    def out(rows):
-        keys, a, b = list(zip(*rows)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], ["key", "starts", "stops"])
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        column = lambda i: t.column(i).to_numpy()
+        return _covered(column(0), column(1).astype(np.int64), column(2), t.column(3))
 
     for batch in batches:
-        rows = []
-        for key, lo, n, mask in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            if key != now:
-                if now is not None:
-                    rows.append((now, starts, stops))
-                now, starts, stops = key, [], []
-            flags = np.unpackbits(np.frombuffer(mask, np.uint8), count=n)
-            edges = np.flatnonzero(np.diff(np.r_[0, flags, 0]))
-            for a, b in zip((edges[::2] + lo).tolist(), (edges[1::2] + lo + LENGTH - 1).tolist()):
-                if stops and a <= stops[-1]:
-                    stops[-1] = max(b, stops[-1])
-                else:
-                    starts.append(a)
-                    stops.append(b)
-        yield out(rows)
-    if now is not None:
-        yield out([(now, starts, stops)])
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # keys ascend
+        if held and (cut or held[-1].column(0)[0].as_py() != keys[0]):
+            yield done([*held, batch.slice(0, cut)] if cut else held)
+            held = []
+        elif cut:
+            yield done([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield done(held)
 
 
 def repeated_runs(docs: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
@@ -214,9 +230,9 @@ def repeated_runs(docs: DataFrame, key: str, text: str, work: Workspace) -> Data
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.octet_length("text") >= LENGTH))
     plain = plain if not _several(plain) else plain.distinct()
     found = work.save(plain.mapInArrow(_segments, SEGMENTS), "segments")
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    often = work.save(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")  # a table, so that the join can be split where skewed
     places = work.save(found.join(often, "anchor", "left_semi"), "places")
-    work.drop("segments")
+    work.drop("segments", "often")
     distinct = places.groupBy("anchor", "digest", "n").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("key"), F.min_by("lo", "key").alias("lo"), F.min("off").alias("off"))
     distinct = work.save(distinct, "distinct")
     hot = distinct.groupBy("anchor").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("size")).where(F.col("size") > SHARD).select("anchor", F.lit(True).alias("hot"))
@@ -227,16 +243,11 @@ def repeated_runs(docs: DataFrame, key: str, text: str, work: Workspace) -> Data
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     masks = work.save(dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_shards, MASKS), "masks")
     back = places.join(masks, ["anchor", "digest", "n"]).select("key", "lo", "n", "mask")
-    runs = work.save(back.repartition(n, "key").sortWithinPartitions("key", "lo").mapInArrow(_merged, "key long, starts array<int>, stops array<int>"), "runs")
+    runs = work.save(back.repartition(n, "key").sortWithinPartitions("key", "lo").mapInArrow(_runs, "key long, starts array<int>, stops array<int>"), "runs")
     work.drop("places", "distinct", "masks")
     return runs
 
 
-@lean
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _runs(batches)
-
-
 def _several(plain: DataFrame) -> bool:
     return not plain.groupBy("key").count().where("count > 1").isEmpty()
 
