@@ -17,16 +17,12 @@ def chunks(docs: DataFrame, key: str, content: str, block: int = BLOCK) -> DataF
     return rows.select(key, "chunk", tag.alias("tag"), F.substring("_t", F.col("chunk") * block + 1, F.lit(2 * block)).alias("content"))
 
 
-def grams(c: Column, n: int = 2) -> Column:
-    return F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
-
-
 def candidates(rows: DataFrame, content: str, query: str, k: int = 500, share: float = 0.5, tie: tuple[str, ...] = ()) -> DataFrame:
     """The k rows with the most of the query's bigrams, of those that have the given share of its characters."""
     chars = list(dict.fromkeys(query.replace(" ", "")))
     held = sum((F.contains(F.col(content), F.lit(c)).cast("int") for c in chars), F.lit(0))
     wanted = list(dict.fromkeys(query[i : i + 2] for i in range(len(query) - 1)))
-    score = F.size(F.array_intersect(grams(F.col(content)), F.array(*map(F.lit, wanted)))) if wanted else F.lit(0)
+    score = sum((F.contains(F.col(content), F.lit(g)).cast("int") for g in wanted), F.lit(0))
     return rows.where(held >= share * len(chars)).withColumn("rank_score", score).orderBy(F.desc("rank_score"), *tie).limit(k)
 
 
