@@ -21,24 +21,24 @@ def positions(text: Column, q: str) -> Column:
     return F.when(F.size(parts) > 1, walk).otherwise(F.array().cast("array<int>"))
 
 
-def occurrences(docs: DataFrame, key: str, content: str, keywords: str | Sequence[str]) -> DataFrame:
-    """key, content, keyword, pos: one row for each place of each keyword ('a,b' is two of them)."""
+def occurrences(docs: DataFrame, key: str, content: str, keywords: str | Sequence[str], around: int = 20) -> DataFrame:
+    """key, keyword, pos, left, right: one row for each place of each keyword ('a,b' is two of them).
+
+    The contexts of `around` characters are taken before the places are exploded, so no row carries its whole text.
+    """
     words = keywords.split(",") if isinstance(keywords, str) else list(keywords)
-    column = F.col(content)
-    held = docs.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(column, w)))
+    text = F.col(content)
+    held = docs.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
 
     def of(word: str) -> Column:
-        return F.transform(positions(column, word), lambda p: F.struct(F.lit(word).alias("keyword"), p.alias("pos")))
-
-    each = F.flatten(F.array(*map(of, words)))
-    return held.select(key, content, F.explode_outer(each).alias("o")).where(F.col("o").isNotNull()).select(key, content, "o.keyword", "o.pos")
+        def place(p: Column) -> Column:
+            start = F.greatest(F.lit(1), p - around)
+            return F.struct(F.lit(word).alias("keyword"), p.alias("pos"), F.substring(text, start, p - start).alias("left"), F.substring(text, p + len(word), F.lit(around)).alias("right"))
 
+        return F.transform(positions(text, word), place)
 
-def context(found: DataFrame, content: str, around: int) -> DataFrame:
-    """Adds left and right: characters before and behind the keyword."""
-    text, pos, size = F.col(content), F.col("pos"), F.length("keyword")
-    start = F.greatest(F.lit(1), pos - around)
-    return found.withColumns({"left": F.substring(text, start, pos - start), "right": F.substring(text, pos + size, F.lit(around))})
+    each = F.flatten(F.array(*map(of, words)))
+    return held.select(key, F.explode_outer(each).alias("o")).where(F.col("o").isNotNull()).select(key, "o.*")
 
 
 def concordance(found: DataFrame, sort: str, tie: Sequence[str]) -> DataFrame:
@@ -47,7 +47,7 @@ def concordance(found: DataFrame, sort: str, tie: Sequence[str]) -> DataFrame:
     return found.orderBy(*keys, *tie, "pos")
 
 
-def marked(found: DataFrame) -> Column:
+def marked() -> Column:
     return F.concat("left", F.lit("<mark>"), "keyword", F.lit("</mark>"), "right")
 
 
@@ -60,20 +60,21 @@ def with_punctuation(text: Column, offsets: Column, pos: Column, size: Column, a
     )
 
 
-def excluding(found: DataFrame, content: str, before: str = "", after: str = "") -> DataFrame:
-    """Drops places where the keyword stands behind `before` or in front of `after` (alternatives by commas)."""
-    text, pos, size = F.col(content), F.col("pos"), F.length("keyword")
+def excluding(found: DataFrame, before: str = "", after: str = "") -> DataFrame:
+    """Drops places where the keyword stands behind `before` or in front of `after` (alternatives by commas).
+
+    The contexts must be as long as the longest alternative.
+    """
     for part in filter(None, before.split(",")):
-        found = found.where((pos <= len(part)) | (F.substring(text, pos - len(part), F.lit(len(part))) != part))
+        found = found.where(~F.endswith("left", F.lit(part)))
     for part in filter(None, after.split(",")):
-        found = found.where(F.substring(text, pos + size, F.lit(len(part))) != part)
+        found = found.where(~F.startswith("right", F.lit(part)))
     return found
 
 
-def collocation(found: DataFrame, content: str, n: int, side: str = "after") -> DataFrame:
+def collocation(found: DataFrame, n: int, side: str = "after") -> DataFrame:
     """near, count: the n characters behind or before the keyword, by falling count."""
-    text, pos, size = F.col(content), F.col("pos"), F.length("keyword")
-    near = F.substring(text, pos + size, F.lit(n)) if side == "after" else F.substring(text, F.greatest(F.lit(1), pos - n), F.least(F.lit(n), pos - 1))
+    near = F.substring("right", 1, n) if side == "after" else F.right("left", F.lit(n))
     return found.select(near.alias("near")).where(F.length("near") > 0).groupBy("near").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "near")
 
 

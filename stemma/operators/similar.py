@@ -11,10 +11,12 @@ BLOCK = 50
 
 def chunks(docs: DataFrame, key: str, content: str, block: int = BLOCK) -> DataFrame:
     """key, chunk, tag, content: two neighbouring blocks each; the last block stands alone only if it is the only one."""
-    n = F.greatest(F.ceil(F.length(content) / block).cast("int") - 1, F.lit(1))
-    rows = docs.where(F.length(content) > 0).select(key, F.col(content).alias("_t"), n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    blocks = F.regexp_extract_all(F.col(content), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))  # one pass over the text
+    cut = docs.select(key, blocks.alias("_b")).withColumn("_n", F.greatest(F.size("_b") - 1, F.lit(1)))
+    joined = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.concat(F.get("_b", i), F.coalesce(F.get("_b", i + 1), F.lit(""))))
+    rows = cut.select(key, "_n", F.posexplode_outer(joined).alias("chunk", "content")).where(F.col("content").isNotNull())
     tag = F.when(F.col("chunk") == F.col("_n") - 1, "end").when(F.col("chunk") == 0, "start").otherwise("middle")
-    return rows.select(key, "chunk", tag.alias("tag"), F.substring("_t", F.col("chunk") * block + 1, F.lit(2 * block)).alias("content"))
+    return rows.select(key, "chunk", tag.alias("tag"), "content")
 
 
 def candidates(rows: DataFrame, content: str, query: str, k: int = 500, share: float = 0.5, tie: tuple[str, ...] = ()) -> DataFrame:

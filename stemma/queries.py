@@ -215,13 +215,13 @@ def places(q: str) -> str:
 
 @query(places("to be") + "select doc_id, cast(pos as int) pos, substr(c, greatest(1, pos-10), pos - greatest(1, pos-10)) as \"left\", substr(c, pos+5, 10) as \"right\" from h")
 def kwic_location(spark, sf):
-    found = kwic.context(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "to be"), "content", 10)
+    found = kwic.occurrences(corpus(spark, sf), "doc_id", "content", "to be", 10)
     return kwic.concordance(found, "location", ["doc_id"]).select("doc_id", "pos", "left", "right")
 
 
 @query(places("to be") + "select doc_id, cast(pos as int) pos, substr(c, pos+5, 20) as \"right\" from h order by substr(c, pos+5, 20), doc_id, pos limit 30")
 def kwic_forward(spark, sf):
-    found = kwic.context(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "to be"), "content", 20)
+    found = kwic.occurrences(corpus(spark, sf), "doc_id", "content", "to be", 20)
     return S.page(kwic.concordance(found, "f", ["doc_id"]), 0, 30).select("doc_id", "pos", "right")
 
 
@@ -230,7 +230,7 @@ def kwic_forward(spark, sf):
     'select doc_id, cast(pos as int) pos, l as "left" from k order by reverse(l), doc_id, pos limit 30'
 )
 def kwic_backward(spark, sf):
-    found = kwic.context(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "to be"), "content", 20)
+    found = kwic.occurrences(corpus(spark, sf), "doc_id", "content", "to be", 20)
     return S.page(kwic.concordance(found, "b", ["doc_id"]), 0, 30).select("doc_id", "pos", "left")
 
 
@@ -250,18 +250,18 @@ def kwic_keywords(spark, sf):
 
 @query(places("the") + "select doc_id, count(*) n from h where substr(c, pos+3, 1) <> 'r' and (pos = 1 or substr(c, pos-1, 1) <> 'o') group by 1")
 def kwic_exclude(spark, sf):
-    found = kwic.excluding(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "the"), "content", "o", "r")
+    found = kwic.excluding(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "the", 1), "o", "r")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(places("of the") + "select substr(c, pos+6, 3) near, count(*) as count from h where length(substr(c, pos+6, 3)) > 0 group by 1")
 def collocation_next(spark, sf):
-    return kwic.collocation(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "of the"), "content", 3)
+    return kwic.collocation(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "of the", 3), 3)
 
 
 @query(places("of the") + "select substr(c, greatest(1,pos-3), least(3,pos-1)) near, count(*) as count from h where pos > 1 group by 1")
 def collocation_prev(spark, sf):
-    return kwic.collocation(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "of the"), "content", 3, "before")
+    return kwic.collocation(kwic.occurrences(corpus(spark, sf), "doc_id", "content", "of the", 3), 3, "before")
 
 
 NEAR_SQL = (

@@ -31,8 +31,8 @@ def test_exclude(docs):
     found = {r.id: r.term_hits for r in S.match(docs, '"舍利" -"舍利弗"').collect()}
     assert found == {1: 1}
     assert {r.id: r.term_hits for r in S.match(docs, '"直心" -"正直心"').collect()} == {2: 1}
-    suffix = kwic.excluding(kwic.occurrences(docs, "id", "content", "舍利"), "content", after="弗")
-    prefix = kwic.excluding(kwic.occurrences(docs, "id", "content", "直心"), "content", before="正")
+    suffix = kwic.excluding(kwic.occurrences(docs, "id", "content", "舍利"), after="弗")
+    prefix = kwic.excluding(kwic.occurrences(docs, "id", "content", "直心"), before="正")
     assert [r.pos for r in suffix.collect()] == [4] and [r.pos for r in prefix.collect()] == [4]
 
 
@@ -54,7 +54,7 @@ def test_context_with_punctuation(docs):
     found = kwic.occurrences(docs, "id", "content", "心直").join(docs.select("id", "text"), "id")
     shown = kwic.with_punctuation(F.col("text"), T.offset_map(F.col("text")), F.col("pos"), F.length("keyword"), 1)
     assert [r.s for r in found.select(shown.alias("s")).collect()] == ["直<mark>心，直</mark>心"]
-    marked = kwic.context(kwic.occurrences(docs, "id", "content", "直"), "content", 1).select(kwic.marked(F.col("left")).alias("s"))
+    marked = kwic.occurrences(docs, "id", "content", "直", 1).select(kwic.marked().alias("s"))
     assert sorted(r.s for r in marked.collect()) == ["心<mark>直</mark>心", "正<mark>直</mark>心"]
 
 
