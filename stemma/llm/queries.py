@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bradley_terry, decontaminate, license_scan, minhash_forest, passages, quality_rules, suffix_dedup
 from .piece_bpe import encode_digests
+from .sql import SQL  # noqa: F401
 from .token_counts import count_tokens
 from .token_files import token_file_digests
 from .workspace import Workspace
@@ -72,4 +73,3 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op4_suffix_dedup, op5_piece_bpe, op6_token_files, op7_license_scan, op8_passages, op9_token_counts, op10_minhash_forest)}
-SQL: dict[str, str] = {}
