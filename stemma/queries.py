@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import text as T
-from .operators import expand, kwic, relations as R, search as S, similar, stats, versions
+from .operators import catalog, expand, kwic, relations as R, search as S, similar, stats, versions
 from .sources.markup import html_text
 from .streaming.visits import daily_counts as daily
 
@@ -631,3 +631,68 @@ def flagship(spark, sf):
     """Phrase search with a filter, hit counts, order and page."""
     found = S.match(corpus(spark, sf).where(S.one_of("lang", "en")), '"of the"').select("doc_id", "term_hits", "n_chars")
     return S.page(S.order(found, "term_hits", ["doc_id"]), 0, 100)
+
+
+# Catalog and ordered helpers.
+
+
+@query(
+    "with w as (select 'T' || lpad(cast(p_partkey as varchar), 5, '0') n, case when p_partkey % 10 = 0 then 'T' || lpad(cast(p_size as varchar), 2, '0') || '..T' || lpad(cast(p_size + 5 as varchar), 2, '0') "
+    "else 'T' || lpad(cast(p_size as varchar), 2, '0') end vol from part) select n, vol from w where (not contains(vol, '..') and vol between 'T20' and 'T22') "
+    "or (contains(vol, '..') and string_split(vol, '..')[1] <= 'T20' and string_split(vol, '..')[2] >= 'T22')"
+)
+def cross_range_containment(spark, sf):
+    number = lambda c: F.concat(F.lit("T"), F.lpad(c.cast("string"), 2, "0"))
+    size = F.col("p_size")
+    works = table(spark, sf, "part").select(
+        F.concat(F.lit("T"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("n"),
+        F.when(F.col("p_partkey") % 10 == 0, F.concat(number(size), F.lit(".."), number(size + 5))).otherwise(number(size)).alias("vol"),
+    )
+    return catalog.in_volumes(works, "T", "T20", "T22")
+
+
+@query("select conv_id, string_agg(text, '' order by turn) as text, count(*) parts from conversations group by 1")
+def stitched_parts(spark, sf):
+    return catalog.stitch(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "text")
+
+
+@query("select conv_id, turn, cast(row_number() over (partition by conv_id, role order by turn) as int) star from conversations")
+def repeat_counters(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("target", F.concat_ws("-", "conv_id", "role"))
+    return catalog.repeat_counter(rows, "target", ["turn"]).select("conv_id", "turn", "star")
+
+
+@query("select lb1, lb2 from (select turn lb1, role, lead(role) over w r2, lead(turn) over w lb2 from conversations window w as (partition by conv_id order by turn)) where role = 'user' and r2 = 'assistant'")
+def adjacent_lines(spark, sf):
+    return catalog.adjacent(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "role", "turn", "user", "assistant")
+
+
+@query("select p_partkey, translate(p_name, 'ae', '12') as name from part")
+def glyph_replacement(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", catalog.replace_glyphs(table(spark, sf, "part"), "p_name", {"a": "1", "e": "2"}, "[aeo]").alias("name"))
+
+
+@query("select role as kind, count(*) n from conversations group by 1")
+def counts_by_kind(spark, sf):
+    return table(spark, sf, "conversations").groupBy(F.col("role").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "with k as (select distinct n_name k from nation), d as (select k, sha256(k) h from k) select d.k, coalesce(r.r_name, substr(h,1,8)||'-'||substr(h,9,4)||'-'||substr(h,13,4)||'-'||substr(h,17,4)||'-'||substr(h,21,12)) as id "
+    "from d left join region r on r.r_name = d.k"
+)
+def stable_identifiers(spark, sf):
+    keys = table(spark, sf, "nation").select(F.col("n_name").alias("k"))
+    known = table(spark, sf, "region").select(F.col("r_name").alias("k"), F.col("r_name").alias("id"))
+    return R.stable_ids(keys, known, "k", "id")
+
+
+@query("select o_orderkey, case when y < 0 then (-y) || ' BCE' else y || ' CE' end as label from (select o_orderkey, cast(year(o_orderdate) as int) - 1995 y from orders)")
+def year_labels(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.year_label(F.year("o_orderdate") - 1995).alias("label"))
+
+
+@query("select c_custkey, c_mktsegment from customer where not exists (select 1 from nation where n_nationkey = c_nationkey and n_regionkey = 1) and c_acctbal > 0")
+def deny_by_lookup(spark, sf):
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation").where("n_regionkey = 1")
+    return R.missing(c.where("c_acctbal > 0"), n, c.c_nationkey == n.n_nationkey).select("c_custkey", "c_mktsegment")
