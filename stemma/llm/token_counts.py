@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import fill, slices
 from .library_tokens import made, read
+from .workspace import Workspace
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
@@ -63,5 +64,8 @@ def count_tokens(docs: DataFrame, key: str, text: str, tokenizer_path: str, cach
     if _exists(spark, cache):
         missing = missing.join(_stored(spark, cache, tokenizer).select("digest"), "digest", "left_anti")
     _append(missing, kind, blob, tokenizer, cache)
+    # The counts of these documents as a table: a join to an aggregate can't be split where a digest is frequent.
+    needed = rows.select("digest").distinct().join(_stored(spark, cache, tokenizer), "digest")
+    needed = Workspace(spark, "token-counts").save(needed, "needed")
     sized = rows.select("key", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
-    return sized.join(_stored(spark, cache, tokenizer), "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
+    return sized.join(needed, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
