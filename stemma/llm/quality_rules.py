@@ -28,7 +28,7 @@ LOWER, UPPER, REACH = 0.25, 0.75, 3.0
 MIN_GROUP = 30
 SKETCH_K = 4096
 #: Measure -> the lowest fence: what is below is no fault in any group.
-FLOOR = {"symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.20, "upper_share": 0.30, "bar_share": 0.10}
+FLOOR = {"symbol_share": 0.10, "dup_line_share": 0.50, "repeat_share": 0.40, "upper_share": 0.30, "bar_share": 0.10}
 
 
 def measures(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
