@@ -582,12 +582,12 @@ def url_parts(spark, sf):
 
 
 @query(
-    "with c as (select doc_id, 'CBETA, T' || lpad(cast(doc_id % 55 + 1 as varchar), 2, '0') || ', no. ' || (doc_id % 2000) || ', p. ' || (doc_id % 900 + 1) || 'a' || (doc_id % 29 + 1) s from documents) "
+    "with c as (select doc_id, 'CORPUS, T' || lpad(cast(doc_id % 55 + 1 as varchar), 2, '0') || ', no. ' || (doc_id % 2000) || ', p. ' || (doc_id % 900 + 1) || 'a' || (doc_id % 29 + 1) s from documents) "
     "select doc_id, 'T' || lpad(cast(doc_id % 55 + 1 as varchar), 2, '0') vol, lpad(cast(doc_id % 2000 as varchar), 4, '0') work, lpad(cast(doc_id % 900 + 1 as varchar), 4, '0') || 'a' || lpad(cast(doc_id % 29 + 1 as varchar), 2, '0') lb from c"
 )
 def citation_parse(spark, sf):
     n = F.col("doc_id")
-    cited = F.concat(F.lit("CBETA, T"), F.lpad((n % 55 + 1).cast("string"), 2, "0"), F.lit(", no. "), (n % 2000).cast("string"), F.lit(", p. "), (n % 900 + 1).cast("string"), F.lit("a"), (n % 29 + 1).cast("string"))
+    cited = F.concat(F.lit("CORPUS, T"), F.lpad((n % 55 + 1).cast("string"), 2, "0"), F.lit(", no. "), (n % 2000).cast("string"), F.lit(", p. "), (n % 900 + 1).cast("string"), F.lit("a"), (n % 29 + 1).cast("string"))
     parsed = table(spark, sf, "documents").select("doc_id", T.parse_citation(cited).alias("c"))
     return parsed.select("doc_id", "c.vol", T.work_number(F.col("c.work")).alias("work"), T.line_id(F.col("c.page"), F.col("c.col"), F.col("c.line")).alias("lb"))
 

@@ -46,11 +46,11 @@ def test_resolve(spark):
         [("T30", "T1579", 1, "0279", "a", "07", "T30n1579_p0279a07", 5), ("X01", "X0001", 2, "0001", "a", "01", "X01n0001_p0001a01", 9), ("T01", "T0001", 3, "0010", "a", "01", "T01n0001_p0010a01", 1)],
         "vol string, work string, juan int, page string, col string, line string, linehead string, ser_no int",
     )
-    cites = spark.createDataFrame([("CBETA, T30, no. 1579, p. 279a7",), ("R130, p. 861b7",), ("DA",), ("nothing",), ("《大正藏》冊01，第1 號，卷3",)], "s string")
-    abbr = spark.createDataFrame([("DA", "CBETA, T30, no. 1579, p. 279a7")], "abbr string, ref string")
+    cites = spark.createDataFrame([("CORPUS, T30, no. 1579, p. 279a7",), ("R130, p. 861b7",), ("DA",), ("nothing",), ("《大正藏》冊01，第1 號，卷3",)], "s string")
+    abbr = spark.createDataFrame([("DA", "CORPUS, T30, no. 1579, p. 279a7")], "abbr string, ref string")
     map_ = spark.createDataFrame([("R130.0861b07", "X01.0001a01")], "lb1 string, lb2 string")
     got = {r.s: r.linehead for r in C.resolve(cites, "s", lines, abbr, map_).collect()}
-    assert got == {"CBETA, T30, no. 1579, p. 279a7": "T30n1579_p0279a07", "R130, p. 861b7": "X01n0001_p0001a01", "DA": "T30n1579_p0279a07", "nothing": None, "《大正藏》冊01，第1 號，卷3": "T01n0001_p0010a01"}
+    assert got == {"CORPUS, T30, no. 1579, p. 279a7": "T30n1579_p0279a07", "R130, p. 861b7": "X01n0001_p0001a01", "DA": "T30n1579_p0279a07", "nothing": None, "《大正藏》冊01，第1 號，卷3": "T01n0001_p0010a01"}
 
 
 def test_glyphs_and_layers(spark):
