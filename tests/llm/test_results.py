@@ -181,6 +181,14 @@ def test_chains():
     assert passages._without("a b  c\nd e", [(1, 3)]) == "a d e"
 
 
+@pytest.mark.parametrize("shared, body", [(60, 80), (200, 300)])
+def test_passages_around_an_unlike_body(spark, shared, body):
+    say = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n))
+    rows = [(k, f"{say('head', shared)} {say(f'own{k}x', body)} {say('foot', shared)}") for k in (1, 2)]
+    out = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.key, r.source, r.start, r.stop) for r in out) == [(2, 1, 0, shared), (2, 1, shared + body, 2 * shared + body)]
+
+
 def shingles(text):
     w = words_of(text.translate(LOWER))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
