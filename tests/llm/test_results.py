@@ -189,6 +189,29 @@ def test_passages_around_an_unlike_body(spark, shared, body):
     assert sorted((r.key, r.source, r.start, r.stop) for r in out) == [(2, 1, 0, shared), (2, 1, shared + body, 2 * shared + body)]
 
 
+def test_passages_whose_seeds_stand_in_earlier_documents(spark):
+    run = [f"w{i}" for i in range(51)]
+    fill = lambda mark: " ".join(f"{mark}{i}" for i in range(30))
+    rows = [(k, f"{fill(f'a{k}x')} {' '.join(run[k : k + 12])} {fill(f'b{k}x')}") for k in range(40)]  # hold all seeds, no passage
+    rows += [(k, f"{fill(f'c{k}x')} {' '.join(run[:n])} {fill(f'd{k}x')}") for k, n in ((100, 51), (101, 51), (102, 30))]
+    out = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.key, r.source, r.start, r.stop) for r in out) == [(101, 100, 30, 81), (102, 100, 30, 60)]
+
+
+def test_passages_cover_all_equal_runs(spark, docs):
+    w = {i: words_of(t.translate(LOWER)) for i, t in docs.items()}
+    least = {}
+    for i in sorted(w):
+        for k in range(len(w[i]) - 29):
+            least.setdefault(tuple(w[i][k : k + 30]), i)
+    covered = collections.defaultdict(set)
+    for r in run(spark, "op8_passages"):
+        covered[r.doc_id].update(range(r.start, r.stop))
+    for i, x in w.items():
+        for k in range(len(x) - 29):
+            assert least[tuple(x[k : k + 30])] == i or covered[i].issuperset(range(k, k + 30))
+
+
 def shingles(text):
     w = words_of(text.translate(LOWER))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
