@@ -1,4 +1,6 @@
-"""The signature rules of the license scan: ordered, each gated by a keyword.
+"""The signature rules of the license scan: ordered, each gated by a keyword that its regex must contain.
+
+The keyword of a row is taken for those of its alternatives that contain it, else a literal of the alternative.
 
 Texts are matched as lower-case words joined by one blank (so "Apache-2.0" is "apache 2 0"). A row of TABLE is
 
@@ -10,6 +12,7 @@ is a rule of its own; its kind gives its priority and score, the order of rows b
 
 from __future__ import annotations
 
+from re import _constants, _parser
 from typing import NamedTuple
 
 #: kind -> (priority, score)
@@ -144,8 +147,8 @@ notice | licen | see (?:the )?licen[cs]e file
 notice | copyright | copyright (?:c )?(?:19|20)\d\d
 """
 
-#: Keywords of which a text must hold one to be looked at by any rule.
-GATE = ["licen", "copyright", "spdx", "gpl", "general public", "creative commons", "creativecommons", "cc by", "cc0", "public domain", "rights reserved", "bsd", "apache", "mozilla", "non commercial", "redistribut", "permission"]
+#: Words that open the gate for rules whose regex must contain them; any other rule opens it by a literal of its own.
+COMMON = ["licen", "copyright", "spdx", "gpl", "general public", "creative commons", "creativecommons", "cc by", "cc0", "public domain", "rights reserved", "bsd", "apache", "mozilla", "non commercial", "redistribut", "permission"]
 
 #: The phrases of the base labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -160,6 +163,23 @@ class Rule(NamedTuple):
     pattern: str
 
 
+def literals(words: str) -> list[str]:
+    """Literal strings that every match of a regex contains."""
+    out = [""]
+    for op, value in _parser.parse(words):
+        if op is _constants.LITERAL:
+            out[-1] += chr(value)
+        else:
+            out.append("")
+    return [x for x in out if x.strip()]
+
+
+def _keyword(words: str, wanted: list[str]) -> str:
+    """The first of wanted that a regex must contain, or its longest literal."""
+    held = literals(words)
+    return next((k for k in wanted if any(k in x for x in held)), max(held, key=len))
+
+
 def _rows(table: str) -> list[list[str]]:
     return [[c.strip() for c in line.split(" | ")] for line in table.strip().splitlines()]
 
@@ -169,7 +189,7 @@ def rules() -> list[Rule]:
 
     def add(label: str, keyword: str, kind: str, words: str) -> None:
         priority, score = KINDS[kind]
-        out.append(Rule(len(out), keyword, priority, score, label, rf"(?<![^ ])(?:{words})(?![^ ])"))
+        out.append(Rule(len(out), _keyword(words, [keyword, "spdx"]), priority, score, label, rf"(?<![^ ])(?:{words})(?![^ ])"))
 
     for label, keyword, text in _rows(TEXTS):
         add(label, keyword, "notice" if label == "notice" else "text", text)
@@ -178,3 +198,12 @@ def rules() -> list[Rule]:
             for words in cell.split(";"):
                 add(label, keyword, kind, rf"spdx license identifier {words}" if kind == "tag" else words)
     return out
+
+
+def _gate() -> list[str]:
+    inner = lambda pattern: pattern.removeprefix("(?<![^ ])(?:").removesuffix(")(?![^ ])")
+    return list(dict.fromkeys([*COMMON, *(_keyword(inner(r.pattern), COMMON) for r in rules())]))
+
+
+#: Keywords of which a text must hold one to be looked at by any rule; every rule's regex contains one.
+GATE = _gate()

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from stemma.llm import induced_sort, license_rules, minhash_forest, passages, piece_bpe, queries, simple8b, suffix_dedup, token_counts
+from stemma.llm import induced_sort, license_rules, license_scan, minhash_forest, passages, piece_bpe, queries, simple8b, suffix_dedup, token_counts
 from stemma.llm.library_tokens import LibraryTokenizer, read
 from stemma.llm.workspace import Workspace
 
@@ -161,6 +161,21 @@ def test_licences(spark, docs):
         assert r.labels == ",".join(sorted(labels | {x[4] for x in found})) and r.n_found == len(found)
 
 
+def test_licences_without_any_gate(spark, docs):
+    texts = ["SPDX-License-Identifier: " + x for x in ("OFL-1.1", "BSL-1.0", "EPL-2.0", "OSL-3.0", "AFL-3.0", "ODbL-1.0", "MS-PL", "SSPL-1.0", "WTFPL")]
+    texts += ["MPL 2.0", "This program is distributed in the hope that it will be useful, but without any warranty", "Confidential and proprietary information"]
+    texts += ["Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"]
+    texts += list(docs.values())
+    table = [(r, re.compile(r.pattern)) for r in license_rules.rules()]
+    strong = lambda a, b: (a[2], a[1] - a[0], -a[3]) > (b[2], b[1] - b[0], -b[3])
+    rows = license_scan.report(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"), "doc_id").collect()
+    for r in rows:
+        text = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate(LOWER)))
+        spans = [(m.start(), m.end(), x.priority, x.order, x.label) for x, p in table for m in p.finditer(text)]
+        found = [b for b in spans if not any(a is not b and a[0] <= b[0] and b[1] <= a[1] and a[2] >= b[2] and strong(a, b) for a in spans)]
+        assert r.n_found == len(found) and {x[4] for x in found} <= set(r.labels.split(",")) and (r.doc_id > 12 or found)
+
+
 def test_passages(spark, docs):
     w = {i: words_of(t.translate(LOWER)) for i, t in docs.items()}
     where = collections.defaultdict(set)
