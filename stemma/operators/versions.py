@@ -22,8 +22,10 @@ def diff(old: str, new: str) -> str:
     """new with <ins> and <del>, along a longest common subsequence of units; deletions come before insertions."""
     a, b = units(old or ""), units(new or "")
     n = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    numbers = {x: k for k, x in enumerate(dict.fromkeys(b))}
+    coded = np.array([numbers[x] for x in b], np.int64)
     for i in range(len(a) - 1, -1, -1):
-        same = np.array([x == a[i] for x in b], bool)
+        same = coded == numbers.get(a[i], -1)
         best = np.maximum(n[i + 1, :-1], np.where(same, n[i + 1, 1:] + 1, 0))
         n[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
     out, i, j, kind = [], 0, 0, ""
@@ -56,7 +58,7 @@ def diff_html(old: pd.Series, new: pd.Series) -> pd.Series:
 
 def tagged_chars(html: Column, tag: str) -> Column:
     """Number of characters inside a tag (what the counts mean, not the number of its spans)."""
-    inner = F.regexp_extract_all(html, F.lit(f"<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+    inner = F.regexp_extract_all(html, F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
     return F.aggregate(F.transform(inner, lambda x: F.length(F.regexp_replace(x, "<[^>]+>", ""))), F.lit(0), lambda a, x: a + x)
 
 

@@ -621,7 +621,7 @@ def segment_words(spark, sf):
 
 @query()
 def version_diff(spark, sf):
-    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.substring("text", 1, 200).alias("text"), "turn")
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text", "turn")
     newer = turns.withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat(F.regexp_replace("text", "the", "a"), F.lit("."))).otherwise(F.col("text")))
     return versions.compare(turns.drop("turn"), newer.drop("turn"), "k", "text")
 
