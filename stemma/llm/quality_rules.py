@@ -3,12 +3,17 @@
 Each text is measured once; the measures go to a written table. KLL quantile sketches of each rule's measure are
 built for every (language, source), merged to languages and to the whole, and give each group a fence
 
-    fence = q(UPPER) + REACH * (q(UPPER) - q(LOWER)), and at least FLOOR
+    q(UPPER) + REACH * max(q(UPPER) - q(MIDDLE), event / size of the text)
 
-in place of a fixed cutoff. A group of fewer than MIN_GROUP texts takes its language's sketch, a language of fewer
-that of the whole. The fences are joined to the measures, and a text is kept if it passes the base rules and no
-measure lies above its group's fence. Sketches are merged from the partial ones of each task, so a source with a
-third of all rows is one row for each task before the shuffle.
+in place of a fixed cutoff. A measure is a share, a count over the text's size (characters, words or lines); event is
+the count that one occurrence adds to it. So the group's own habits and their spread decide, and where a group shows
+no spread, because most of its texts have none of a thing, a text is rejected for more than REACH occurrences beyond
+the habit, never for a single one. There is no level of a share that all groups must keep.
+
+A group of fewer than MIN_GROUP texts takes its language's sketch, a language of fewer that of the whole. The fences
+are joined to the measures, and a text is kept if it passes the base rules and no measure lies above its group's
+fence. Sketches are merged from the partial ones of each task, so a source with a third of all rows is one row for
+each task before the shuffle.
 
 Cases: null and empty texts have no words and fail the base rules; null language or source is a group of its own;
 repeated rows are measured and judged each; an empty table gives no rows; other columns are left aside.
@@ -24,11 +29,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 MIN_WORDS = 50
-LOWER, UPPER, REACH = 0.25, 0.75, 3.0
-MIN_GROUP = 30
+MIDDLE, UPPER, REACH = 0.5, 0.9, 3.0
+MIN_GROUP = 100  # the upper quantile then has ten texts above it
 SKETCH_K = 4096
-#: Measure -> the lowest fence: what is below is no fault in any group.
-FLOOR = {"symbol_share": 0.10, "dup_line_share": 0.50, "repeat_share": 0.40, "upper_share": 0.30, "bar_share": 0.10}
+#: Measure -> (what its text's size is counted in, what one occurrence adds: a repeated window is two of three words).
+RULES = {"symbol_share": ("word_chars", 1), "dup_line_share": ("n_lines", 1), "repeat_share": ("n_words", 6), "upper_share": ("word_chars", 1), "bar_share": ("n_words", 1)}
 
 
 def measures(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
@@ -61,7 +66,7 @@ def measures(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
         size(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("_n_lines"),
+        F.size("_lines").cast("long").alias("n_lines"),
         size(r"[A-Z]+").cast("long").alias("_n_upper"),
         size(r"\|+").cast("long").alias("_n_bars"),
     )
@@ -69,16 +74,16 @@ def measures(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     return out.select(
         "*",
         share("n_symbols", "word_chars").alias("symbol_share"),
-        share("n_dup_lines", "_n_lines").alias("dup_line_share"),
+        share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_share"),
         share("_n_upper", "word_chars").alias("upper_share"),
         share("_n_bars", "n_words").alias("bar_share"),
-    ).drop("_n_lines", "_n_upper", "_n_bars")
+    ).drop("_n_upper", "_n_bars")
 
 
 def fences(measured: DataFrame, lang: str, source: str) -> DataFrame:
-    """(lang, source) -> one fence for each rule."""
-    names = list(FLOOR)
+    """(lang, source) -> the middle and upper quantile of each rule's measure."""
+    names = list(RULES)
     sketches = measured.groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source")).agg(
         F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in names]
     )
@@ -91,8 +96,13 @@ def fences(measured: DataFrame, lang: str, source: str) -> DataFrame:
     all3 = all3.join(by_lang, F.col("g_lang").eqNullSafe(F.col("h_lang")), "left")
     pick = lambda n: F.when(F.col("n") >= MIN_GROUP, F.col(n)).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{n}")).otherwise(F.col(f"w_{n}"))
     quantile = lambda n, q: F.kll_sketch_get_quantile_double(pick(n), F.lit(q))
-    fence = lambda n: F.greatest(F.lit(FLOOR[n]), quantile(n, UPPER) + REACH * (quantile(n, UPPER) - quantile(n, LOWER)))
-    return all3.select("g_lang", "g_source", *[fence(n).alias(f"{n}_fence") for n in names])
+    return all3.select("g_lang", "g_source", *[quantile(n, q).alias(f"{n}_{mark}") for n in names for q, mark in ((MIDDLE, "middle"), (UPPER, "upper"))])
+
+
+def fence(name: str) -> Column:
+    size, event = RULES[name]
+    middle, upper = F.col(f"{name}_middle"), F.col(f"{name}_upper")
+    return upper + REACH * F.greatest(upper - middle, F.lit(event) / F.greatest(F.col(size), F.lit(1)))
 
 
 def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -> DataFrame:
@@ -104,10 +114,10 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     joined = measured.join(limits, F.col("m_lang").eqNullSafe(F.col("g_lang")) & F.col("m_source").eqNullSafe(F.col("g_source")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passed = ~base_failed
-    for n in FLOOR:
-        passed = passed & (F.col(n) <= F.col(f"{n}_fence"))
+    for n in RULES:
+        passed = passed & (F.col(n) <= fence(n))
     return joined.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), passed.alias("kept"), *FLOOR,
+        base_failed.alias("base_failed"), passed.alias("kept"), *RULES,
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .minhash_forest import DENOMINATOR, NUMERATOR
-from .quality_rules import FLOOR, LOWER, MIN_GROUP, MIN_WORDS, REACH, UPPER
+from .quality_rules import MIDDLE, MIN_GROUP, MIN_WORDS, REACH, RULES, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,9 +15,10 @@ def quality_rules() -> str:
         "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"),
         "upper_share": share("n_upper", "word_chars"), "bar_share": share("n_bars", "n_words"),
     }
-    quantiles = ", ".join(f"quantile_disc({n}, {q}) {n}_{mark}" for n in FLOOR for q, mark in ((LOWER, "low"), (UPPER, "high")))
+    quantiles = ", ".join(f"quantile_disc({n}, {q}) {n}_{mark}" for n in RULES for q, mark in ((MIDDLE, "middle"), (UPPER, "upper")))
     pick = lambda c: f"case when g.n >= {MIN_GROUP} then g.{c} when l.n >= {MIN_GROUP} then l.{c} else a.{c} end"
-    fences = " and ".join(f"{n} <= greatest({floor}, {pick(n + '_high')} + {REACH} * ({pick(n + '_high')} - {pick(n + '_low')}))" for n, floor in FLOOR.items())
+    fence = lambda n, size, event: f"{n} <= {pick(n + '_upper')} + {REACH} * greatest({pick(n + '_upper')} - {pick(n + '_middle')}, {event} / greatest({size}, 1))"
+    fences = " and ".join(fence(n, *rule) for n, rule in RULES.items())
     count = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
     return f"""with t as (select doc_id, lang, source, coalesce(text, '') t from documents),
 w as (select *, regexp_extract_all(t, '{_WORD}') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) ls from t),
@@ -32,7 +33,7 @@ g as (select lang, source, count(*) n, {quantiles} from s group by 1, 2),
 l as (select lang, count(*) n, {quantiles} from s group by 1),
 a as (select {quantiles} from s),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words base_failed from s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {fences} kept, {', '.join(FLOOR)}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {fences} kept, {', '.join(RULES)}
 from b left join g on b.lang is not distinct from g.lang and b.source is not distinct from g.source left join l on b.lang is not distinct from l.lang cross join a"""
 
 

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from stemma.llm import induced_sort, license_rules, license_scan, minhash_forest, passages, piece_bpe, queries, simple8b, suffix_dedup, token_counts
+from stemma.llm import induced_sort, license_rules, license_scan, minhash_forest, passages, piece_bpe, quality_rules, queries, simple8b, suffix_dedup, token_counts
 from stemma.llm.library_tokens import LibraryTokenizer, read
 from stemma.llm.workspace import Workspace
 
@@ -47,6 +47,20 @@ def test_quality_rules(spark, docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r.base_failed or not r.kept)
 
 
+def test_quality_fences_follow_the_habits_of_a_source(spark):
+    plain = [f"w{i}" for i in range(80)]
+    marks = lambda n: " ".join(["#"] * n + plain)
+    rows = [("en", "tables", marks(10 + i % 11)) for i in range(150)] + [("en", "prose", marks(0)) for _ in range(150)]
+    rows += [("en", s, marks(n)) for s in ("tables", "prose", "few") for n in (1, 3, 12, 200)]
+    rows += [("xx", "few", marks(n)) for n in (12, 200)] + [(None, None, marks(0))]
+    frame = spark.createDataFrame(rows, "lang string, source string, text string")
+    kept = {(r.lang, r.source, r.n_symbols): r.kept for r in quality_rules.judge(frame, "text", "lang", "source", ["lang", "source"]).collect()}
+    assert [kept["en", "tables", n] for n in (1, 3, 12, 200)] == [True, True, True, False]
+    assert [kept["en", "prose", n] for n in (1, 3, 12, 200)] == [True, True, False, False]  # the same text with 12 marks
+    assert [kept["en", "few", n] for n in (12, 200)] == [True, False]  # too few texts: the language's habit
+    assert [kept["xx", "few", n] for n in (12, 200)] == [True, False] and kept[None, None, 0]  # that of the whole
+
+
 @pytest.mark.parametrize("shard", [2 << 20, 4000])
 def test_suffix_dedup(spark, docs, shard, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # the driver's side alone: small shards make anchors hot
