@@ -1,17 +1,20 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-The induced passes go through the buckets of the first symbol in order. Within a bucket they go in waves: a wave's
-entries induce all their predecessors at once, and predecessors with the bucket's own symbol form the next wave.
-Each suffix is induced once in a pass, so a pass is linear in the text. Leftmost-smaller (LMS) substrings are sorted
-by one pair of passes and named; if names repeat, the string of names is sorted in turn: by the same method while
-its alphabet is small, else by doubling ranks, since passes by bucket don't pay with as many buckets as entries.
+Suffixes are classified as smaller or larger than the next one. Leftmost-smaller (LMS) substrings are sorted by a pair
+of induced passes and named; if names repeat, the string of names is sorted in turn by the same method, whatever its
+alphabet. The order of LMS suffixes then induces the whole array by a second pair of passes.
+
+A pass goes over the array once, in batches: the entries from the scan's place up to the first slot that any of them
+fills have all been written, so they induce their predecessors at once. Each suffix is induced once in a pass, so a
+pass is linear in the text; batches are as long as a bucket where the alphabet is small, and about the root of the
+text's length where it is large, so no pass loops over the alphabet.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SMALL_ALPHABET = 1024
+LEAST_BATCH, MOST_BATCH = 64, 1 << 17
 PREFIX_CAP = 400  # common prefixes are told up to this length
 
 
@@ -27,90 +30,62 @@ def _types(t: np.ndarray) -> np.ndarray:
     return s
 
 
+def _scan(a: np.ndarray, t: np.ndarray, wanted: np.ndarray, fill: np.ndarray) -> None:
+    """Goes up the array a and puts the wanted predecessors of its entries at their symbols' next slots (fill).
+
+    a: places, or -1 for a slot that is free. Predecessors go behind the entries that induce them.
+    """
+    i, n, width = 0, len(a), LEAST_BATCH
+    while i < n:
+        stop = min(i + width, n)
+        entries = a[i:stop]
+        x = np.flatnonzero(entries > 0)
+        pred = entries[x] - 1
+        good = wanted[pred]
+        x, pred = x[good], pred[good]
+        if len(x):
+            symbols = t[pred]
+            slots = fill[symbols]
+            low = np.minimum.accumulate(slots)
+            late = x[1:] + i >= low[:-1]
+            m = int(late.argmax()) + 1 if late.any() else len(x)
+            stop = min(stop, int(low[m - 1]))
+            if m == 1:
+                a[slots[0]] = pred[0]
+                fill[symbols[0]] += 1
+            else:
+                order = np.argsort(symbols[:m], kind="stable")  # a radix sort for 16-bit symbols
+                ordered = symbols[order]
+                starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                sizes = np.diff(np.r_[starts, m])
+                a[slots[order] + np.arange(m) - np.repeat(starts, sizes)] = pred[order]
+                fill[ordered[starts]] += sizes
+        width = min(max(2 * (stop - i), LEAST_BATCH), MOST_BATCH)
+        i = stop
+
+
 def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The suffix array from LMS suffixes in the given order (by first symbol at least)."""
     n = len(t)
-    counts = np.bincount(t, minlength=k)
-    ends = np.cumsum(counts)
-    heads = ends - counts
-    lms_counts = np.bincount(t[lms], minlength=k)
-    sa = np.full(n, -1, np.int32)
-    lms_ends = np.cumsum(lms_counts)
+    ends = np.cumsum(np.bincount(t, minlength=k))
+    lms_ends = np.cumsum(np.bincount(t[lms], minlength=k))
     symbol = t[lms]
-    sa[ends[symbol] - lms_ends[symbol] + np.arange(len(lms))] = lms
-    fill = heads.copy()
-
-    def append(pred: np.ndarray, sign: int, at: np.ndarray) -> None:
-        symbols = t[pred]
-        order = np.argsort(symbols, kind="stable")  # a radix sort for 16-bit symbols
-        symbols, pred = symbols[order], pred[order]
-        first = np.r_[True, symbols[1:] != symbols[:-1]] if len(symbols) else np.zeros(0, bool)
-        starts = np.flatnonzero(first)
-        sizes = np.diff(np.r_[starts, len(symbols)])
-        distinct = symbols[starts]
-        if sign > 0:
-            for c, i, k in zip(distinct.tolist(), starts.tolist(), sizes.tolist()):
-                sa[at[c] : at[c] + k] = pred[i : i + k]
-                at[c] += k
-        else:
-            for c, i, k in zip(distinct.tolist(), starts.tolist(), sizes.tolist()):
-                sa[at[c] - k : at[c]] = pred[i : i + k][::-1]
-                at[c] -= k
-
-    for c in np.flatnonzero(counts).tolist():
-        done = heads[c]
-        while done < fill[c]:
-            entries = sa[done : fill[c]]
-            done = int(fill[c])
-            pred = entries[entries > 0] - 1
-            pred = pred[~s[pred]]
-            if len(pred):
-                append(pred, 1, fill)
-        if lms_counts[c]:
-            entries = sa[ends[c] - lms_counts[c] : ends[c]]
-            pred = entries[entries > 0] - 1
-            pred = pred[~s[pred]]
-            if len(pred):
-                append(pred, 1, fill)
-    larger = fill.copy()  # ends of the larger-type parts
-    back = ends.copy()
-    for c in np.flatnonzero(counts)[::-1].tolist():
-        done = ends[c]
-        while done > back[c]:
-            entries = sa[back[c] : done][::-1]
-            done = int(back[c])
-            pred = entries[entries > 0] - 1
-            pred = pred[s[pred]]
-            if len(pred):
-                append(pred, -1, back)
-        entries = sa[heads[c] : larger[c]][::-1]
-        pred = entries[entries > 0] - 1
-        pred = pred[s[pred]]
-        if len(pred):
-            append(pred, -1, back)
+    at = ends[symbol] - lms_ends[symbol] + np.arange(len(lms))
+    sa = np.full(n, -1, np.int32)
+    sa[at] = lms
+    _scan(sa, t, ~s, np.r_[0, ends[:-1]])
+    sa[at] = -1  # smaller suffixes are put in anew, from the ends of their buckets
+    sa[0] = n - 1
+    back = n - ends
+    back[t[-1]] += 1
+    _scan(sa[::-1], t, s, back)
     return sa
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    n, h = len(t), 1
-    rank = t.astype(np.int64)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - h)] = rank[h:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key)
-        sorted_key = key[order]
-        fresh = np.r_[False, sorted_key[1:] != sorted_key[:-1]]
-        rank[order] = np.cumsum(fresh)
-        if rank[order[-1]] == n - 1:
-            return order
-        h *= 2
-
-
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """t: symbols below k, of which the last is 0 and occurs there alone."""
     n = len(t)
-    t = t.astype(np.uint16) if k < 1 << 16 else t
+    t = t.astype(np.uint16 if k < 1 << 16 else np.int32)
     if n == 1:
         return np.zeros(1, np.int64)
     s = _types(t)
@@ -132,12 +107,18 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         same[pairs] = np.logical_and.reduceat(equal, stop - width)
     names = np.cumsum(~same) - 1
     if names[-1] + 1 < len(lms):
-        name_at = np.zeros(n, np.int64)
-        name_at[ordered] = names
-        reduced = name_at[lms]
-        count = int(names[-1]) + 1
-        order = suffix_array(reduced, count) if count <= SMALL_ALPHABET else _by_doubling(reduced)
-        ordered = lms[order]
+        # A name that occurs once ends a comparison, so of several in a row only the first is needed.
+        often = np.bincount(names)[names] > 1
+        name_at, often_at = np.zeros(n, np.int32), np.zeros(n, bool)
+        name_at[ordered], often_at[ordered] = names, often
+        repeats = often_at[lms]
+        needed = repeats.copy()
+        needed[1:] |= repeats[:-1]
+        needed[-1] = True
+        left = lms[needed]
+        _, reduced = np.unique(name_at[left], return_inverse=True)
+        deeper = left[suffix_array(reduced.astype(np.int32), int(reduced.max()) + 1)]
+        ordered[often] = deeper[often_at[deeper]]
     return _induce(t, s, ordered, k)
 
 

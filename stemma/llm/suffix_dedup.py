@@ -11,15 +11,17 @@ Every string of LENGTH bytes that starts in two places is found, and all bytes t
 4. Segments are dealt out by anchor hash, so all windows that may be equal meet. Each task packs them into shards of
    about SHARD bytes; a shard's suffix array is made by induced sorting, and the permuted common prefixes tell which
    windows have an equal: in the shard, or because their segment itself stands for several.
-   Segments of one anchor that alone exceed a shard are dealt by a second hash of bytes beside the anchor first.
+   Anchors whose segments exceed a shard are dealt again: the windows with about the same distance to the anchor share
+   the bytes around it, and meet by a hash of those. The distances are cut finer (SPLITS) until a group fits a shard;
+   what never fits is counted by hashes of the whole windows, which needs no task to hold a group.
 5. Repeated windows go back to every place of their segment, become byte runs of documents, and are cut out.
 
-Hashes only choose what is compared: windows of different segments are equal by their bytes. Segments are merged on
-128 bits of two hashes and their length.
+Hashes only choose what is compared: windows of different segments are equal by their bytes, but for those last ones.
+Segments and such windows are merged on 128 bits of two hashes.
 
-Cases: null and empty texts have no bytes; repeated rows are documents of their own only if their keys differ (rows
-with the same key and text are one text that is listed as often as given); null keys are judged like others but
-their repeats are not searched; an empty table gives no rows.
+Cases: null and empty texts have no bytes; every row is a document, so that rows with one key and one text, or with a
+null key, repeat each other like all others; rows of one key with different texts keep their own runs (rows.py); keys
+are whole numbers; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +35,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import fill, flat, lean, slices
 from .induced_sort import permuted_common_prefixes, suffix_array
+from .rows import numbered, with_ids
 from .sieve import minimizers, texts_of
 from .words import mix, powers
 from .workspace import Workspace
 
 LENGTH, GRAM = 200, 32
 SHARD = 2 << 20
+SPLITS = (2, 8)
 PIECE = 4 << 20  # windows of a longer text are looked at in pieces
 BROADCAST_RUNS = 64 << 20
+HOT_KEYS = 1_000_000
 _value = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _other = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -159,26 +164,65 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+DEALT = "group long, anchor long, digest long, n int, times long, off int, bytes binary, part int, whole int"
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 9
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in DEALT.split(", ")])
+
+
+def _split(parts: int):
+    """Deals the windows of each row by their distance to the anchor, cut into parts, and the bytes that those share."""
+    reach = LENGTH - GRAM + 1
+    bounds = [j * reach // parts for j in range(parts + 1)]
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for group, anchor, digest, n, times, off, raw, part, whole in zip(*[c.to_pylist() for c in batch.columns]):
+                for near, far in zip(bounds, bounds[1:]):  # window w lies off - w bytes before the anchor: near to far - 1
+                    a, b = max(0, off - far + 1), min(n, off - near + 1)
+                    if a < b:
+                        shared = hashlib.blake2b(raw[off - near : off + LENGTH - far + 1] + near.to_bytes(2, "little"), digest_size=8, key=group.to_bytes(8, "little", signed=True)).digest()
+                        out.append((int.from_bytes(shared, "little", signed=True), anchor, digest, b - a, times, off - a, raw[a : b + LENGTH - 1], part + a, whole))
+            yield _dealt(out)
+
+    return run
+
+
 @lean
-def _split_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deals the segments of an anchor that fills more than a shard by bytes beside the anchor.
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each dealt row: two hashes of its bytes, and its place in its segment."""
+    for batch in batches:
+        n = batch.column("n").to_numpy().astype(np.int64)
+        raws = batch.column("bytes").to_pylist()
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        sizes = n + LENGTH - 1
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + inside
+        hashes = []
+        for values in (_value, _other):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(values[raw] * powers(len(raw)), out=sums[1:])
+            hashes.append(mix((sums[at + LENGTH] - sums[at]) * powers(len(raw), True)[at]).view(np.int64))
+        row = np.repeat(np.arange(len(n)), n)
+        place = batch.column("part").to_numpy().astype(np.int64)[row] + inside
+        kept = [batch.column(c).take(pa.array(row)) for c in ("anchor", "digest", "whole", "times")]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), *kept, pa.array(place.astype(np.int32))], ["h", "g", "anchor", "digest", "n", "times", "place"])
+
 
-    A window whose anchor lies in its left half holds the GRAM bytes behind the anchor, any other those before it.
-    """
+@lean
+def _place_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for anchor, digest, n, times, off, raw, hot in zip(*[batch.column(x).to_pylist() for x in ("anchor", "digest", "n", "times", "off", "bytes", "hot")]):
-            if not hot:
-                out.append((anchor, anchor, digest, n, times, off, raw, 0, n))
-                continue
-            far = min(n, max(0, off - (LENGTH // 2 - GRAM)))  # windows [0, far) have the anchor to the right of the half
-            for a, b, beside in ((0, far, off - GRAM), (far, n, off + GRAM)):
-                if a < b:
-                    near = hashlib.blake2b(raw[beside : beside + GRAM] + bytes([a == 0 and b == far]), digest_size=8, key=anchor.to_bytes(8, "little", signed=True)).digest()
-                    out.append((int.from_bytes(near, "little", signed=True), anchor, digest, b - a, times, off, raw[a : b + LENGTH - 1], a, n))
-        columns = list(zip(*out)) or [[]] * 9
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["group", "anchor", "digest", "n", "times", "off", "bytes", "part", "whole"])
+        masks = []
+        for n, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            flags = np.zeros(n, bool)
+            flags[places] = True
+            masks.append(np.packbits(flags).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(masks, pa.binary())], ["anchor", "digest", "n", "mask"])
 
 
 def _covered(key: np.ndarray, lo: np.ndarray, n: np.ndarray, masks: pa.Array) -> pa.RecordBatch:
@@ -190,6 +234,9 @@ def _covered(key: np.ndarray, lo: np.ndarray, n: np.ndarray, masks: pa.Array) ->
     row = np.searchsorted(8 * (ends[1:] - ends[0]), at, side="right")
     start = lo[row] + at - 8 * (ends[row] - ends[0])
     who = key[row]
+    if ((start[1:] < start[:-1]) & (who[1:] == who[:-1])).any():  # a segment that was dealt in parts has several masks
+        order = np.lexsort((start, who))
+        start, who = start[order], who[order]
     fresh = np.r_[True, (who[1:] != who[:-1]) | (start[1:] - start[:-1] > LENGTH)]
     first = np.flatnonzero(fresh)
     last = np.r_[first[1:], len(at)] - 1
@@ -225,41 +272,83 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def repeated_runs(docs: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
-    """key, starts, stops (arrays of byte places): the runs to remove of every document that has some."""
-    plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & (F.octet_length("text") >= LENGTH))
-    plain = plain if not _several(plain) else plain.distinct()
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, broadcast up to a counted number of rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _masks(distinct: DataFrame, plain: DataFrame, work: Workspace) -> list[DataFrame]:
+    """MASKS of the distinct segments that hold a repeated window."""
+
+    def cut(segments: DataFrame) -> DataFrame:
+        needed = texts_of(plain, segments.select("key").distinct())
+        with_text = segments.join(needed, "key").select("anchor", "digest", "n", "times", "lo", "off", "text")
+        rows = with_text.mapInArrow(_cut_bytes, "anchor long, digest long, n int, times long, off int, bytes binary")
+        return rows.select(F.col("anchor").alias("group"), "*", F.lit(0).alias("part"), F.col("n").alias("whole"))
+
+    n = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = lambda df, by, size: df.groupBy(by).agg(F.sum(size).alias("size")).where(F.col("size") > SHARD).select(by)
+    hot = work.save(sized(distinct, "anchor", F.col("n") + (LENGTH - 1)), "hot")
+    out, fitting = [], []
+    if hot.isEmpty():
+        fitting.append(cut(distinct))
+    else:
+        hot = _few(hot, HOT_KEYS)
+        fitting.append(cut(distinct.join(hot, "anchor", "left_anti")))
+        large = cut(distinct.join(hot, "anchor", "left_semi"))
+        for parts in SPLITS:
+            dealt = work.save(large.mapInArrow(_split(parts), DEALT), f"dealt-{parts}")
+            hot = work.save(sized(dealt, "group", F.octet_length("bytes")), f"hot-{parts}")
+            large = None
+            if hot.isEmpty():
+                fitting.append(dealt)
+                break
+            hot = _few(hot, HOT_KEYS)
+            fitting.append(dealt.join(hot, "group", "left_anti"))
+            large = dealt.join(hot, "group", "left_semi")
+        if large is not None:
+            windows = work.save(large.mapInArrow(_window_hashes, "h long, g long, anchor long, digest long, n int, times long, place int"), "hot-windows")
+            often = work.save(windows.groupBy("h", "g").agg(F.sum("times").alias("c")).where("c > 1").select("h", "g"), "hot-often")
+            found = windows.join(often, ["h", "g"], "left_semi").groupBy("anchor", "digest", "n").agg(F.collect_list("place").alias("places"))
+            out.append(found.mapInArrow(_place_masks, MASKS))
+    columns = [x.split()[0] for x in DEALT.split(", ")]
+    for part in fitting:
+        out.append(part.select(columns).repartition(n, "group").sortWithinPartitions("group").mapInArrow(_shards, MASKS))
+    return out
+
+
+def repeated_runs(plain: DataFrame, work: Workspace) -> DataFrame:
+    """key, starts, stops (arrays of byte places): the runs to remove. plain: id, text; ids don't repeat."""
+    plain = plain.where(F.octet_length("text") >= LENGTH).withColumnRenamed("id", "key")
     found = work.save(plain.mapInArrow(_segments, SEGMENTS), "segments")
     often = work.save(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")  # a table, so that the join can be split where skewed
     places = work.save(found.join(often, "anchor", "left_semi"), "places")
     work.drop("segments", "often")
     distinct = places.groupBy("anchor", "digest", "n").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("key"), F.min_by("lo", "key").alias("lo"), F.min("off").alias("off"))
     distinct = work.save(distinct, "distinct")
-    hot = distinct.groupBy("anchor").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("size")).where(F.col("size") > SHARD).select("anchor", F.lit(True).alias("hot"))
-    needed = texts_of(plain, distinct.select("key").distinct())
-    with_text = distinct.join(needed, "key").select("anchor", "digest", "n", "times", "lo", "off", "text")
-    cut = with_text.mapInArrow(_cut_bytes, "anchor long, digest long, n int, times long, off int, bytes binary")
-    dealt = cut.join(hot, "anchor", "left").mapInArrow(_split_hot, "group long, anchor long, digest long, n int, times long, off int, bytes binary, part int, whole int")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = work.save(dealt.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_shards, MASKS), "masks")
+    parts = _masks(distinct, plain, work)
+    masks = parts[0]
+    for part in parts[1:]:
+        masks = masks.union(part)
+    masks = work.save(masks, "masks")
     back = places.join(masks, ["anchor", "digest", "n"]).select("key", "lo", "n", "mask")
+    n = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = work.save(back.repartition(n, "key").sortWithinPartitions("key", "lo").mapInArrow(_runs, "key long, starts array<int>, stops array<int>"), "runs")
-    work.drop("places", "distinct", "masks")
+    work.drop("places", "distinct", "masks", "hot", "hot-windows", "hot-often", *[f"{x}-{k}" for k in SPLITS for x in ("dealt", "hot")])
     return runs
 
 
-def _several(plain: DataFrame) -> bool:
-    return not plain.groupBy("key").count().where("count > 1").isEmpty()
-
-
 def dedup_digests(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, starts, stops in zip(fill(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            columns = [fill(batch.column(1)).to_pylist(), *[batch.column(i).to_pylist() for i in (2, 3, 4)]]
+            for t, starts, stops, copies in zip(*columns):
                 raw, at, kept = t.encode(), 0, hashlib.sha256()
+                if copies > 1 and len(raw) >= LENGTH:  # all of it stands in its copies
+                    starts, stops = [0], [len(raw)]
                 for a, b in zip(starts or (), stops or ()):
                     kept.update(raw[at:a])
                     at = b
@@ -274,7 +363,10 @@ def dedup_digests(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _with_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     work = Workspace(docs.sparkSession, "suffix-dedup")
-    runs = repeated_runs(docs, key, text, work)
+    plain, names = numbered(docs, key, text, work)
+    runs = repeated_runs(plain, work)
+    work.drop("rows")
     size = runs.agg(F.coalesce(F.sum(8 * F.size("starts") + 48), F.lit(0))).first()[0]
-    plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return plain.join(F.broadcast(runs) if size <= BROADCAST_RUNS else runs, "key", "left").select("key", "text", "starts", "stops")
+    rows = with_ids(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t", names)
+    runs = F.broadcast(runs) if size <= BROADCAST_RUNS else runs
+    return rows.join(runs, F.col("_id") == F.col("key"), "left").select(F.col("_k").cast("long").alias("key"), F.col("_t").alias("text"), "starts", "stops", F.col("_copies").alias("copies"))

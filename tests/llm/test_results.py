@@ -61,13 +61,11 @@ def test_quality_fences_follow_the_habits_of_a_source(spark):
     assert [kept["xx", "few", n] for n in (12, 200)] == [True, False] and kept[None, None, 0]  # that of the whole
 
 
-@pytest.mark.parametrize("shard", [2 << 20, 4000])
-def test_suffix_dedup(spark, docs, shard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # the driver's side alone: small shards make anchors hot
-    raw = {i: t.encode() for i, t in docs.items()}
-    count = collections.Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
-    for r in run(spark, "op4_suffix_dedup"):
-        b, runs = raw[r.doc_id], []
+def expected_without_repeats(raw):
+    """(bytes, removed, spans, digest of what stays) for each of raw by counting all 200-byte strings."""
+    count = collections.Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
+    for b in raw:
+        runs = []
         for k in range(len(b) - 199):
             if count[b[k : k + 200]] > 1:
                 if runs and k <= runs[-1][1]:
@@ -78,7 +76,27 @@ def test_suffix_dedup(spark, docs, shard, monkeypatch):
         for x, y in runs:
             kept, at = kept + b[at:x], y
         kept += b[at:]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), len(b) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+        yield len(b), len(b) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("shard", [2 << 20, 4000, 500])
+def test_suffix_dedup(spark, docs, shard, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # the driver's side alone: small shards make anchors hot, the smallest beyond all splits
+    want = dict(zip(docs, expected_without_repeats([t.encode() for t in docs.values()])))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, "op4_suffix_dedup")}
+    assert got == want
+
+
+def test_suffix_dedup_of_rows_with_shared_and_null_keys(spark):
+    rng = np.random.default_rng(3)
+    say = lambda n: "".join(rng.choice(list("abcdé "), n))
+    one, two, plate = say(559), say(700), say(230)
+    rows = [(5, one), (5, one), (None, one), (6, two), (6, "x" + two[100:400] + say(90)), (None, None), (None, say(300)), (7, say(150))]
+    rows += [(8, say(40) + plate + f"{i} " + plate[::-1]) for i in range(12)] + [(9, "é" * 300), (9, "é" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.dedup_digests(frame, "doc_id", "text").collect()
+    want = [(k, *x) for (k, _), x in zip(rows, expected_without_repeats([(t or "").encode() for _, t in rows]))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 @given(st.lists(st.integers(1, 4), max_size=60))
