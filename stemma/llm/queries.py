@@ -58,7 +58,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id repeats words [start, stop) of an earlier document, source_id."""
     found = passages.find_passages(documents(spark, sf_dir), "doc_id", "text")
-    return found.withColumnsRenamed({"key": "doc_id", "source": "source_id"})
+    return found.drop("version").withColumnsRenamed({"key": "doc_id", "source": "source_id"})
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

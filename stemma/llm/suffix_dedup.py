@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import fill, flat, lean, slices
 from .induced_sort import permuted_common_prefixes, suffix_array
-from .rows import numbered, with_ids
+from .rows import COPIES, ID, numbered, with_ids
 from .sieve import minimizers, texts_of
 from .words import mix, powers
 from .workspace import Workspace
@@ -369,4 +369,4 @@ def _with_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     size = runs.agg(F.coalesce(F.sum(8 * F.size("starts") + 48), F.lit(0))).first()[0]
     rows = with_ids(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_k", "_t", names)
     runs = F.broadcast(runs) if size <= BROADCAST_RUNS else runs
-    return rows.join(runs, F.col("_id") == F.col("key"), "left").select(F.col("_k").cast("long").alias("key"), F.col("_t").alias("text"), "starts", "stops", F.col("_copies").alias("copies"))
+    return rows.join(runs, F.col(ID) == F.col("key"), "left").select(F.col("_k").cast("long").alias("key"), F.col("_t").alias("text"), "starts", "stops", F.col(COPIES).alias("copies"))

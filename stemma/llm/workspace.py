@@ -8,8 +8,10 @@ returned DataFrame still reads is removed when the session's process ends.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,17 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def closing() -> Iterator[None]:
+    """Closes the workspaces that are opened inside: for a result that is written before the block ends."""
+    before = list(_LIVE)
+    try:
+        yield
+    finally:
+        for workspace in [w for w in _LIVE if w not in before]:
+            workspace.close()
+
+
 @atexit.register
 def _close_all() -> None:
     for workspace in list(_LIVE):

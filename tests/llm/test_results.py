@@ -245,6 +245,24 @@ def test_passages_whose_seeds_stand_in_earlier_documents(spark):
     assert sorted((r.key, r.source, r.start, r.stop) for r in out) == [(101, 100, 30, 81), (102, 100, 30, 60)]
 
 
+def test_passages_split_over_earlier_documents(spark):
+    run = [f"w{i}" for i in range(60)]
+    rows = [(k, f"{' '.join(f'a{k}x{i}' for i in range(40))} {' '.join(run[6 * k : 6 * k + 30])}") for k in range(6)]  # 30 of the words each
+    rows += [(k, f"{' '.join(f'b{k}x{i}' for i in range(50))} {' '.join(run)}") for k in (10, 11)]
+    out = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    for key in (10, 11):
+        assert {i for r in out if r.key == key for i in range(r.start, r.stop)} == set(range(50, 110))
+    assert 10 in {r.source for r in out if r.key == 11}
+
+
+def test_passages_of_rows_that_share_a_key(spark):
+    say = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n))
+    rows = [(1, say("one", 100)), (2, f"{say('own', 200)} {say('one', 80)}"), (2, say("unlike", 120))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left = passages.remove_passages(frame, "doc_id", "text", passages.find_passages(frame, "doc_id", "text")).collect()
+    assert {(r.doc_id, r.text.strip()) for r in left} == {(1, say("one", 100)), (2, say("own", 200)), (2, say("unlike", 120))}
+
+
 def test_passages_cover_all_equal_runs(spark, docs):
     w = {i: words_of(t.translate(LOWER)) for i, t in docs.items()}
     least = {}
