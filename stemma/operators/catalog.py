@@ -123,6 +123,25 @@ def stitch(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str
     return rows.groupBy(*keys).agg(F.array_join(parts, "").alias(text), F.count(F.lit(1)).alias("parts"))
 
 
+def halves(files: DataFrame, work: Sequence[str], order: Sequence[str], juan: str, name: str = "half") -> DataFrame:
+    """Which part of a fascicle a file holds: 2 if the file before ends in the same one, 1 if the next one goes on, else null."""
+    w = Window.partitionBy(*work).orderBy(*order)
+    return files.withColumn(name, F.when(F.lag(juan).over(w).eqNullSafe(F.col(juan)), 2).when(F.lead(juan).over(w).eqNullSafe(F.col(juan)), 1))
+
+
+def unicode_levels(df: DataFrame, key: str, text: str, ranges: DataFrame, name: str = "lvl") -> DataFrame:
+    """key, lvl: the highest level of a text's characters; ranges: low, high, lvl of code points, some hundreds."""
+    points = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != ""))
+    each = df.select(key, F.explode(points).alias("_c")).withColumn("_p", _code_point(F.col("_c")))
+    found = each.join(F.broadcast(ranges), F.col("_p").between(F.col("low"), F.col("high")))
+    return found.groupBy(key).agg(F.max("lvl").alias(name))
+
+
+def _code_point(c: Column) -> Column:
+    """The code point of a character, by its big-endian UTF-32 bytes."""
+    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+
+
 def repeat_counter(marks: DataFrame, target: str, order: Sequence[str], name: str = "star") -> DataFrame:
     """How often a reference mark's target has come up to this mark."""
     return marks.withColumn(name, F.row_number().over(Window.partitionBy(target).orderBy(*order)))

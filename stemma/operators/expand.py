@@ -32,11 +32,25 @@ def expansions(spark: SparkSession, query: str, variants: dict[str, str], docs:
         for f in g:
             part = part.select(F.explode(F.transform(F.array(*map(F.lit, f)), lambda x: F.concat(F.col("s"), x))).alias("s"))
         if docs is not None and len(query) > 4:
-            part = part.join(docs, F.contains(docs[content], part["s"]), "left_semi")
+            part = held(docs, content, [r.s for r in part.collect()])  # fewer than segment times one character's forms
         out = part if out is None else out.crossJoin(part.withColumnRenamed("s", "t")).select(F.concat("s", "t").alias("s"))
     return out.distinct().withColumnRenamed("s", "spelling")
 
 
+def held(docs: DataFrame, content: str, spellings: Sequence[str]) -> DataFrame:
+    """s: those of the spellings that some text holds, by one scan."""
+    there = F.filter(F.array(*[F.lit(s) for s in dict.fromkeys(spellings)]), lambda s: F.contains(F.col(content), s))
+    return docs.select(F.explode(there).alias("s")).distinct()
+
+
+def without_ligatures(spellings: DataFrame, column: str, ligatures: dict[str, str]) -> DataFrame:
+    """Spellings with each ligature written out; what becomes equal is one."""
+    out = F.col(column)
+    for joined, parts in ligatures.items():
+        out = F.replace(out, F.lit(joined), F.lit(parts))
+    return spellings.select(out.alias(column)).distinct()
+
+
 def spelling_hits(docs: DataFrame, content: str, spellings: Sequence[str]) -> DataFrame:
     """spelling, hits of those that occur: one scan for all spellings, which come from one query and are few."""
     each = F.array(*[F.struct(F.lit(s).alias("spelling"), hits(F.col(content), s).alias("hits")) for s in dict.fromkeys(spellings)])
@@ -61,17 +75,49 @@ def longest_match(words: frozenset[str], text: str, longest: int) -> list[str]:
     return out
 
 
-def segment(docs: DataFrame, content: Column, words: Sequence[str], separator: str = "/") -> DataFrame:
-    """docs with `segmented`: between punctuation the longest word of the dictionary at each place, else one character."""
-    known, longest = frozenset(words), max(map(len, words), default=1)
-    shared = docs.sparkSession.sparkContext.broadcast((known, longest))
+MOST_WORDS = 1_000_000
+
+
+def segment(docs: DataFrame, content: Column, words: DataFrame, key: str, separator: str = "/") -> DataFrame:
+    """docs with `segmented`: between punctuation the longest word of the dictionary (one column) at each place, else one
+    character. A dictionary of up to MOST_WORDS words goes to every worker; of a larger one each text gets the words
+    that it holds, by a join. key: unique in docs."""
+    name = words.columns[0]
+    words = words.select(F.col(name).alias("_word")).where(F.length("_word") > 1).distinct()
+    size = words.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("_word")), F.lit(1))).first()
+
+    def cut_up(texts: pd.Series, known, longest: int) -> pd.Series:
+        return pd.Series([None if t is None else separator.join(longest_match(w, t, longest)) for t, w in zip(texts, known)])
+
+    if size[0] <= MOST_WORDS:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in words.collect()))
+
+        @F.pandas_udf("string")
+        def run(texts: pd.Series) -> pd.Series:
+            return cut_up(texts, [shared.value] * len(texts), size[1])
+
+        return docs.withColumn("segmented", run(content))
+
+    @F.pandas_udf("string")
+    def run_own(texts: pd.Series, own: pd.Series) -> pd.Series:
+        return cut_up(texts, [frozenset(x if x is not None else ()) for x in own], size[1])
+
+    places = F.sequence(F.lit(1), F.greatest(F.length(content), F.lit(1)))
+    pieces = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(2), F.lit(max(2, size[1]))), lambda n: F.substring(content, i, n)))))
+    own = docs.select(F.col(key).alias("_key"), F.explode(pieces).alias("_word")).join(words, "_word").groupBy("_key").agg(F.collect_set("_word").alias("_own"))
+    return docs.join(own, docs[key] == own["_key"], "left").withColumn("segmented", run_own(content, F.col("_own"))).select(*docs.columns, "segmented")
+
+
+def converted(docs: DataFrame, column: str, forms: dict[str, str], name: str = "converted") -> DataFrame:
+    """docs with the text in other characters: the longest form of the dictionary at each place, as simplified to traditional."""
+    known, longest = forms, max(map(len, forms), default=1)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        known, longest = shared.value
-        return texts.map(lambda t: None if t is None else separator.join(longest_match(known, t, longest)))
+        words = frozenset(known)
+        return texts.map(lambda t: None if t is None else "".join(known.get(w, w) for w in longest_match(words, t, longest)))
 
-    return docs.withColumn("segmented", run(content))
+    return docs.withColumn(name, run(F.col(column)))
 
 
 def tag_scheme(words: Sequence[str], scheme: str = "SBIE") -> list[tuple[str, str]]:

@@ -6,19 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import running
 from ..functions.text import quoted
 
 
 def positions(text: Column, q: str) -> Column:
     """Places of q in text from 1 on, with overlapping ones."""
     parts = F.split(F.concat(F.lit("\x01"), text), f"(?={quoted(q)})", -1)
-    walk = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(x))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(parts) > 1, walk).otherwise(F.array().cast("array<int>"))
+    ahead = lambda at, x: (at + F.length(x), F.array(at + F.length(x)))
+    return running(F.slice(parts, 1, F.size(parts) - 1), F.lit(0), ahead, "array<int>")
 
 
 def occurrences(docs: DataFrame, key: str, content: str, keywords: str | Sequence[str], around: int = 20) -> DataFrame:

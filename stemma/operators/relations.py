@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.cut import cut
+
+MOST_LEVELS = 100_000
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, take: Sequence[str]) -> DataFrame:
     """Each row of left with the columns `take` of the last row of right at or before it, in the same group.
@@ -57,29 +60,32 @@ def bridged(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str,
     return left.join(lists, left[left_key] == lists[bridge_left], "left").select(left["*"], F.coalesce(name, F.array().cast(lists.schema[name].dataType)).alias(name))
 
 
-def paths(spark: SparkSession, nodes: DataFrame, depth: int = 100) -> DataFrame:
-    """nodes: id, parent, label. id, depth, path from the root, by a recursive query."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(id, depth, path) MAX RECURSION LEVEL {depth} AS (
-              SELECT id, 0, label FROM _tree_nodes WHERE parent IS NULL
-              UNION ALL
-              SELECT n.id, w.depth + 1, concat(w.path, '/', n.label) FROM walk w JOIN _tree_nodes n ON n.parent = w.id)
-            SELECT id, depth, path FROM walk"""
-    )
-
+def paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
+    """nodes: id, parent, label. id, depth, path from the root, of all nodes that hang from a root (parent null).
 
-def subtree(spark: SparkSession, nodes: DataFrame, root: str, depth: int = 100) -> DataFrame:
-    """id, depth of all nodes below root, itself included."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(id, depth) MAX RECURSION LEVEL {depth} AS (
-              SELECT id, 0 FROM _tree_nodes WHERE id = :root
-              UNION ALL
-              SELECT n.id, w.depth + 1 FROM walk w JOIN _tree_nodes n ON n.parent = w.id)
-            SELECT id, depth FROM walk""",
-        args={"root": root},
-    )
+    Every round joins each open node's upper end to that node's own row, so that paths double: rounds follow the
+    logarithm of the depth. A hub above many nodes is one row on the other side of the join.
+    """
+    rows = cut(nodes.select("id", F.col("parent").alias("above"), F.lit(0).alias("depth"), F.col("label").cast("string").alias("path")))
+    while not rows.where("above is not null").isEmpty():
+        upper = rows.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        longer = rows.where("above is not null").join(upper, F.col("above") == F.col("_id"))
+        longer = longer.select("id", F.col("_above").alias("above"), (F.col("depth") + F.col("_depth") + 1).alias("depth"), F.concat("_path", F.lit(separator), "path").alias("path"))
+        # A circle never ends; its paths outgrow the number of nodes.
+        rows = cut(rows.where("above is null").unionByName(longer.where(F.col("depth") <= MOST_LEVELS)))
+    return rows.select("id", "depth", "path")
+
+
+def subtree(nodes: DataFrame, root: str) -> DataFrame:
+    """id, depth of all nodes below root, itself included, level by level."""
+    level = cut(nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth")))
+    out, parents = level, nodes.select(F.col("id").alias("_id"), "parent")
+    for depth in range(1, MOST_LEVELS + 1):
+        level = cut(level.join(parents, F.col("id") == F.col("parent")).select(F.col("_id").alias("id"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
 
 
 def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:
@@ -133,7 +139,7 @@ def serial(df: DataFrame, order: Sequence[str], name: str = "ser_no") -> DataFra
     """A serial number over the whole order, without gathering rows in one task: range partitions count their rows,
     and each adds what lies before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # used twice: ranges are sampled anew otherwise
     inside = Window.partitionBy("_part").orderBy(*order)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -163,22 +169,19 @@ def sort_keys(df: DataFrame, parent: str, order: Sequence[str], name: str = "sor
 
 
 def outline(df: DataFrame, group: str, order: str, depth: str) -> DataFrame:
-    """Hierarchical numbers (1, 1.1, 1.2, 2, …) from a stream of depths that grow by at most one.
+    """Hierarchical numbers (1, 1.1, 1.2, 2, …) from a stream of depths that grow by at most one, however deep.
 
-    The number at each depth counts rows of that depth since the last row of a smaller one; all levels are window
-    counts, so a group is never gathered.
+    A row's parent is the last row one level above it (an as-of join); rows of one parent are counted, and the counts
+    are put together along the tree. order must be unique in its group.
     """
-    def level(d: int) -> Column:
-        w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return F.sum((F.col(depth) == d).cast("int")).over(w)
-
-    levels = 8
-    out = df
-    for d in range(1, levels + 1):
-        since = Window.partitionBy(group, *[f"_l{k}" for k in range(1, d)]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn(f"_l{d}", level(1) if d == 1 else F.sum((F.col(depth) == d).cast("int")).over(since))
-    parts = F.slice(F.array(*[F.col(f"_l{d}").cast("string") for d in range(1, levels + 1)]), 1, F.col(depth))
-    return out.withColumn("number", F.array_join(parts, ".")).drop(*[f"_l{d}" for d in range(1, levels + 1)])
+    rows = df.select(group, F.col(order).alias("_at"), F.col(depth).alias("_depth"), (F.col(depth) - 1).alias("_level"))
+    above = df.select(group, F.col(order).alias("_up"), F.col(depth).alias("_level"))
+    rows = as_of(rows, above.withColumn("_parent", F.col("_up")), [group, "_level"], "_at", "_up", ["_parent"])
+    key = lambda at: F.when(F.col(at).isNotNull(), F.struct(group, F.col(at).alias("at")))
+    place = F.row_number().over(Window.partitionBy(group, "_depth", "_parent").orderBy("_at"))
+    numbers = paths(rows.select(key("_at").alias("id"), key("_parent").alias("parent"), place.alias("label")), ".")
+    numbers = numbers.select(F.col(f"id.{group}").alias("_group"), F.col("id.at").alias("_at"), F.col("path").alias("number"))
+    return df.join(numbers, df[group].eqNullSafe(F.col("_group")) & (df[order] == F.col("_at")), "left").select(df["*"], "number")
 
 
 def stable_ids(keys: DataFrame, known: DataFrame, key: str, id_name: str) -> DataFrame:

@@ -9,17 +9,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normal, normal_query
 from ..plans import qlang
+from . import kwic
 
 
 def searchable(docs: DataFrame, text: str = "text", name: str = "content") -> DataFrame:
     return docs.withColumn(name, normal(F.col(text)))
 
 
-def match(docs: DataFrame, query: str, content: str = "content") -> DataFrame:
-    """Rows that match, with term_hits."""
+def match(docs: DataFrame, query: str, content: str = "content", key: str | None = None) -> DataFrame:
+    """Rows that match, with term_hits. With NEAR a unique key is needed: its tuples are found by kwic.near().
+
+    The searched text is bound once in each row; a filter of its own would be pushed down with a copy of the text's
+    computation for every phrase.
+    """
     tree = qlang.parse(query)
-    column = F.col(content)
-    return docs.where(qlang.predicate(tree, column)).withColumn("term_hits", qlang.hit_count(tree, column))
+    nears = qlang.near_parts(tree)
+    if nears and key is None:
+        raise qlang.QueryError("NEAR needs a key")
+    test = lambda c: F.struct(qlang.hit_count(tree, c).alias("hits"), qlang.predicate(tree, c).alias("ok"))
+    judged = docs.withColumn("_m", F.explode_outer(F.filter(F.transform(F.array(content), test), lambda x: x["ok"])))
+    rows = judged.where(F.col("_m").isNotNull()).select(*docs.columns, F.col("_m.hits").alias("term_hits"))
+    for n in nears:
+        found = kwic.near(rows.select(key, content), key, content, n.terms, n.gaps).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_tuples"))
+        rows = rows.join(found, F.col(key) == F.col("_key")).withColumn("term_hits", F.col("term_hits") + F.col("_tuples")).drop("_key", "_tuples")
+    return rows
 
 
 def bag(docs: DataFrame, query: str, content: str = "content") -> DataFrame:

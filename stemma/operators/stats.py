@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def visit_counts(visits: DataFrame, by: Sequence[str | Column], low, high, at: str, count: Column | None = None) -> DataFrame:
-    """Visits of [low, high] by group."""
-    rows = visits.where((F.col(at) >= F.lit(low)) & (F.col(at) < F.lit(high)))
+    """Visits of the days from low to high, both included, by group."""
+    rows = visits.where((F.col(at) >= F.to_date(F.lit(low))) & (F.col(at) < F.date_add(F.to_date(F.lit(high)), 1)))
     return rows.groupBy(*by).agg((F.sum(count) if count is not None else F.count(F.lit(1))).alias("visits"))
 
 
@@ -30,6 +30,19 @@ def totals(df: DataFrame, group: str, measures: dict[str, Column], main: Column)
     return df.rollup(group).agg(*sums)
 
 
+def has_text_of_its_own(work: Column, alt: Column) -> Column:
+    """Whether a work counts: it refers to no other one, or only in part, or to itself."""
+    return alt.isNull() | F.contains(alt, F.lit("選錄")) | F.contains(alt, work)
+
+
+def work_totals(files: DataFrame, work: str, order: str, juans: str, measures: Sequence[str]) -> DataFrame:
+    """Sums over the files of each work, and its fascicles in order; one that goes on in the next file counts once."""
+    join = lambda acc, x: F.concat(acc, F.when((F.size(acc) > 0) & (F.size(x) > 0) & F.get(acc, F.size(acc) - 1).eqNullSafe(F.get(x, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))).otherwise(x))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct(order, juans))), lambda x: x[juans])
+    out = files.groupBy(work).agg(lists.alias("_lists"), *[F.sum(m).alias(m) for m in measures])
+    return out.withColumn(juans, F.aggregate("_lists", F.array().cast(files.schema[juans].dataType), join)).drop("_lists")
+
+
 def exploded_totals(df: DataFrame, values: Column, name: str, measures: dict[str, Column]) -> DataFrame:
     """Sums by each element of a multi-valued column; together they exceed the whole."""
     rows = df.select(*df.columns, F.explode(values).alias(name))

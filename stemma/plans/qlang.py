@@ -156,7 +156,7 @@ def _all(columns: list[Column]) -> Column:
 
 
 def predicate(tree, text: Column) -> Column:
-    """Whether a searchable text matches; NEAR is only narrowed down, kwic.near() decides."""
+    """Whether a searchable text matches; NEAR is only narrowed down, search.match() decides by kwic.near()."""
     match tree:
         case Phrase(q):
             return F.contains(text, F.lit(q))
@@ -187,8 +187,8 @@ def hit_count(tree, text: Column) -> Column:
             return reduce(lambda a, b: a + b, counted) if counted else F.lit(0).cast("long")
         case Not(_):
             return F.lit(0).cast("long")
-        case Near(terms, _):
-            return reduce(lambda a, b: a + b, [hits(text, t) for t in terms])
+        case Near():
+            return F.lit(0).cast("long")  # its tuples are counted where they are found
         case Exclude(q, longer):
             return hits(text, q) - hits(text, longer)
         case Quorum(parts, _):
@@ -196,6 +196,21 @@ def hit_count(tree, text: Column) -> Column:
     raise TypeError(tree)
 
 
+def near_parts(tree) -> list[Near]:
+    """The NEAR chains that a text must have; elsewhere than in an AND they can't be verified."""
+
+    def inside(t) -> bool:
+        return isinstance(t, Near) or any(inside(p) for p in (t.parts if isinstance(t, (And, Or)) else [t.part] if isinstance(t, Not) else []))
+
+    if isinstance(tree, Near):
+        return [tree]
+    if isinstance(tree, And):
+        return [n for p in tree.parts for n in near_parts(p)]
+    if inside(tree):
+        raise QueryError("NEAR stands alone or in an AND")
+    return []
+
+
 def phrases(tree) -> list[str]:
     """The phrases that are searched for, without negated ones."""
     match tree:

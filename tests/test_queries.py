@@ -6,6 +6,7 @@ import re
 import duckdb
 import pytest
 
+import stemma.endpoint_queries  # noqa: F401
 from stemma.operators.versions import units
 from stemma.queries import QUERIES, SQL, TABLES
 

