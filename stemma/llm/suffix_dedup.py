@@ -6,13 +6,14 @@ Every string of LENGTH bytes that starts in two places is found, and all bytes t
    alone: equal windows have equal anchors at equal distances. Windows next to each other share an anchor, so a text
    becomes a row of segments, each with its anchor's hash and its windows (1.2 anchors for 100 bytes).
 2. Only anchors that occur twice go on: their hashes are counted with partial counts in each task, then joined back.
-3. Equal segments become one, with their number, before any bytes are moved. The bytes of each distinct segment are
-   cut from one document that holds it.
+3. Equal segments become one, with their number, before any bytes are moved. Where an anchor has one segment alone, all
+   its windows repeat and nothing is left to compare. The bytes of the other distinct segments are cut from one
+   document that holds each.
 4. Segments are dealt out by anchor hash, so all windows that may be equal meet. Each task packs them into shards of
    about SHARD bytes; a shard's suffix array is made by induced sorting, and the permuted common prefixes tell which
    windows have an equal: in the shard, or because their segment itself stands for several.
-   Anchors whose segments exceed a shard are dealt again: the windows with about the same distance to the anchor share
-   the bytes around it, and meet by a hash of those. The distances are cut finer (SPLITS) until a group fits a shard;
+   Anchors whose segments exceed GROUP bytes are dealt again: the windows with about the same distance to the anchor share
+   the bytes around it, and meet by a hash of those. The distances are cut finer (SPLITS) until a group fits;
    what never fits is counted by hashes of the whole windows, which needs no task to hold a group.
 5. Repeated windows go back to every place of their segment, become byte runs of documents, and are cut out.
 
@@ -41,7 +42,7 @@ from .words import mix, powers
 from .workspace import Workspace
 
 LENGTH, GRAM = 200, 32
-SHARD = 2 << 20
+SHARD, GROUP = 2 << 20, 2 << 20
 SPLITS = (2, 8)
 PIECE = 4 << 20  # windows of a longer text are looked at in pieces
 BROADCAST_RUNS = 64 << 20
@@ -279,6 +280,12 @@ def _few(df: DataFrame, most: int) -> DataFrame:
 
 def _masks(distinct: DataFrame, plain: DataFrame, work: Workspace) -> list[DataFrame]:
     """MASKS of the distinct segments that hold a repeated window."""
+    several = work.save(distinct.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("shared")), "several")
+    rest = F.element_at(F.array(*map(F.lit, ("", "80", "C0", "E0", "F0", "F8", "FC", "FE"))), F.col("n") % 8 + 1)
+    all_windows = F.unhex(F.concat(F.repeat(F.lit("FF"), F.floor(F.col("n") / 8).cast("int")), rest))
+    is_shared = F.col("anchor") == F.col("shared")
+    out = [distinct.join(several, is_shared, "left_anti").where("times > 1").select("anchor", "digest", "n", all_windows.alias("mask"))]
+    distinct = distinct.join(several, is_shared, "left_semi")
 
     def cut(segments: DataFrame) -> DataFrame:
         needed = texts_of(plain, segments.select("key").distinct())
@@ -287,9 +294,9 @@ def _masks(distinct: DataFrame, plain: DataFrame, work: Workspace) -> list[DataF
         return rows.select(F.col("anchor").alias("group"), "*", F.lit(0).alias("part"), F.col("n").alias("whole"))
 
     n = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = lambda df, by, size: df.groupBy(by).agg(F.sum(size).alias("size")).where(F.col("size") > SHARD).select(by)
+    sized = lambda df, by, size: df.groupBy(by).agg(F.sum(size).alias("size")).where(F.col("size") > GROUP).select(by)
     hot = work.save(sized(distinct, "anchor", F.col("n") + (LENGTH - 1)), "hot")
-    out, fitting = [], []
+    fitting = []
     if hot.isEmpty():
         fitting.append(cut(distinct))
     else:
@@ -334,7 +341,7 @@ def repeated_runs(plain: DataFrame, work: Workspace) -> DataFrame:
     back = places.join(masks, ["anchor", "digest", "n"]).select("key", "lo", "n", "mask")
     n = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = work.save(back.repartition(n, "key").sortWithinPartitions("key", "lo").mapInArrow(_runs, "key long, starts array<int>, stops array<int>"), "runs")
-    work.drop("places", "distinct", "masks", "hot", "hot-windows", "hot-often", *[f"{x}-{k}" for k in SPLITS for x in ("dealt", "hot")])
+    work.drop("places", "distinct", "masks", "hot", "several", "hot-windows", "hot-often", *[f"{x}-{k}" for k in SPLITS for x in ("dealt", "hot")])
     return runs
 
 
