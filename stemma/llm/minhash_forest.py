@@ -5,17 +5,21 @@
 2. Each tree sorts the classes by its own DEPTH signature values, cut to 16 bits. Rows that share the first SHALLOW
    values form a region. A region of more than REGION rows is split by one more value, as often as needed, so the
    depth adapts to each region. At full depth a region that is still larger links each row to its WINDOW
-   predecessors and to the first row. Sorting is by ranges over all trees at once: a hot region is spread over
-   tasks, and a region that a range border cuts is cut in that tree alone.
+   predecessors and to the first row; the fifth step handles the rest. Sorting is by ranges over all trees at once: a
+   hot region is spread over tasks, and a region that a range border cuts is cut in that tree alone.
 3. First round: every row proposes, in each tree, its likest predecessor in the region by sketch. Each class keeps
    its two likest proposals. They are confirmed on full sets, and components are formed.
 4. Second round: the forest is walked again with component labels, and every pair of a region that the sketch
    doesn't rule out and whose components differ is confirmed. Within a large group of near copies nothing is left
    to do then, so no group gives all its pairs.
+5. Rows that stood in a region of more than REGION rows in any tree are joined once more, without the forest: each
+   keeps the rarest shingles of its set, as many as a partner of the wanted similarity can't avoid all of (the prefix
+   filter), and rows of different components that share one of them are confirmed. So texts on one template, whose
+   regions are too large to be looked at row by row, lose no link. Shingles that one component alone holds are left
+   out, so a group of near copies gives no pairs here either.
 
 A pair of similarity 0.75 shares no region in any of 16 trees with probability 0.4375 ** 16 = 2e-6, and its sketch
-falls under the limit with 1e-7. Where regions are split a pair must share more values; there its many likes connect
-it. Measured recall of links against brute force stands in the README.
+falls under the limit with 1e-7. Measured recall of links against brute force stands in the README.
 
 Cases: null and empty texts and texts without words have an empty set and are their own component; texts of fewer
 words than a shingle are linked only if the whole sequence is equal; repeated rows are of one class; rows that share a
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrow_text import fill, flat, lean, slices
 from .components import components
+from .sieve import texts_of
 from .words import grams, mix, powers, word_hashes
 from .workspace import Workspace
 
@@ -144,15 +149,23 @@ def _pairs(tree, order, key, sketch, component, best_only: bool):
             best[j[better]], mate[j[better]] = score[better], i[better]
         else:
             out.append((i, j, score))
-    if best_only:
+    if best_only:  # and the rows of large regions, each as its own mate
         j = np.flatnonzero(mate >= 0)
-        out = [(mate[j], j, best[j])]
+        out = [(mate[j], j, best[j]), _crowded(tree, order)]
     i, j, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
     return np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), score
 
 
+def _crowded(tree, order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows whose region by the first SHALLOW values holds more than REGION rows, in the form of pairs."""
+    starts = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (order[1:, :SHALLOW] != order[:-1, :SHALLOW]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(tree)])
+    at = np.flatnonzero(np.repeat(sizes > REGION, sizes))
+    return at, at, np.full(len(at), -1, np.int16)
+
+
 def _walk(best_only: bool):
-    """Sorted rows in, proposals out; a region is held until it ends, at most HELD rows of it."""
+    """Sorted rows in, proposals out; a region is held until it ends, at most held_most rows of it."""
     held_most = 16 * 1024
 
     @lean
@@ -216,6 +229,40 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
+@lean
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, size of the set, shingle: a row for each shingle of each text."""
+    for batch in batches:
+        texts = fill(batch.column(1))
+        for start, stop in slices(texts):
+            sets = shingle_sets(texts.slice(start, stop - start))
+            sizes = np.array([len(s) for s in sets])
+            keys = batch.column(0).slice(start, stop - start).take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["key", "size", "shingle"])
+
+
+def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """Pairs a, b of nodes (key, component, sketch) that may be alike: different components share a shingle of both prefixes."""
+    shingles = work.save(texts_of(texts, nodes.select("key")).mapInArrow(_exploded, "key long, size long, shingle long"), "shingles")
+    shared = work.save(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    held = shingles.join(shared, "shingle").groupBy("key").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    # What no other text has comes first in the order from rare to frequent, and meets nothing.
+    enough = F.floor((NUMERATOR * F.col("size") + (DENOMINATOR - 1)) / DENOMINATOR).cast("long")
+    n = F.col("size") - enough + 1 - (F.col("size") - F.size("held"))
+    prefix = F.slice(F.col("held"), 1, F.greatest(n, F.lit(0)).cast("int"))
+    half = lambda i: F.conv(F.hex(F.substring("sketch", i, 8)), 16, -10).cast("long")
+    known = nodes.select("key", "component", half(1).alias("s"), half(9).alias("t"))
+    rows = held.select("key", "size", F.explode(prefix).alias("x")).select("key", "size", F.col("x.shingle").alias("shingle")).join(known, "key")
+    rows = work.save(rows, "prefixes")
+    mixed = work.save(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "mixed")
+    rows = work.save(rows.join(mixed, "shingle", "left_semi"), "mixed-prefixes")
+    b = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "component", "s", "t")])
+    agree = SKETCH_BITS - F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) - F.bit_count(F.col("t").bitwiseXOR(F.col("t_b")))
+    alike = (F.col("key") < F.col("key_b")) & (F.col("component") != F.col("component_b")) & (agree >= SKETCH_LIMIT)
+    alike = alike & (DENOMINATOR * F.least("size", "size_b") >= NUMERATOR * F.greatest("size", "size_b"))
+    return rows.join(b, "shingle").where(alike).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_shingles, component_id, kept: one row for each row of docs."""
     spark = docs.sparkSession
@@ -226,19 +273,24 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     firsts = signed.join(classes, "digest").where(F.col("key") == F.col("rep")).dropDuplicates(["key", "digest"])
     nodes = work.save(firsts.select("key", "forest", "sketch", F.col("key").alias("component")), "nodes")
     texts = plain.where(F.col("key").isNotNull())
+    proposed = work.save(_propose(nodes, True), "proposed")
+    crowded = work.save(proposed.where("agree < 0").select(F.col("a").alias("key")).distinct(), "crowded")
     likest = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    first = _propose(nodes, True).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    first = proposed.where("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     first = first.withColumn("place", F.row_number().over(likest)).where("place <= 2").select("a", "b")
     links = work.save(_confirmed(work.save(first, "pairs-1"), texts), "links-1")
     labels = work.save(components(links, work, "round-1"), "labels-1")
-    named = nodes.drop("component").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    second = work.save(_propose(named, False).select("a", "b").distinct(), "pairs-2")
-    if not second.isEmpty():
-        links = links.union(work.save(_confirmed(second, texts), "links-2"))
-        labels = work.save(components(links, work, "round-2"), "labels-2")
+    named = lambda rows: rows.drop("component").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    for turn, pairs in enumerate((lambda: _propose(named(nodes), False).select("a", "b").distinct(), lambda: _by_rare_shingles(work.save(named(nodes.join(crowded, "key", "left_semi")), "crowded-nodes"), texts, work)), start=2):
+        if turn == 3 and crowded.isEmpty():
+            break
+        more = work.save(pairs(), f"pairs-{turn}")
+        if not more.isEmpty():
+            links = links.union(work.save(_confirmed(more, texts), f"links-{turn}"))
+            labels = work.save(components(links, work, f"round-{turn}"), f"labels-{turn}")
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("key", "n_shingles", "digest").join(found, "digest", "left").withColumn("component", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")))
     out = out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
     out = work.save(out, "out")
-    work.drop("signed", "classes", "nodes", "pairs-1", "links-1", "labels-1", "pairs-2", "links-2", "labels-2")
+    work.drop("signed", "classes", "nodes", "proposed", "crowded", "crowded-nodes", "shingles", "shared", "prefixes", "mixed", "mixed-prefixes", *[f"{x}-{k}" for k in (1, 2, 3) for x in ("pairs", "links", "labels")])
     return out
