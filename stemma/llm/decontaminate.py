@@ -2,29 +2,39 @@
 
 A text is cut into words and numbers, and each becomes a template token: '#' for a number, '%' for a unit behind a
 number, '@' for a capitalised word inside a sentence, else the word in lower case. Windows of WINDOW template tokens
-are hashed; the windows of benchmark items are joined to those of documents by hash. Matches of a document and an
-item that keep their distance (the same diagonal) form a passage; it counts if it holds MIN_MATCHES windows, or all
-windows of a short item. For a passage with placeholders the values are compared: one item value must always meet
-one document value of the same kind, else the passage is dropped as a chance likeness. So questions that were given
-other numbers or names are found, and told apart ("reparameterised") from literal ones ("literal").
-
-Item windows are broadcast up to BROADCAST_WINDOWS, beyond that Spark joins by shuffle. The second pass, which needs
-values, reads only documents with a passage that has placeholders.
-
-Cases: null and empty texts match nothing; items of fewer than WINDOW tokens or windows of which more than half are
-placeholders match nothing; rows of documents or items that repeat give one row for each (document, item) pair; rows
-with a null key are left aside, as a pair can't name them; empty tables give no rows.
+are hashed; the windows of benchmark items are joined to those of documents by hash. Windows of which more than half
+are placeholders say too little and are left out. Matches of a document and an item that keep their distance (the same
+diagonal) form a passage; it counts if it holds MIN_MATCHES windows, or all windows of an item that has fewer.
+For a passage with placeholders the values are compared: one item value must always meet one document value of the
+same kind, else the passage is dropped as a chance likeness, unless enough of its windows have no placeholder at all.
+So questions that were given other numbers or names are found, and told apart ("reparameterised") from literal ones.
+
+Items that templates can't tell are compared word by word: those of fewer than WINDOW tokens as a whole, if they hold
+LEAST_CHARS letters and digits (a single common word is no question), and those with too few windows that are not
+mostly placeholders by their literal windows.
+
+The windows of a document that can't be any item's, by a bitmap of fixed size, are dropped inside the row, so that
+only likely ones become rows. Item windows are broadcast up to BROADCAST_WINDOWS, beyond that Spark joins by shuffle.
+The second pass, which needs values, reads only documents with a passage that has placeholders.
+
+Cases: null and empty texts match nothing; items of fewer than LEAST_CHARS letters and digits match nothing; rows of
+documents or items that repeat give one row for each (document, item) pair; rows with a null key are left aside, as a
+pair can't name them; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .workspace import Workspace
 
 WINDOW = 8
 MIN_MATCHES = 6
+LEAST_CHARS = 12
 BROADCAST_WINDOWS = 500_000
+WORDS = 1 << 16  # of 64 bits each, in the bitmap of item windows
 NAME = "\x02"
 #: The units that turn into a placeholder behind a number.
 UNITS = [
@@ -62,9 +72,47 @@ def _template(tokens: str) -> Column:
 
 
 def _windows(template: str) -> Column:
+    """pos, hash of each window of template tokens."""
     n = F.size(template) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(template, i, WINDOW)))
-    return F.when(n > 0, hashes).otherwise(F.array().cast("array<long>"))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(template, i, WINDOW)).alias("hash")))
+    return F.when(n > 0, hashes).otherwise(F.array().cast("array<struct<pos:int,hash:long>>"))
+
+
+def _literal(tokens: str, width: Column) -> Column:
+    """pos, hash of each window of words in lower case, of the given width."""
+    n = F.size(tokens) - (width - 1)
+    words = F.transform(tokens, lambda w: F.lower(F.replace(w, F.lit(NAME), F.lit(""))))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(width, F.slice(words, i, width)).alias("hash")))
+    return F.when(n > 0, hashes).otherwise(F.array().cast("array<struct<pos:int,hash:long>>"))
+
+
+def _bitmap(hashes: DataFrame) -> Column:
+    """A test of whether a hash may be among hashes: WORDS * 64 bits, whatever their number."""
+    word, bit = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.col("hash").bitwiseAND(F.lit(63)).cast("int")
+    rows = hashes.select(word.alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bits = [0] * WORDS
+    for r in rows.collect():  # WORDS rows at most
+        bits[r.word] = r.bits
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+
+def _may_hold(bits: Column, h: Column) -> Column:
+    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int"))
+    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _item_windows(bench: DataFrame) -> DataFrame:
+    """item, iversion, n_windows, ipos, hash, plain (no placeholder inside), width (of literal windows, else null)."""
+    filled = lambda i: F.size(F.filter(F.slice("template", i + 1, WINDOW), lambda t: t.isin("#", "@", "%")))
+    told = F.transform(F.filter("windows", lambda x: filled(x["pos"]) <= WINDOW // 2), lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), (filled(x["pos"]) == 0).alias("plain")))
+    n = F.size("template")
+    enough = F.length(F.regexp_replace(F.array_join("tokens", ""), r"[^\p{L}\p{N}]+", "")) >= LEAST_CHARS
+    width = F.when((n < WINDOW) & enough, n).when((n >= WINDOW) & (F.size("_told") < F.least(F.lit(MIN_MATCHES), n - (WINDOW - 1))), F.lit(WINDOW))
+    rows = bench.withColumn("_told", told).withColumn("width", width)
+    literal = F.transform(_literal("tokens", F.col("width")), lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.lit(True).alias("plain")))
+    rows = rows.withColumn("_own", F.when(F.col("width").isNotNull(), literal).otherwise(F.col("_told")))
+    rows = rows.select(F.col("id").alias("item"), F.col("version").alias("iversion"), "width", F.size("_own").alias("n_windows"), F.explode_outer("_own").alias("x"))
+    return rows.where(F.col("x").isNotNull()).select("item", "iversion", "n_windows", "width", F.col("x.pos").alias("ipos"), "x.hash", "x.plain")
 
 
 def _templated(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,16 +132,20 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     work = Workspace(spark, "decontaminate")
     bench = _templated(items, item_key, item_text).dropDuplicates(["id", "version"])
     bench = work.save(bench.withColumn("windows", _windows("template")), "items")
-    filled = F.size(F.filter(F.slice("template", F.col("ipos") + 1, WINDOW), lambda t: t.isin("#", "@", "%")))
-    spread = bench.select(F.col("id").alias("item"), F.col("version").alias("iversion"), "template", F.size("windows").alias("n_windows"), F.posexplode_outer("windows").alias("ipos", "hash"))
-    spread = work.save(spread.where(filled <= WINDOW // 2).select("item", "iversion", "n_windows", "ipos", "hash"), "windows")
+    spread = work.save(_item_windows(bench), "windows")
     small = spread.count() <= BROADCAST_WINDOWS
-    theirs = _templated(docs, key, text).withColumn("windows", _windows("template"))
-    theirs = theirs.select("id", "version", F.posexplode_outer("windows").alias("pos", "hash"))
+    bits = _bitmap(spread)
+    widths = sorted(r.width for r in spread.where("width is not null").select("width").distinct().collect())  # 1 to WINDOW
+    theirs = _templated(docs, key, text)
+    all_windows = [_windows("template"), *[_literal("tokens", F.lit(w)) for w in widths]]
+    likely = [F.filter(w, lambda x: _may_hold(bits, x["hash"])) for w in all_windows]
+    theirs = theirs.select("id", "version", F.explode_outer(F.concat(*likely) if widths else likely[0]).alias("x")).select("id", "version", "x.pos", "x.hash")
     # Outer explosion: Spark infers a filter from the inner one and would push it, with the whole template, below.
     met = theirs.join(F.broadcast(spread) if small else spread, "hash")
     group = ["id", "version", "item", "iversion", (F.col("pos") - F.col("ipos")).alias("diagonal")]
-    passages = met.groupBy(*group).agg(F.count(F.lit(1)).alias("n_matched"), F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.first("n_windows").alias("n_windows"))
+    passages = met.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_matched"), F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.first("n_windows").alias("n_windows"), F.sum(F.col("plain").cast("long")).alias("n_plain")
+    )
     passages = work.save(passages.where(F.col("n_matched") >= F.least(F.lit(MIN_MATCHES), F.col("n_windows"))), "passages")
     # Values at the placeholders of passages.
     asked = _slots(bench.select("id", "version", "tokens", "template")).select(F.col("id").alias("item"), F.col("version").alias("iversion"), F.col("pos").alias("ipos"), "kind", F.col("value").alias("item_value"))
@@ -113,7 +165,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
         )
         slots = pairs.groupBy(*at).agg(F.sum("n").alias("n_slots"), F.min("steady").alias("steady"), F.min("same").alias("same"))
         judged = passages.join(slots, at, "left").na.fill({"n_slots": 0, "steady": True, "same": True})
-    kept = judged.where("steady").groupBy("id", "item").agg(
+    kept = judged.where(F.col("steady") | (F.col("n_plain") >= F.least(F.lit(MIN_MATCHES), F.col("n_windows")))).groupBy("id", "item").agg(
         F.max("n_matched").alias("n_matched"),
         F.max(F.col("n_matched") / F.col("n_windows")).alias("coverage"),
         F.max_by("n_slots", "n_matched").alias("n_slots"),
