@@ -4,7 +4,8 @@ A text is reduced to its words (runs of ASCII letters and digits and of all othe
 case, joined by one blank. A text that holds no gate keyword has no detection. Otherwise the rules whose own keyword
 it holds are run, each regex over the whole text, and every match is a span. A span is suppressed if a span of higher
 priority holds it, or one of the same priority that is longer or comes from an earlier rule; spans that merely
-overlap stay. Everything happens inside the row: no shuffle, no join, and work that follows the size of the text.
+overlap stay. Everything happens inside the row: no shuffle and no join. Places, in characters and in words, are summed
+up along the gaps between matches, so work follows the size of the text and the number of matches.
 
 Cases: null and empty texts have no words and no detections; repeated rows give repeated rows; a row's other columns
 are left aside; positions are null where nothing is found.
@@ -17,39 +18,34 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import running
 from .license_rules import BASE, GATE, KINDS, rules
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPAN = "array<struct<start:int,back:int,rank:int,rule:int,label:string,score:double>>"
+SPAN = "array<struct<start:int,back:int,rank:int,rule:int,label:string,score:double,word:int,words:int>>"
+
+
+def _blanks(s: Column) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
 def _spans(text: str, rule: Column) -> Column:
     """Spans of one rule's matches, as SPAN: back and rank are negative, so that outer and stronger spans sort first."""
     found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
     parts = F.split(text, rule["pattern"], -1)
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["gap"])).alias("start"),
-                        (-(acc["at"] + F.length(x["gap"]) + F.length(x["hit"]))).alias("back"),
-                        (-rule["priority"]).alias("rank"),
-                        rule["order"].alias("rule"),
-                        rule["label"].alias("label"),
-                        rule["score"].alias("score"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, walk).otherwise(F.array().cast(SPAN))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, word = at["char"] + F.length(x["gap"]), at["word"] + _blanks(x["gap"])
+        stop, last = start + F.length(x["hit"]), word + _blanks(x["hit"])
+        span = F.struct(
+            start.alias("start"), (-stop).alias("back"), (-rule["priority"]).alias("rank"), rule["order"].alias("rule"),
+            rule["label"].alias("label"), rule["score"].alias("score"), word.alias("word"), (last - word + 1).alias("words"),
+        )
+        return F.struct(stop.alias("char"), last.alias("word")), F.array(span)
+
+    pairs = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    return running(pairs, F.struct(F.lit(0).alias("char"), F.lit(0).alias("word")), step, SPAN)
 
 
 def _table(rows: list) -> Column:
@@ -61,23 +57,22 @@ def _table(rows: list) -> Column:
 def _unsuppressed(spans: str) -> Column:
     """One pass over spans by (start, end descending, priority descending, rule), with each priority's furthest end."""
     tiers = sorted({p for p, _ in KINDS.values()})
-    zero = F.struct(*[F.lit(-1).alias(f"t{p}") for p in tiers], F.array().cast(SPAN).alias("out"))
+    zero = F.struct(*[F.lit(-1).alias(f"t{p}") for p in tiers])
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
         end, own = -x["back"], -x["rank"]
-        hidden = reduce(lambda a, b: a | b, [(F.lit(p) >= own) & (acc[f"t{p}"] >= end) for p in tiers])
-        later = [F.when(own == p, F.greatest(acc[f"t{p}"], end)).otherwise(acc[f"t{p}"]).alias(f"t{p}") for p in tiers]
-        return F.struct(*later, F.when(hidden, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+        hidden = reduce(lambda a, b: a | b, [(F.lit(p) >= own) & (state[f"t{p}"] >= end) for p in tiers])
+        later = [F.when(own == p, F.greatest(state[f"t{p}"], end)).otherwise(state[f"t{p}"]).alias(f"t{p}") for p in tiers]
+        return F.struct(*later), F.when(hidden, F.array().cast(SPAN)).otherwise(F.array(x))
 
-    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["out"])
+    return running(F.array_sort(spans), zero, step, SPAN)
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_words, base (array of first word index, label), found (array of first word, words, label, score, rule)."""
     words = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), NOT_WORD, " "), F.lit(" "))
     step = docs.select(F.col(key).alias("key"), words.alias("_n"))
-    blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    n_words = F.when(F.col("_n") == "", 0).otherwise(blanks(F.col("_n")) + 1)
+    n_words = F.when(F.col("_n") == "", 0).otherwise(_blanks(F.col("_n")) + 1)
     step = step.select("key", n_words.cast("long").alias("n_words"), "_n", F.lower("_n").alias("_l"))
     gate = reduce(lambda a, b: a | b, [F.contains("_l", F.lit(k)) for k in GATE])
     # The text in lower case by A to Z alone, and only where a rule may match.
@@ -92,13 +87,11 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     base = F.flatten(F.transform(_table(base_rules), lambda r: _spans("_x", r)))
     step = step.withColumn("_b", F.when(F.array_contains("_k", "licen"), base).otherwise(F.array().cast(SPAN)))
     step = step.withColumn("_s", F.when(F.size("_s") > 1, _unsuppressed("_s")).otherwise(F.col("_s")))
-    first = lambda x: blanks(F.substring(F.col("_x"), F.lit(1), x["start"]))
-    length = lambda x: blanks(F.substring(F.col("_x"), x["start"] + 1, -x["back"] - x["start"])) + 1
     return step.select(
         "key",
         "n_words",
-        F.transform("_b", lambda x: F.struct(first(x).cast("long").alias("word"), x["label"].alias("label"))).alias("base"),
-        F.transform("_s", lambda x: F.struct(first(x).cast("long").alias("word"), length(x).cast("long").alias("words"), x["label"].alias("label"), x["score"].alias("score"), x["rule"].alias("rule"))).alias("found"),
+        F.transform("_b", lambda x: F.struct(x["word"].cast("long").alias("word"), x["label"].alias("label"))).alias("base"),
+        F.transform("_s", lambda x: F.struct(x["word"].cast("long").alias("word"), x["words"].cast("long").alias("words"), x["label"].alias("label"), x["score"].alias("score"), x["rule"].alias("rule"))).alias("found"),
     ).withColumnRenamed("key", key)
 
 
