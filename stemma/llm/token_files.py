@@ -1,9 +1,10 @@
 """Operator 6: token ids in binary files of Simple-8b blocks.
 
 Documents are dealt out by ranges of their key and sorted in each range; each range is encoded and written as one
-file, streaming, by the executor that holds it. A file is written under a name of its attempt and then renamed, so
-that a repeated or lost task leaves either the whole file or none, with the same bytes. The order of files is the
-order of ranges; a manifest row for each file holds its counts, from which each file's first id follows.
+file, streaming, by the executor that holds it. A file's name holds its attempt, and only the manifest, which Spark
+commits, says which files count: repeated or lost tasks never touch each other's files, and what they leave is removed
+behind the manifest. The order of files is the order of ranges; a manifest row for each file holds its counts, from
+which each file's first id follows.
 
 File (little endian): MAGIC; then blocks one after the other, each its words and then its escapes; then the index:
 int64 keys[n_docs], int64 lengths[n_docs], int64 word_counts[n_blocks], int64 escape_counts[n_blocks]; then the
@@ -137,12 +138,13 @@ def write_token_files(docs: DataFrame, key: str, text: str, tokenizer_path: str,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = place(folder)
-        coder, writer, shard, own = made(kind, shared.value), None, 0, f"{root}/.{uuid.uuid4().hex}"
+        coder, writer, shard, name = made(kind, shared.value), None, 0, ""
         for batch in batches:
             if writer is None and batch.num_rows:
                 shard = batch.column(2)[0].as_py()
+                name = f"part-{shard:06d}-{uuid.uuid4().hex}.s8b"
                 fs.create_dir(root, recursive=True)
-                stream = fs.open_output_stream(own)
+                stream = fs.open_output_stream(f"{root}/{name}")
                 writer = FileWriter(stream)
             texts = fill(batch.column(1))
             for start, stop in slices(texts):
@@ -152,14 +154,22 @@ def write_token_files(docs: DataFrame, key: str, text: str, tokenizer_path: str,
         if writer is not None:
             n_docs, n_ids = writer.finish()
             stream.close()
-            path = f"{root}/part-{shard:06d}.s8b"
-            fs.move(own, path)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/part-{shard:06d}.s8b"]), pa.array([n_docs]), pa.array([n_ids])], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs]), pa.array([n_ids])], ["shard", "path", "n_docs", "n_ids"])
 
     ranged = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(n, "key").sortWithinPartitions("key")
     manifest = ranged.withColumn("shard", F.spark_partition_id()).mapInArrow(write, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    _sweep(folder, {r.path for r in manifest.select("path").collect()})
+    return manifest
+
+
+def _sweep(folder: str, kept: set[str]) -> None:
+    """Removes the files of attempts that the manifest doesn't list."""
+    fs, root = place(folder)
+    for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.endswith(".s8b") and f"{folder}/{info.base_name}" not in kept:
+            fs.delete_file(info.path)
 
 
 def read_token_files(manifest: DataFrame, schema: str, each: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
