@@ -62,10 +62,11 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call starts with an empty cache of its own, so that it counts all distinct texts."""
-    cache = Workspace(spark, "token-counts").path("cache")
-    counts = count_tokens(documents(spark, sf_dir), "doc_id", "text", tokenizer("piece_bpe_32k.model"), cache)
-    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+    """Each call has a cache of its own, which a first batch fills: the whole table finds those counts and adds the rest."""
+    cache, path = Workspace(spark, "token-cache").path("cache"), tokenizer("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir)
+    count_tokens(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0), "doc_id", "text", path, cache)
+    return count_tokens(docs, "doc_id", "text", path, cache).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A text's key is the SHA-256 digest of its normalised content (null becomes the empty text; nothing else may change,
 as it would change counts) and of the tokenizer file. Stored counts are joined by digest; only distinct texts
 without a stored count are encoded; their counts are appended to the cache, a Parquet table partitioned by
-tokenizer. Rows of one text are reduced to one in each task before the shuffle, so that many copies meet as one row
-for each task, and the last join moves digests and numbers, which adaptive execution splits when one is frequent.
+tokenizer. The misses are found by digests alone, so only texts that are to be encoded are moved. Rows of one text are
+reduced to one in each task before the shuffle, so that many copies meet as one row for each task, and the last join
+moves digests and numbers, which adaptive execution splits when one is frequent.
 
 Cases: null and empty texts have 0 tokens; repeated rows give repeated rows; an empty table gives no rows; a cache
 row written twice by a repeated run holds the same count and is read once.
@@ -23,6 +24,7 @@ from .arrow_text import fill, slices
 from .library_tokens import made, read
 from .workspace import Workspace
 
+BROADCAST_DIGESTS = 1_000_000
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
 
@@ -60,12 +62,15 @@ def count_tokens(docs: DataFrame, key: str, text: str, tokenizer_path: str, cach
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), content.alias("content"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("content"), 256)))
-    missing = rows.select("digest", "content").dropDuplicates(["digest"])
+    missing = rows.select("digest", "content")
+    work = Workspace(spark, "token-counts")
     if _exists(spark, cache):
-        missing = missing.join(_stored(spark, cache, tokenizer).select("digest"), "digest", "left_anti")
-    _append(missing, kind, blob, tokenizer, cache)
+        lacking = work.save(rows.select("digest").distinct().join(_stored(spark, cache, tokenizer), "digest", "left_anti"), "lacking")
+        missing = missing.join(F.broadcast(lacking) if lacking.count() <= BROADCAST_DIGESTS else lacking, "digest", "left_semi")
+    _append(missing.dropDuplicates(["digest"]), kind, blob, tokenizer, cache)
+    work.drop("lacking")
     # The counts of these documents as a table: a join to an aggregate can't be split where a digest is frequent.
     needed = rows.select("digest").distinct().join(_stored(spark, cache, tokenizer), "digest")
-    needed = Workspace(spark, "token-counts").save(needed, "needed")
+    needed = work.save(needed, "needed")
     sized = rows.select("key", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
     return sized.join(needed, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
