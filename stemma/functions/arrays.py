@@ -25,6 +25,14 @@ def running(items: Column, start: Column, step: Callable[[Column, Column], tuple
         done = lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o"))
         return F.aggregate(chunk, F.struct(acc["s"].alias("s"), none.alias("o")), one, done)
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
-    out = F.aggregate(chunks, F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("o")), block, lambda r: F.flatten(r["o"]))
-    return F.when(F.size(items) > 0, out).otherwise(none)
+    def whole(xs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+        out = F.aggregate(chunks, F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("o")), block, lambda r: F.flatten(r["o"]))
+        return F.when(F.size(xs) > 0, out).otherwise(none)
+
+    return bound(items, whole)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: inside a lambda an expression from outside is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import running
+from ..functions.arrays import bound, running
 from ..functions.text import quoted
 
 
@@ -14,27 +14,36 @@ def positions(text: Column, q: str) -> Column:
     """Places of q in text from 1 on, with overlapping ones."""
     parts = F.split(F.concat(F.lit("\x01"), text), f"(?={quoted(q)})", -1)
     ahead = lambda at, x: (at + F.length(x), F.array(at + F.length(x)))
-    return running(F.slice(parts, 1, F.size(parts) - 1), F.lit(0), ahead, "array<int>")
+    return bound(parts, lambda x: running(F.slice(x, 1, F.size(x) - 1), F.lit(0), ahead, "array<int>"))
 
 
 def occurrences(docs: DataFrame, key: str, content: str, keywords: str | Sequence[str], around: int = 20) -> DataFrame:
     """key, keyword, pos, left, right: one row for each place of each keyword ('a,b' is two of them).
 
-    The contexts of `around` characters are taken before the places are exploded, so no row carries its whole text.
+    The contexts of `around` characters are taken before the places are exploded, so no row carries its whole text. They
+    are cut from blocks of the text, as a place in a long text is found by counting from its start.
     """
     words = keywords.split(",") if isinstance(keywords, str) else list(keywords)
     text = F.col(content)
     held = docs.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
+    size = max(256, 2 * around + max(map(len, words), default=0))
 
-    def of(word: str) -> Column:
+    def of(word: str, blocks: Column, c: Column) -> Column:
         def place(p: Column) -> Column:
             start = F.greatest(F.lit(1), p - around)
-            return F.struct(F.lit(word).alias("keyword"), p.alias("pos"), F.substring(text, start, p - start).alias("left"), F.substring(text, p + len(word), F.lit(around)).alias("right"))
+            at = F.floor((start - 1) / size).cast("int")
+            near = F.concat(F.get(blocks, at), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+            return bound(near, lambda s: F.struct(
+                F.lit(word).alias("keyword"), p.alias("pos"),
+                F.substring(s, start - at * size, p - start).alias("left"), F.substring(s, p + len(word) - at * size, F.lit(around)).alias("right"),
+            ))
 
-        return F.transform(positions(text, word), place)
+        return F.transform(positions(c, word), place)
 
-    each = F.flatten(F.array(*map(of, words)))
-    return held.select(key, F.explode_outer(each).alias("o")).where(F.col("o").isNotNull()).select(key, "o.*")
+    def of_text(c: Column) -> Column:
+        return bound(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda blocks: F.flatten(F.array(*[of(w, blocks, c) for w in words])))
+
+    return held.select(key, F.explode_outer(bound(text, of_text)).alias("o")).where(F.col("o").isNotNull()).select(key, "o.*")
 
 
 def concordance(found: DataFrame, sort: str, tie: Sequence[str]) -> DataFrame:

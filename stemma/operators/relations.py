@@ -67,12 +67,13 @@ def paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
     logarithm of the depth. A hub above many nodes is one row on the other side of the join.
     """
     rows = cut(nodes.select("id", F.col("parent").alias("above"), F.lit(0).alias("depth"), F.col("label").cast("string").alias("path")))
+    n = rows.count()
     while not rows.where("above is not null").isEmpty():
         upper = rows.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
         longer = rows.where("above is not null").join(upper, F.col("above") == F.col("_id"))
         longer = longer.select("id", F.col("_above").alias("above"), (F.col("depth") + F.col("_depth") + 1).alias("depth"), F.concat("_path", F.lit(separator), "path").alias("path"))
-        # A circle never ends; its paths outgrow the number of nodes.
-        rows = cut(rows.where("above is null").unionByName(longer.where(F.col("depth") <= MOST_LEVELS)))
+        # A circle never ends, but its paths outgrow the number of nodes.
+        rows = cut(rows.where("above is null").unionByName(longer.where(F.col("depth") < n)))
     return rows.select("id", "depth", "path")
 
 
