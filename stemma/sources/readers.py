@@ -67,7 +67,8 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
 def change_log(spark: SparkSession, path: str) -> DataFrame:
     """ver, work, juan, lb, html, ins_chars, del_chars of change-log pages.
 
-    A page is a heading for each work and fascicle and lines 'linehead║html' below it; headings are carried on.
+    A page is a heading for each work and fascicle and lines 'linehead║html' below it; headings are carried on. A line
+    that is neither, nor markup or blank, fails the query.
     """
     from ..operators.versions import tagged_chars
 
@@ -77,7 +78,10 @@ def change_log(spark: SparkSession, path: str) -> DataFrame:
     juan = F.regexp_extract("line", r"<h2>\s*(\S+?)[,_ ]+(\d+)\s*</h2>", 2)
     w = Window.partitionBy("ver").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     filled = lines.withColumns({"work": F.last(F.nullif(head, F.lit("")), True).over(w), "juan": F.last(F.nullif(juan, F.lit("")), True).over(w).cast("int")})
-    rows = filled.where(F.contains("line", F.lit("║"))).select("ver", "work", "juan", F.trim(F.substring_index("line", "║", 1)).alias("lb"), F.regexp_extract("line", "║(.*)$", 1).alias("html"))
+    blank = F.trim(F.regexp_replace("line", "<[^>]*>", "")) == ""
+    is_line, is_head = F.contains("line", F.lit("║")), F.contains("line", F.lit("<h"))
+    checked = filled.where(F.assert_true(is_line | is_head | blank, F.concat(F.lit("unknown line: "), "line")).isNull())
+    rows = checked.where(is_line).select("ver", "work", "juan", F.trim(F.substring_index("line", "║", 1)).alias("lb"), F.regexp_extract("line", "║(.*)$", 1).alias("html"))
     return rows.withColumns({"ins_chars": tagged_chars(F.regexp_replace("html", r'<span class="ins">(.*?)</span>', "<ins>$1</ins>"), "ins"), "del_chars": tagged_chars(F.regexp_replace("html", r'<span class="del">(.*?)</span>', "<del>$1</del>"), "del")})
 
 

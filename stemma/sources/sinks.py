@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -47,6 +51,33 @@ def text_per_key(df: DataFrame, keys: Sequence[str], text: str, path: str) -> No
     df.select(*keys, F.col(text).alias("value")).repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
+def zip_per_key(df: DataFrame, key: str, name: str, text: str, path: str) -> DataFrame:
+    """An archive of each key's texts, written where its rows meet; key, path, files of each. A task holds one text at a time."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        for k, mine in itertools.groupby(rows, key=lambda r: r[0]):
+            n = 0
+            with fs.open_output_stream(f"{root}/{k}.zip") as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive:
+                for _, file, content in mine:
+                    archive.writestr(zipfile.ZipInfo(file), content or "", zipfile.ZIP_DEFLATED)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"{path}/{k}.zip"]), pa.array([n], pa.int32())], ["key", "path", "files"])
+
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(name).alias("name"), F.col(text).alias("text"))
+    return rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(write, "key string, path string, files int")
+
+
+def statistics(works: DataFrame, measures: Sequence[str], by: Sequence[str], path: str) -> None:
+    """A CSV of the measures for each of the columns by (work, volume, category), and a JSON line of the totals."""
+    sums = [F.sum(m).alias(m) for m in measures]
+    for column in by:
+        csv(works.groupBy(column).agg(*sums).orderBy(column).coalesce(1), f"{path}/{column}")
+    json_lines(works.agg(*sums), f"{path}/total")
+
+
 def sorted_csv_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], path: str) -> None:
     df.repartition(*keys).sortWithinPartitions(*keys, *order).write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
 

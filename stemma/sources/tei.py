@@ -13,7 +13,9 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.text import normal
 
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
 SKIPPED = {"teiHeader", "rdg", "mulu", "docNumber", "charDecl"}
@@ -315,6 +317,43 @@ def transform(files: DataFrame, name: str, glyphs: dict[str, str] | None = None)
     return files.select("file", "content").mapInArrow(run, f"file string, {schema}")
 
 
+# Further forms, made from the rows of the transforms above.
+
+
+def _bare(markup: Column) -> Column:
+    """Text of a line's markup."""
+    out = F.regexp_replace(markup, "<[^>]*>", "")
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(c))
+    return out
+
+
+def text_for_diff(lines: DataFrame) -> DataFrame:
+    """file, lb, text of lines(): without markup, note marks, blanks and punctuation, so that versions differ in words alone."""
+    return lines.select("file", "lb", F.regexp_replace(normal(_bare(F.col("html"))), r"\s+", "").alias("text")).where("text <> ''")
+
+
+def concordance_html(lines: DataFrame) -> DataFrame:
+    """file, juan, html of lines(): every line behind an anchor with its number, without other markup."""
+    line = F.concat(F.lit('<a id="lb'), "lb", F.lit('"></a>'), F.regexp_replace("html", "<[^>]*>", ""))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("lb", line.alias("line")))), lambda x: x["line"])
+    return lines.groupBy("file", "juan").agg(F.array_join(parts, "").alias("html"))
+
+
+def index_text(texts: DataFrame) -> DataFrame:
+    """file, juan, text of search_text(): the form that is searched, with notes."""
+    return texts.select("file", "juan", normal(F.col("text")).alias("text"))
+
+
+def download_page(reading: DataFrame, titles: DataFrame) -> DataFrame:
+    """file, juan, html of reading_html() as a page of its own; titles: file, title."""
+    title = F.coalesce(F.col("title"), F.col("file"))
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(c), F.lit(entity))
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head><body>"))
+    return reading.join(titles, "file", "left").select("file", "juan", F.concat(head, "html", F.lit("</body></html>")).alias("html"))
+
+
 def catalog(xml: str) -> list[tuple]:
     """(n, parent, label, work, sort) of a nested catalog: elements are nodes, attributes n, label, work."""
     out: list[tuple] = []

@@ -21,6 +21,12 @@ def test_tei(spark):
     assert rows("juan_ends") == [(1, "0001a01", "0001a02"), (2, "0002a01", "0002a01")]
     assert [(n[2], n[3], n[4]) for n in rows("notes")] == [("1", "inline", "小注"), ("0001001", "foot", "校勘")]
     assert rows("plain_text")[1] == (2, "在舍衛▆") and '<h2 class="head">經序</h2>' in rows("reading_html")[0][1]
+    lines = tei.transform(files, "lines")
+    assert [r.text for r in tei.text_for_diff(lines).orderBy("lb").collect()] == ["經序如是a+b我聞小注", "一時佛", "在舍衛▆"]
+    assert [r.html for r in tei.concordance_html(lines).orderBy("juan").collect()][1] == '<a id="lb0002a01"></a>在舍衛▆'
+    assert [r.text for r in tei.index_text(tei.transform(files, "search_text")).orderBy("juan").collect()] == ["經序如是a+b我聞小注一時佛", "在舍衛▆"]
+    page = tei.download_page(tei.transform(files, "reading_html"), spark.createDataFrame([("f", "a<b")], "file string, title string")).orderBy("juan").first().html
+    assert "<title>a&lt;b</title>" in page and '<h2 class="head">經序</h2>' in page
     assert tei.catalog('<c><e n="a" label="A"><e label="B" work="T1"/></e></c>') == [("a", None, "A", None, "001"), ("a.001", "a", "B", "T1", "001")]
 
 
@@ -48,6 +54,16 @@ def test_readers(spark, tmp_path):
     assert (got.vol, got.work, got.juan, got.offset, got.page, got.col, got.line) == ("T01", "T0001", 3, 70000, "0067", "c", 25)
 
 
+def test_archives_and_statistics(spark, tmp_path):
+    df = spark.createDataFrame([("T1", "b.txt", "二", 2), ("T1", "a.txt", None, 3), ("X1", "c.txt", "三", 4), (None, "d", "x", 1)], "work string, name string, text string, n int")
+    out = {r.key: r.files for r in sinks.zip_per_key(df, "work", "name", "text", f"file://{tmp_path}/zips").collect()}
+    assert out == {"T1": 2, "X1": 1}
+    with zipfile.ZipFile(tmp_path / "zips" / "T1.zip") as z:
+        assert z.namelist() == ["a.txt", "b.txt"] and z.read("b.txt").decode() == "二"
+    sinks.statistics(df, ["n"], ["work", "name"], f"{tmp_path}/stats")
+    assert spark.read.json(f"{tmp_path}/stats/total").first().n == 10 and spark.read.csv(f"{tmp_path}/stats/work", header=True).count() == 3
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("T", "a", 1), ("X", "b", 2)], "canon string, text string, n int")
     assert sinks.as_json(df, "f").orderBy("json").first().json == 'f({"canon":"T","text":"a","n":1})'
