@@ -32,8 +32,6 @@ def _blanks(s: Column) -> Column:
 
 def _spans(text: str, rule: Column) -> Column:
     """Spans of one rule's matches, as SPAN: back and rank are negative, so that outer and stronger spans sort first."""
-    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    parts = F.split(text, rule["pattern"], -1)
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         start, word = at["char"] + F.length(x["gap"]), at["word"] + _blanks(x["gap"])
@@ -44,7 +42,9 @@ def _spans(text: str, rule: Column) -> Column:
         )
         return F.struct(stop.alias("char"), last.alias("word")), F.array(span)
 
-    pairs = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    pairs = F.zip_with(F.split(text, rule["pattern"], -1), found, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())  # the last gap has no match behind it
     return running(pairs, F.struct(F.lit(0).alias("char"), F.lit(0).alias("word")), step, SPAN)
 
 

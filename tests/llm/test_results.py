@@ -81,7 +81,8 @@ def expected_without_repeats(raw):
 
 @pytest.mark.parametrize("shard", [2 << 20, 4000, 500])
 def test_suffix_dedup(spark, docs, shard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SHARD", shard)  # the driver's side alone: small shards make anchors hot, the smallest beyond all splits
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "GROUP", shard)  # the driver's side alone: small shards make anchors hot, the smallest beyond all splits
     want = dict(zip(docs, expected_without_repeats([t.encode() for t in docs.values()])))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, "op4_suffix_dedup")}
     assert got == want
@@ -193,6 +194,12 @@ def test_licences(spark, docs):
         assert r.labels == ",".join(sorted(labels | {x[4] for x in found})) and r.n_found == len(found)
 
 
+def test_licences_in_a_text_full_of_them(spark):
+    text = "The MIT License and " * 40_000
+    r = license_scan.report(license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text"), "doc_id").first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels, r.n_found) == (160_000, 40_000, 1, 159_997, "mit", 40_000)
+
+
 def test_licences_without_any_gate(spark, docs):
     texts = ["SPDX-License-Identifier: " + x for x in ("OFL-1.1", "BSL-1.0", "EPL-2.0", "OSL-3.0", "AFL-3.0", "ODbL-1.0", "MS-PL", "SSPL-1.0", "WTFPL")]
     texts += ["MPL 2.0", "This program is distributed in the hope that it will be useful, but without any warranty", "Confidential and proprietary information"]
@@ -307,6 +314,17 @@ def test_forest_splits_large_regions(spark):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+def test_forest_of_texts_on_one_template(spark):
+    shared = [f"t{i}" for i in range(204)]
+    own = lambda mark, n: [f"{mark}x{i}" for i in range(n)]
+    rows = [(i, " ".join(shared + own(f"a{i}", 43))) for i in range(2000)]  # 0.70 with each other
+    for k in range(200):  # pairs of 0.77, far apart in the order of keys
+        both = own(f"p{k}", 12)
+        rows += [(3000 + k, " ".join(shared + both + own(f"b{k}", 31))), (9000 - k, " ".join(shared + both + own(f"c{k}", 31)))]
+    out = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: 12000 - i if i > 8000 else i for i, _ in rows}
+
+
 def test_leaks(spark, docs):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     found = {(r.doc_id, r.item_id) for r in run(spark, "op2_decontaminate")}
@@ -328,6 +346,21 @@ def test_reparameterised_leaks(spark):
     assert {(r.doc_id, r.kind) for r in out.collect()} == {(1, "literal"), (2, "reparameterised")}
 
 
+def test_leaks_of_short_dense_and_edited_items(spark):
+    from stemma.llm.decontaminate import find_leaks
+
+    say = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n))
+    long = "in which of these 3 towns did the old clock strike 3 times while all the people of the market stood and looked at it"
+    items = {1: "What is 17 times 23?", 2: "17 23 9 8 7 6 5 4 3 and 12 13", 3: "the", 4: long, 5: "日本の首都はどこですか、次の四つの中から", 6: "9 8 7 6 5 4 3"}
+    texts = {
+        1: f"{say('a', 40)} what is 17 times 23? {say('b', 9)}", 2: f"{say('a', 40)} what is 17 times 24? {say('b', 9)}", 3: f"{say('a', 9)} {items[2]} the end",
+        4: f"{say('a', 9)} {items[2].replace('9', '10')}", 5: f"{say('c', 9)} {long.replace('3 times', '4 times')} {say('d', 9)}", 6: f"これは、{items[5]}、です", 7: "the the the", 8: items[6],
+    }
+    frame = lambda rows, name: spark.createDataFrame(sorted(rows.items()), f"{name} long, text string")
+    out = find_leaks(frame(texts, "doc_id"), "doc_id", "text", frame(items, "item_id"), "item_id", "text")
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(1, 1), (3, 2), (5, 4), (6, 5)}
+
+
 def test_classifier(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.QUERIES["op1_bradley_terry"](spark, sf)
