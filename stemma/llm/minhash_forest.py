@@ -5,14 +5,14 @@
 2. Each tree sorts the classes by its own DEPTH signature values, cut to 16 bits. Rows that share the first SHALLOW
    values form a region. A region of more than REGION rows is split by one more value, as often as needed, so the
    depth adapts to each region. At full depth a region that is still larger links each row to its WINDOW
-   predecessors and to the first row; the fifth step handles the rest. Sorting is by ranges over all trees at once: a
+   predecessors and to the first row; the last step handles the rest. Sorting is by ranges over all trees at once: a
    hot region is spread over tasks, and a region that a range border cuts is cut in that tree alone.
 3. First round: every row proposes, in each tree, its likest predecessor in the region by sketch. Each class keeps
    its two likest proposals. They are confirmed on full sets, and components are formed.
-4. Second round: the forest is walked again with component labels, and every pair of a region that the sketch
-   doesn't rule out and whose components differ is confirmed. Within a large group of near copies nothing is left
-   to do then, so no group gives all its pairs.
-5. Rows that stood in a region of more than REGION rows in any tree are joined once more, without the forest: each
+4. Second round: the forest is walked again with component labels. In a region of up to REGION rows by the first
+   SHALLOW values every pair that the sketch doesn't rule out and whose components differ is confirmed. Within a
+   large group of near copies nothing is left to do then, so no group gives all its pairs.
+5. Rows of larger regions that hold several components, in any tree, are joined once more, without the forest: each
    keeps the rarest shingles of its set, as many as a partner of the wanted similarity can't avoid all of (the prefix
    filter), and rows of different components that share one of them are confirmed. So texts on one template, whose
    regions are too large to be looked at row by row, lose no link. Shingles that one component alone holds are left
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .arrow_text import fill, flat, lean, slices
 from .components import components
@@ -103,19 +103,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _regions(tree: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by tree and order (n x DEPTH): (first row of the row's region, whether the region is too large)."""
+def _regions(tree: np.ndarray, order: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by tree and order (n x DEPTH): (first row of the row's region, whether the region is too large).
+
+    Regions are split by up to deepest values.
+    """
     n = len(tree)
     same = np.zeros((n, DEPTH + 1), bool)  # same[i, d]: row i agrees with row i - 1 in tree and the first d values
     same[1:, 0] = tree[1:] == tree[:-1]
     for d in range(DEPTH):
         same[1:, d + 1] = same[1:, d] & (order[1:, d] == order[:-1, d])
     starts = ~same[:, SHALLOW]
-    for d in range(SHALLOW, DEPTH + 1):
+    for d in range(SHALLOW, deepest + 1):
         bounds = np.flatnonzero(starts)
         sizes = np.diff(np.r_[bounds, n])
         big = np.repeat(sizes > REGION, sizes)
-        if d == DEPTH or not big.any():
+        if d == deepest or not big.any():
             break
         starts |= big & ~same[:, d + 1]
     first = np.repeat(bounds, sizes)
@@ -126,13 +129,13 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return SKETCH_BITS - np.bitwise_count(a ^ b).sum(axis=1).astype(np.int16)
 
 
-def _pairs(tree, order, key, sketch, component, best_only: bool):
-    """(smaller key, larger key, agreement) of the pairs that regions propose."""
-    first, big = _regions(tree, order)
-    at = np.arange(len(tree))
-    depth_in = at - first
-    steps = [(d, np.flatnonzero((depth_in >= d) & (~big | (d <= WINDOW)))) for d in range(1, max(REGION, WINDOW + 1))]
-    leader = np.flatnonzero(big & (depth_in > WINDOW))
+def _pairs(tree, order, key, sketch, component, best_only: bool, cut_before: bool, cut_behind: bool):
+    """(smaller key, larger key, agreement) of the pairs that regions propose; the first or last region may be part of one."""
+    first, big = _regions(tree, order, DEPTH if best_only else SHALLOW)
+    depth_in = np.arange(len(tree)) - first
+    window = WINDOW if best_only else 0  # the second round leaves large regions to the join by rare shingles
+    steps = [(d, np.flatnonzero((depth_in >= d) & (~big | (d <= window)))) for d in range(1, max(REGION, WINDOW + 1))]
+    leader = np.flatnonzero(big & (depth_in > WINDOW)) if best_only else np.zeros(0, np.int64)
     left = [rows - d for d, rows in steps if len(rows)] + [first[leader]]
     right = [rows for _, rows in steps if len(rows)] + [leader]
     best = np.zeros(len(tree), np.int16)
@@ -149,19 +152,23 @@ def _pairs(tree, order, key, sketch, component, best_only: bool):
             best[j[better]], mate[j[better]] = score[better], i[better]
         else:
             out.append((i, j, score))
-    if best_only:  # and the rows of large regions, each as its own mate
+    if best_only:
         j = np.flatnonzero(mate >= 0)
-        out = [(mate[j], j, best[j]), _crowded(tree, order)]
+        out = [(mate[j], j, best[j])]
+    else:  # and the rows of large regions, each as its own mate
+        at = _crowded(first, big, component, cut_before, cut_behind)
+        out.append((at, at, np.full(len(at), -1, np.int16)))
     i, j, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
     return np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), score
 
 
-def _crowded(tree, order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows whose region by the first SHALLOW values holds more than REGION rows, in the form of pairs."""
-    starts = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (order[1:, :SHALLOW] != order[:-1, :SHALLOW]).any(axis=1)])
-    sizes = np.diff(np.r_[starts, len(tree)])
-    at = np.flatnonzero(np.repeat(sizes > REGION, sizes))
-    return at, at, np.full(len(at), -1, np.int16)
+def _crowded(first, big, component, cut_before: bool, cut_behind: bool) -> np.ndarray:
+    """The rows of large regions that hold several components, or whose other parts may."""
+    starts, place = np.unique(first, return_inverse=True)
+    mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+    mixed[0] |= cut_before
+    mixed[-1] |= cut_behind
+    return np.flatnonzero(big & mixed[place])
 
 
 def _walk(best_only: bool):
@@ -170,7 +177,7 @@ def _walk(best_only: bool):
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, cut_before = None, True  # a partition's first region may begin in the one before
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -181,13 +188,14 @@ def _walk(best_only: bool):
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1][:, :SHALLOW] != now[1][-1, :SHALLOW]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if len(now[0]) - cut > held_most:
-                cut = len(now[0])
+            full = len(now[0]) - cut > held_most
+            cut = len(now[0]) if full else cut
             held = [x[cut:] for x in now]
             if cut:
-                yield _batch(_pairs(*[x[:cut] for x in now], best_only))
+                yield _batch(_pairs(*[x[:cut] for x in now], best_only, cut_before, full))
+                cut_before = full
         if held is not None and len(held[0]):
-            yield _batch(_pairs(*held, best_only))
+            yield _batch(_pairs(*held, best_only, cut_before, True))
 
     return run
 
@@ -242,25 +250,36 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """Pairs a, b of nodes (key, component, sketch) that may be alike: different components share a shingle of both prefixes."""
+    """Pairs a, b of nodes (key, component, sketch) that may be alike, by the rarest shingles of each set.
+
+    Of two alike sets the larger one has a shingle of the smaller one's first 1 - 2s / (1 + s) among its own first 1 - s
+    (s: the least similarity), and at the first such shingle both have enough shingles left. Texts that share less
+    have none there but what is rare: their template stays out of the join.
+    """
     shingles = work.save(texts_of(texts, nodes.select("key")).mapInArrow(_exploded, "key long, size long, shingle long"), "shingles")
     shared = work.save(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     held = shingles.join(shared, "shingle").groupBy("key").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
     # What no other text has comes first in the order from rare to frequent, and meets nothing.
-    enough = F.floor((NUMERATOR * F.col("size") + (DENOMINATOR - 1)) / DENOMINATOR).cast("long")
-    n = F.col("size") - enough + 1 - (F.col("size") - F.size("held"))
-    prefix = F.slice(F.col("held"), 1, F.greatest(n, F.lit(0)).cast("int"))
+    alone = F.col("size") - F.size("held")
+    rows = held.select("key", "size", alone.alias("alone"), F.posexplode(F.slice("held", 1, F.greatest(_prefix(1) - alone, F.lit(0)).cast("int"))).alias("i", "x"))
     half = lambda i: F.conv(F.hex(F.substring("sketch", i, 8)), 16, -10).cast("long")
     known = nodes.select("key", "component", half(1).alias("s"), half(9).alias("t"))
-    rows = held.select("key", "size", F.explode(prefix).alias("x")).select("key", "size", F.col("x.shingle").alias("shingle")).join(known, "key")
+    rows = rows.select("key", "size", (F.col("i") + F.col("alone")).alias("at"), F.col("x.shingle").alias("shingle")).join(known, "key")
     rows = work.save(rows, "prefixes")
     mixed = work.save(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "mixed")
     rows = work.save(rows.join(mixed, "shingle", "left_semi"), "mixed-prefixes")
-    b = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "component", "s", "t")])
+    small = rows.where(F.col("at") < _prefix(2)).select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "at", "component", "s", "t")])
     agree = SKETCH_BITS - F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) - F.bit_count(F.col("t").bitwiseXOR(F.col("t_b")))
-    alike = (F.col("key") < F.col("key_b")) & (F.col("component") != F.col("component_b")) & (agree >= SKETCH_LIMIT)
-    alike = alike & (DENOMINATOR * F.least("size", "size_b") >= NUMERATOR * F.greatest("size", "size_b"))
-    return rows.join(b, "shingle").where(alike).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+    alike = (F.struct("size_b", "key_b") < F.struct("size", "key")) & (F.col("component") != F.col("component_b")) & (DENOMINATOR * F.col("size_b") >= NUMERATOR * F.col("size"))
+    left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    alike = alike & ((NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (F.col("size") + F.col("size_b"))) & (agree >= SKETCH_LIMIT)
+    return rows.join(small, "shingle").where(alike).select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
+
+
+def _prefix(sides: int) -> Column:
+    """How many shingles of a set of `size` hold one of those that a partner shares: one that is at least as large (2), or any (1)."""
+    enough = F.ceil(sides * NUMERATOR * F.col("size") / (NUMERATOR + DENOMINATOR if sides == 2 else DENOMINATOR))
+    return F.col("size") - enough + 1
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -273,24 +292,28 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     firsts = signed.join(classes, "digest").where(F.col("key") == F.col("rep")).dropDuplicates(["key", "digest"])
     nodes = work.save(firsts.select("key", "forest", "sketch", F.col("key").alias("component")), "nodes")
     texts = plain.where(F.col("key").isNotNull())
-    proposed = work.save(_propose(nodes, True), "proposed")
-    crowded = work.save(proposed.where("agree < 0").select(F.col("a").alias("key")).distinct(), "crowded")
     likest = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    first = proposed.where("agree >= 0").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    first = _propose(nodes, True).groupBy("a", "b").agg(F.max("agree").alias("agree"))
     first = first.withColumn("place", F.row_number().over(likest)).where("place <= 2").select("a", "b")
     links = work.save(_confirmed(work.save(first, "pairs-1"), texts), "links-1")
     labels = work.save(components(links, work, "round-1"), "labels-1")
     named = lambda rows: rows.drop("component").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    for turn, pairs in enumerate((lambda: _propose(named(nodes), False).select("a", "b").distinct(), lambda: _by_rare_shingles(work.save(named(nodes.join(crowded, "key", "left_semi")), "crowded-nodes"), texts, work)), start=2):
-        if turn == 3 and crowded.isEmpty():
-            break
-        more = work.save(pairs(), f"pairs-{turn}")
-        if not more.isEmpty():
-            links = links.union(work.save(_confirmed(more, texts), f"links-{turn}"))
+    proposed = work.save(_propose(named(nodes), False).select("a", "b").distinct(), "proposed")
+    crowded = nodes.join(proposed.where("a = b").select(F.col("a").alias("key")), "key", "left_semi")
+
+    def confirm(pairs: DataFrame, turn: int) -> None:
+        nonlocal links, labels
+        if not pairs.isEmpty():
+            links = links.union(work.save(_confirmed(pairs, texts), f"links-{turn}"))
             labels = work.save(components(links, work, f"round-{turn}"), f"labels-{turn}")
+
+    confirm(work.save(proposed.where("a <> b"), "pairs-2"), 2)
+    crowded = work.save(named(crowded), "crowded")
+    if not crowded.isEmpty():
+        confirm(work.save(_by_rare_shingles(crowded, texts, work), "pairs-3"), 3)
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("key", "n_shingles", "digest").join(found, "digest", "left").withColumn("component", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")))
     out = out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
     out = work.save(out, "out")
-    work.drop("signed", "classes", "nodes", "proposed", "crowded", "crowded-nodes", "shingles", "shared", "prefixes", "mixed", "mixed-prefixes", *[f"{x}-{k}" for k in (1, 2, 3) for x in ("pairs", "links", "labels")])
+    work.drop("signed", "classes", "nodes", "proposed", "crowded", "shingles", "shared", "prefixes", "mixed", "mixed-prefixes", *[f"{x}-{k}" for k in (1, 2, 3) for x in ("pairs", "links", "labels")])
     return out
