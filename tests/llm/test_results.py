@@ -317,8 +317,8 @@ def test_forest_splits_large_regions(spark):
 def test_forest_of_texts_on_one_template(spark):
     shared = [f"t{i}" for i in range(204)]
     own = lambda mark, n: [f"{mark}x{i}" for i in range(n)]
-    rows = [(i, " ".join(shared + own(f"a{i}", 43))) for i in range(2000)]  # 0.70 with each other
-    for k in range(200):  # pairs of 0.77, far apart in the order of keys
+    rows = [(i, " ".join(shared + own(f"a{i}", 43))) for i in range(800)]  # 0.70 with each other
+    for k in range(100):  # pairs of 0.77, far apart in the order of keys
         both = own(f"p{k}", 12)
         rows += [(3000 + k, " ".join(shared + both + own(f"b{k}", 31))), (9000 - k, " ".join(shared + both + own(f"c{k}", 31)))]
     out = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
