@@ -9,8 +9,9 @@ from .operators import catalog, endpoints as E, expand, kwic, relations as R, se
 from .queries import DOCS, NEAR_SQL, corpus, places, query, sql_hits, table
 from .sources import sinks
 
-PLACES = F.array_join(F.transform("kwics", lambda x: x["pos"].cast("string")), ",").alias("places")
-FIRST = F.get("kwics", F.lit(0))["left"].alias("first_left")
+
+def _places():
+    return F.array_join(F.transform("kwics", lambda x: x["pos"].cast("string")), ",").alias("places")
 
 
 # Composed searches.
@@ -22,7 +23,7 @@ FIRST = F.get("kwics", F.lit(0))["left"].alias("first_left")
 )
 def all_in_one(spark, sf):
     found = E.all_in_one(corpus(spark, sf), "doc_id", "content", '"to be"', order="term_hits", start=5, rows=10, around=12)
-    return found.results.select("doc_id", "term_hits", PLACES, FIRST)
+    return found.results.select("doc_id", "term_hits", _places(), F.get("kwics", F.lit(0))["left"].alias("first_left"))
 
 
 TUPLES = NEAR_SQL + ", t as (select doc_id, p1, p2 from a join b using (doc_id) where (p2 >= p1 and p2-p1-6 <= 20) or (p2 < p1 and p1-p2-6 <= 20)) "
@@ -31,7 +32,7 @@ TUPLES = NEAR_SQL + ", t as (select doc_id, p1, p2 from a join b using (doc_id)
 @query(TUPLES + "select doc_id, count(*) term_hits, string_agg(cast(least(p1, p2) as varchar), ',' order by least(p1, p2)) places from t group by 1 order by doc_id limit 15 offset 5")
 def all_in_one_near(spark, sf):
     found = E.all_in_one(corpus(spark, sf), "doc_id", "content", '"of the" NEAR/20 "in the"', start=5, rows=15)
-    return found.results.select("doc_id", "term_hits", PLACES)
+    return found.results.select("doc_id", "term_hits", _places())
 
 
 @query(TUPLES + "select 'lang' facet, lang as value, count(distinct t.doc_id) docs, count(*) hits from t join documents using (doc_id) group by 2 union all select 'source', source, count(distinct t.doc_id), count(*) from t join documents using (doc_id) group by 2")
@@ -47,7 +48,7 @@ def near_totals(spark, sf):
 @query(places("of the") + ", g as (select doc_id, pos from h where substr(c, pos, 8) <> 'of their') select doc_id, count(*) term_hits, string_agg(cast(pos as varchar), ',' order by pos) places from g group by 1 order by 2 desc, 1 limit 10")
 def all_in_one_exclude(spark, sf):
     found = E.all_in_one(corpus(spark, sf), "doc_id", "content", '"of the" -"of their"', order="term_hits", rows=10)
-    return found.results.select("doc_id", "term_hits", PLACES)
+    return found.results.select("doc_id", "term_hits", _places())
 
 
 @query(
