@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -27,6 +29,11 @@ def rows(columns, values):
     return sorted([tuple(repr(round(r[i], 6)) if isinstance(r[i], float) else str(r[i]) for i in order) for r in values])
 
 
+def test_the_entry_needs_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 130"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
