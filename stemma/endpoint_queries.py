@@ -140,11 +140,11 @@ WORDS = ["the", "of", "and", "in", "the", "tion"]
     "f as (select doc_id, x, " + ", ".join(f"len(list_filter(ws, lambda y: y = '{w}')) n_{w}" for w in dict.fromkeys(WORDS)) + " from w), "
     "g as (select count(*) n, " + ", ".join(f"count_if(n_{w} > 0) d_{w}" for w in dict.fromkeys(WORDS)) + " from f) "
     "select doc_id, cast(greatest(0, " + ", ".join(f"case when contains(x, ' {' '.join(WORDS[i:j])} ') then {j - i} else 0 end" for i in range(6) for j in range(i + 1, 7)) + ") as int) lcs, "
-    + " + ".join(f"n_{w} * 2.2 / (n_{w} + 1.2) * greatest(0.0, ln((n - d_{w} + 1) / greatest(d_{w}, 1)))" for w in dict.fromkeys(WORDS))
-    + " as bm25 from f, g where " + " + ".join(f"cast(n_{w} > 0 as int)" for w in dict.fromkeys(WORDS)) + " >= 2.5"
+    + "round(" + " + ".join(f"n_{w} * 2.2 / (n_{w} + 1.2) * greatest(0.0, ln((n - d_{w} + 1) / greatest(d_{w}, 1)))" for w in dict.fromkeys(WORDS))
+    + ", 6) as bm25 from f, g where " + " + ".join(f"cast(n_{w} > 0 as int)" for w in dict.fromkeys(WORDS)) + " >= 2.5"
 )
 def ranked_candidates(spark, sf):
-    return similar.ranked(table(spark, sf, "documents"), "doc_id", "text", WORDS, k=1_000_000).select("doc_id", "lcs", F.round("bm25", 12).alias("bm25"))
+    return similar.ranked(table(spark, sf, "documents"), "doc_id", "text", WORDS, k=1_000_000).select("doc_id", "lcs", F.round("bm25", 6).alias("bm25"))
 
 
 # Lookups.
