@@ -13,8 +13,8 @@ Items that templates can't tell are compared word by word: those of fewer than W
 LEAST_CHARS letters and digits (a single common word is no question), and those with too few windows that are not
 mostly placeholders by their literal windows.
 
-The windows of a document that can't be any item's, by a bitmap of fixed size, are dropped inside the row, so that
-only likely ones become rows. Item windows are broadcast up to BROADCAST_WINDOWS, beyond that Spark joins by shuffle.
+The windows of a document that can't be any item's, by a bitmap of fixed size, are dropped as soon as they are rows, so
+that only likely ones are joined or moved. Item windows are broadcast up to BROADCAST_WINDOWS, beyond that Spark joins by shuffle.
 The second pass, which needs values, reads only documents with a passage that has placeholders.
 
 Cases: null and empty texts match nothing; items of fewer than LEAST_CHARS letters and digits match nothing; rows of
@@ -72,18 +72,18 @@ def _template(tokens: str) -> Column:
 
 
 def _windows(template: str) -> Column:
-    """pos, hash of each window of template tokens."""
+    """The hash of each window of template tokens."""
     n = F.size(template) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(template, i, WINDOW)).alias("hash")))
-    return F.when(n > 0, hashes).otherwise(F.array().cast("array<struct<pos:int,hash:long>>"))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(template, i, WINDOW)))
+    return F.when(n > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
 def _literal(tokens: str, width: Column) -> Column:
-    """pos, hash of each window of words in lower case, of the given width."""
+    """The hash of each window of words in lower case, of the given width."""
     n = F.size(tokens) - (width - 1)
     words = F.transform(tokens, lambda w: F.lower(F.replace(w, F.lit(NAME), F.lit(""))))
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(width, F.slice(words, i, width)).alias("hash")))
-    return F.when(n > 0, hashes).otherwise(F.array().cast("array<struct<pos:int,hash:long>>"))
+    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(width, F.slice(words, i, width)))
+    return F.when(n > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
 def _bitmap(hashes: DataFrame) -> Column:
@@ -104,12 +104,13 @@ def _may_hold(bits: Column, h: Column) -> Column:
 def _item_windows(bench: DataFrame) -> DataFrame:
     """item, iversion, n_windows, ipos, hash, plain (no placeholder inside), width (of literal windows, else null)."""
     filled = lambda i: F.size(F.filter(F.slice("template", i + 1, WINDOW), lambda t: t.isin("#", "@", "%")))
-    told = F.transform(F.filter("windows", lambda x: filled(x["pos"]) <= WINDOW // 2), lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), (filled(x["pos"]) == 0).alias("plain")))
+    told = F.filter(F.transform("windows", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), filled(i).alias("filled"))), lambda x: x["filled"] <= WINDOW // 2)
+    told = F.transform(told, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), (x["filled"] == 0).alias("plain")))
     n = F.size("template")
     enough = F.length(F.regexp_replace(F.array_join("tokens", ""), r"[^\p{L}\p{N}]+", "")) >= LEAST_CHARS
     width = F.when((n < WINDOW) & enough, n).when((n >= WINDOW) & (F.size("_told") < F.least(F.lit(MIN_MATCHES), n - (WINDOW - 1))), F.lit(WINDOW))
     rows = bench.withColumn("_told", told).withColumn("width", width)
-    literal = F.transform(_literal("tokens", F.col("width")), lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.lit(True).alias("plain")))
+    literal = F.transform(_literal("tokens", F.col("width")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(True).alias("plain")))
     rows = rows.withColumn("_own", F.when(F.col("width").isNotNull(), literal).otherwise(F.col("_told")))
     rows = rows.select(F.col("id").alias("item"), F.col("version").alias("iversion"), "width", F.size("_own").alias("n_windows"), F.explode_outer("_own").alias("x"))
     return rows.where(F.col("x").isNotNull()).select("item", "iversion", "n_windows", "width", F.col("x.pos").alias("ipos"), "x.hash", "x.plain")
@@ -136,11 +137,12 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     small = spread.count() <= BROADCAST_WINDOWS
     bits = _bitmap(spread)
     widths = sorted(r.width for r in spread.where("width is not null").select("width").distinct().collect())  # 1 to WINDOW
-    theirs = _templated(docs, key, text)
-    all_windows = [_windows("template"), *[_literal("tokens", F.lit(w)) for w in widths]]
-    likely = [F.filter(w, lambda x: _may_hold(bits, x["hash"])) for w in all_windows]
-    theirs = theirs.select("id", "version", F.explode_outer(F.concat(*likely) if widths else likely[0]).alias("x")).select("id", "version", "x.pos", "x.hash")
     # Outer explosion: Spark infers a filter from the inner one and would push it, with the whole template, below.
+    # What the bitmap rules out goes right behind it, before anything is joined or moved.
+    theirs = None
+    for windows in [_windows("template"), *[_literal("tokens", F.lit(w)) for w in widths]]:
+        rows = _templated(docs, key, text).select("id", "version", F.posexplode_outer(windows).alias("pos", "hash")).where(_may_hold(bits, F.col("hash")))
+        theirs = rows if theirs is None else theirs.union(rows)
     met = theirs.join(F.broadcast(spread) if small else spread, "hash")
     group = ["id", "version", "item", "iversion", (F.col("pos") - F.col("ipos")).alias("diagonal")]
     passages = met.groupBy(*group).agg(
