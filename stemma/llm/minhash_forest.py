@@ -301,16 +301,15 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     proposed = work.save(_propose(named(nodes), False).select("a", "b").distinct(), "proposed")
     crowded = nodes.join(proposed.where("a = b").select(F.col("a").alias("key")), "key", "left_semi")
 
-    def confirm(pairs: DataFrame, turn: int) -> None:
-        nonlocal links, labels
-        if not pairs.isEmpty():
-            links = links.union(work.save(_confirmed(pairs, texts), f"links-{turn}"))
-            labels = work.save(components(links, work, f"round-{turn}"), f"labels-{turn}")
-
-    confirm(work.save(proposed.where("a <> b"), "pairs-2"), 2)
+    more = [work.save(proposed.where("a <> b"), "pairs-2")]
     crowded = work.save(named(crowded), "crowded")
     if not crowded.isEmpty():
-        confirm(work.save(_by_rare_shingles(crowded, texts, work), "pairs-3"), 3)
+        more.append(work.save(_by_rare_shingles(crowded, texts, work), "pairs-3"))
+    found = [work.save(_confirmed(pairs, texts), f"links-{i}") for i, pairs in enumerate(more, start=2) if not pairs.isEmpty()]
+    if found:
+        for part in found:
+            links = links.union(part)
+        labels = work.save(components(links, work, "round-2"), "labels-2")
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("key", "n_shingles", "digest").join(found, "digest", "left").withColumn("component", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")))
     out = out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
