@@ -12,11 +12,11 @@
 4. Second round: the forest is walked again with component labels. In a region of up to REGION rows by the first
    SHALLOW values every pair that the sketch doesn't rule out and whose components differ is confirmed. Within a
    large group of near copies nothing is left to do then, so no group gives all its pairs.
-5. Rows of larger regions that hold several components, in any tree, are joined once more, without the forest: each
-   keeps the rarest shingles of its set, as many as a partner of the wanted similarity can't avoid all of (the prefix
-   filter), and rows of different components that share one of them are confirmed. So texts on one template, whose
-   regions are too large to be looked at row by row, lose no link. Shingles that one component alone holds are left
-   out, so a group of near copies gives no pairs here either.
+5. Rows of larger regions that hold several components, and of regions that a border cuts, in any tree, are joined
+   once more, without the forest: each keeps the rarest shingles of its set, as many as a partner of the wanted
+   similarity can't avoid all of (the prefix filter), and rows of different components that share one of them are
+   confirmed. So texts on one template, whose regions are too large to be looked at row by row, lose no link.
+   Shingles that one component alone holds are left out, so a group of near copies gives no pairs here either.
 
 A pair of similarity 0.75 shares no region in any of 16 trees with probability 0.4375 ** 16 = 2e-6, and its sketch
 falls under the limit with 1e-7. Measured recall of links against brute force stands in the README.
@@ -132,6 +132,8 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pairs(tree, order, key, sketch, component, best_only: bool, cut_before: bool, cut_behind: bool):
     """(smaller key, larger key, agreement) of the pairs that regions propose; the first or last region may be part of one."""
     first, big = _regions(tree, order, DEPTH if best_only else SHALLOW)
+    if not best_only:  # a region of which a part lies elsewhere counts as large, however few rows are here
+        big = big | (cut_before & (first == first[0])) | (cut_behind & (first == first[-1]))
     depth_in = np.arange(len(tree)) - first
     window = WINDOW if best_only else 0  # the second round leaves large regions to the join by rare shingles
     steps = [(d, np.flatnonzero((depth_in >= d) & (~big | (d <= window)))) for d in range(1, max(REGION, WINDOW + 1))]

@@ -314,6 +314,23 @@ def test_forest_splits_large_regions(spark):
     assert {r.component_id for r in out.collect()} == {0}
 
 
+@pytest.mark.parametrize("rows", [(45, 45), (1, 3), (20_480, 30)])
+def test_forest_hands_on_regions_that_a_border_cuts(rows):
+    """Every row of a cut region goes to the join by rare shingles, on both sides, however few there are."""
+    rng = np.random.default_rng(1)
+
+    def batch(n, start):
+        fixed = lambda w: pa.array([rng.integers(0, 256, w, dtype=np.uint8).tobytes() for _ in range(n)], pa.binary())
+        order = pa.array([b"\0\1\0\2" + bytes([i >> 8, i & 255] * 6) for i in range(n)], pa.binary())
+        keys = pa.array(np.arange(start, start + n))
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), order, keys, fixed(16), keys], ["tree", "order", "key", "sketch", "component"])
+
+    for n, start in zip(rows, (0, rows[0])):
+        out = pa.Table.from_batches(minhash_forest._walk(False)(iter([batch(n, start)])))
+        crowded = {a for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist()) if a == b}
+        assert crowded == set(range(start, start + n))
+
+
 def test_forest_of_texts_on_one_template(spark):
     shared = [f"t{i}" for i in range(204)]
     own = lambda mark, n: [f"{mark}x{i}" for i in range(n)]
