@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bradley_terry, decontaminate, license_scan, minhash_forest, passages, quality_rules, suffix_dedup
+from . import bradley_terry, decontaminate, fill_in_middle, importance, language_id, license_scan, minhash_forest, passages, quality_rules, suffix_dedup
 from .piece_bpe import encode_digests
 from .sql import SQL  # noqa: F401
 from .token_counts import count_tokens
@@ -73,4 +73,25 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(documents(spark, sf_dir), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry, op2_decontaminate, op3_quality_rules, op4_suffix_dedup, op5_piece_bpe, op6_token_files, op7_license_scan, op8_passages, op9_token_counts, op10_minhash_forest)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "text")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    predicted = language_id.predict(docs, "doc_id", "text", language_id.train(docs, "text", "lang", ~held_out))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir), "doc_id", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bradley_terry, op2_decontaminate, op3_quality_rules, op4_suffix_dedup, op5_piece_bpe, op6_token_files, op7_license_scan, op8_passages, op9_token_counts, op10_minhash_forest,
+        op11_importance, op12_language_id, op13_fill_in_middle,
+    )
+}

@@ -49,4 +49,43 @@ k as (select doc_id, min(other) component_id from r group by 1)
 select doc_id, coalesce(n.n, 0) n_shingles, component_id, doc_id = component_id kept from k left join n using (doc_id)"""
 
 
-SQL = {"op3_quality_rules": quality_rules(), "op10_minhash_forest": near_duplicates()}
+_FIM = ("<P>", "<S>", "<M>")
+
+
+def fill_in_middle() -> str:
+    h = lambda k: f"('0x' || substr(x, {8 * (k - 1) + 1}, 8))::bigint"
+    p, s, m = _FIM
+    plain = " or ".join(["n = 0", *[f"contains(t, '{mark}')" for mark in _FIM], f"{h(3)} % 100 >= 90"])
+    return f"""with d as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(doc_id::varchar, '')) x from documents),
+c as (select *, least({h(1)} % (n + 1), {h(2)} % (n + 1)) a, greatest({h(1)} % (n + 1), {h(2)} % (n + 1)) b, case when {plain} then 'plain' when {h(4)} % 100 < 20 then 'spm' else 'psm' end form from d),
+o as (select *, substr(t, 1, a) prefix, substr(t, a + 1, b - a) middle, substr(t, b + 1) suffix from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+  sha256(case form when 'psm' then '{p}' || prefix || '{s}' || suffix || '{m}' || middle when 'spm' then '{s}' || suffix || '{p}' || prefix || '{m}' || middle else t end) output_sha256,
+  sha256(case form when 'plain' then t else prefix || middle || suffix end) restored_sha256
+from o"""
+
+
+def importance() -> str:
+    """CRC-32 is computed for each distinct word, byte by byte, from a table that its rule gives."""
+    words = lambda c: rf"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    step = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    return f"""with recursive r as (select i, 0 k, i::bigint x from range(256) q(i) union all select i, k + 1, {step} from r where k < 8),
+crc_table as (select list(x order by i) places from r where k = 8),
+d as (select doc_id, {words('text')} w from documents), b as (select {words('text')} w from benchmark),
+dw as (select doc_id, unnest(w) word from d), bw as (select unnest(w) word from b),
+distinct_words as (select word from dw union select word from bw),
+bytes as (select word, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint) v from distinct_words),
+crc as (select word, xor(list_reduce(v, lambda a, y: xor(places[(xor(a, y) & 255) + 1], a >> 8), 4294967295::bigint), 4294967295) % 10000 bucket from bytes, crc_table),
+n as (select range bucket from range(10000)),
+s as (select bucket, count(*) c from dw join crc using (word) group by 1), t as (select bucket, count(*) c from bw join crc using (word) group by 1),
+total as (select (select count(*) from dw) s, (select count(*) from bw) t),
+gain as (select n.bucket, floor(1000 * ln((coalesce(t.c, 0) + 1)::double * (total.s + 10000)::double / ((coalesce(s.c, 0) + 1)::double * (total.t + 10000)::double)))::bigint g
+  from n left join s using (bucket) left join t using (bucket), total),
+weight as (select doc_id, sum(g)::bigint w from dw join crc using (word) join gain using (bucket) group by 1),
+h as (select doc_id, len(w) n_words, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint h from d),
+scored as (select h.doc_id, n_words, coalesce(w, 0)::bigint weight, coalesce(w, 0)::bigint + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296)))::bigint score from h left join weight using (doc_id)),
+placed as (select *, row_number() over (order by n_words < 20, score desc, doc_id) place, count(*) filter (n_words >= 20) over () eligible from scored)
+select doc_id, n_words::bigint n_features, weight, score, case when n_words >= 20 and place <= 10 * eligible // 100 then place end rank, n_words::bigint n_words from placed"""
+
+
+SQL = {"op3_quality_rules": quality_rules(), "op10_minhash_forest": near_duplicates(), "op11_importance": importance(), "op13_fill_in_middle": fill_in_middle()}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stemma.llm import bradley_terry, decontaminate, license_scan, minhash_forest, passages, piece_bpe, quality_rules, suffix_dedup, token_counts, token_files
+from stemma.llm import bradley_terry, decontaminate, fill_in_middle, importance, language_id, license_scan, minhash_forest, passages, piece_bpe, quality_rules, suffix_dedup, token_counts, token_files
 from stemma.llm.queries import tokenizer
 from stemma.llm.workspace import Workspace
 
@@ -56,10 +56,13 @@ def operators(spark):
         "passages": lambda d: passages.find_passages(d, "doc_id", "text"),
         "counts": lambda d: token_counts.count_tokens(d, "doc_id", "text", tokenizer("piece_bpe_32k.model"), Workspace(spark, "t").path("cache")),
         "forest": lambda d: minhash_forest.near_duplicates(d, "doc_id", "text"),
+        "resampled": lambda d: importance.resample(d, "doc_id", "text", items, "text"),
+        "languages": lambda d: language_id.predict(d, "doc_id", "text", language_id.train(d, "text", "lang", F.lit(True))),
+        "filled": lambda d: fill_in_middle.digests(d, "doc_id", "text"),
     }
 
 
-PER_ROW = ["scored", "rules", "suffix", "pieces", "files", "licences", "counts", "forest"]
+PER_ROW = ["scored", "rules", "suffix", "pieces", "files", "licences", "counts", "forest", "resampled", "languages", "filled"]
 
 
 @pytest.mark.parametrize("name", PER_ROW)
