@@ -48,6 +48,7 @@ REGION, WINDOW = 48, 8
 SKETCH_BITS = TREES * DEPTH
 SKETCH_LIMIT = 91  # of 128: 5.5 standard deviations below what similarity 0.75 gives
 BROADCAST_KEYS = 1_000_000
+LEAD = 16
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 31, SKETCH_BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SKETCH_BITS, dtype=np.uint32)
@@ -270,11 +271,18 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, work: Workspace) -> Da
     rows = work.save(rows, "prefixes")
     mixed = work.save(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "mixed")
     rows = work.save(rows.join(mixed, "shingle", "left_semi"), "mixed-prefixes")
-    small = rows.where(F.col("at") < _prefix(2)).select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "at", "component", "s", "t")])
+    # Two texts meet at each of their common shingles, in the same order; they are paired at the first one that both have
+    # among their LEAD rarest, and only where there is none at each.
+    ahead = F.slice(F.sort_array(F.collect_list(F.struct("at", "shingle"))), 1, LEAD)
+    rows = rows.join(rows.groupBy("key").agg(ahead.alias("ahead")), "key")
+    lead = lambda most: F.transform(F.filter("ahead", lambda x: x["at"] < most) if most is not None else F.col("ahead"), lambda x: x["shingle"])
+    small = rows.where(F.col("at") < _prefix(2)).withColumn("lead", lead(_prefix(2))).select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "at", "component", "s", "t", "lead")])
+    rows = rows.withColumn("lead", lead(None)).drop("ahead")
     agree = SKETCH_BITS - F.bit_count(F.col("s").bitwiseXOR(F.col("s_b"))) - F.bit_count(F.col("t").bitwiseXOR(F.col("t_b")))
     alike = (F.struct("size_b", "key_b") < F.struct("size", "key")) & (F.col("component") != F.col("component_b")) & (DENOMINATOR * F.col("size_b") >= NUMERATOR * F.col("size"))
     left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
     alike = alike & ((NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (F.col("size") + F.col("size_b"))) & (agree >= SKETCH_LIMIT)
+    alike = alike & F.coalesce(F.get(F.array_intersect("lead", "lead_b"), F.lit(0)) == F.col("shingle"), F.lit(True))
     return rows.join(small, "shingle").where(alike).select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
