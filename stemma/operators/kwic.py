@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,9 +26,15 @@ def occurrences(docs: DataFrame, key: str, content: str, keywords: str | Sequenc
     words = keywords.split(",") if isinstance(keywords, str) else list(keywords)
     text = F.col(content)
     held = docs.where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
-    size = max(256, 2 * around + max(map(len, words), default=0))
+    of_text = lambda c: with_contexts(c, {w: positions(c, w) for w in words}, around)
+    return held.select(key, F.explode_outer(bound(text, of_text)).alias("o")).where(F.col("o").isNotNull()).select(key, "o.*")
+
 
-    def of(word: str, blocks: Column, c: Column) -> Column:
+def with_contexts(text: Column, places: Mapping[str, Column], around: int) -> Column:
+    """keyword, pos, left, right of each place of each keyword, as one array."""
+    size = max(256, 2 * around + max(map(len, places), default=0))
+
+    def of(word: str, at_places: Column, blocks: Column) -> Column:
         def place(p: Column) -> Column:
             start = F.greatest(F.lit(1), p - around)
             at = F.floor((start - 1) / size).cast("int")
@@ -38,12 +44,9 @@ def occurrences(docs: DataFrame, key: str, content: str, keywords: str | Sequenc
                 F.substring(s, start - at * size, p - start).alias("left"), F.substring(s, p + len(word) - at * size, F.lit(around)).alias("right"),
             ))
 
-        return F.transform(positions(c, word), place)
+        return F.transform(at_places, place)
 
-    def of_text(c: Column) -> Column:
-        return bound(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda blocks: F.flatten(F.array(*[of(w, blocks, c) for w in words])))
-
-    return held.select(key, F.explode_outer(bound(text, of_text)).alias("o")).where(F.col("o").isNotNull()).select(key, "o.*")
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda blocks: F.flatten(F.array(*[of(w, p, blocks) for w, p in places.items()])))
 
 
 def concordance(found: DataFrame, sort: str, tie: Sequence[str]) -> DataFrame:
@@ -90,7 +93,11 @@ def near(docs: DataFrame, key: str, content: str, terms: Sequence[str], gaps: Se
     """
     text = F.col(content)
     held = docs.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)))
-    places = lambda t, name: held.select(key, F.explode_outer(positions(text, t)).alias(name)).where(F.col(name).isNotNull())
+    return chain(lambda t, name: held.select(key, F.explode_outer(positions(text, t)).alias(name)).where(F.col(name).isNotNull()), key, terms, gaps)
+
+
+def chain(places: Callable[[str, str], DataFrame], key: str, terms: Sequence[str], gaps: Sequence[int]) -> DataFrame:
+    """near() of the places (key, and a column of the given name) that a function gives of each term."""
     out = places(terms[0], "p1")
     for i, (one, two, gap) in enumerate(zip(terms, terms[1:], gaps), start=1):
         a, b = F.col(f"p{i}"), F.col(f"p{i + 1}")

@@ -155,47 +155,88 @@ def _all(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns)
 
 
-def predicate(tree, text: Column) -> Column:
+class OfText:
+    """What a query asks of one searchable text: whether it holds a phrase, and how often."""
+
+    def __init__(self, text: Column):
+        self.text = text
+
+    def holds(self, q: str) -> Column:
+        return F.contains(self.text, F.lit(q))
+
+    def hits(self, q: str) -> Column:
+        return hits(self.text, q)
+
+
+def predicate(tree, text: Column | OfText) -> Column:
     """Whether a searchable text matches; NEAR is only narrowed down, search.match() decides by kwic.near()."""
+    of = OfText(text) if isinstance(text, Column) else text
     match tree:
         case Phrase(q):
-            return F.contains(text, F.lit(q))
+            return of.holds(q)
         case And(parts):
-            return _all([predicate(p, text) for p in parts])
+            return _all([predicate(p, of) for p in parts])
         case Or(parts):
-            return reduce(lambda a, b: a | b, [predicate(p, text) for p in parts])
+            return reduce(lambda a, b: a | b, [predicate(p, of) for p in parts])
         case Not(part):
-            return ~predicate(part, text)
+            return ~predicate(part, of)
         case Near(terms, _):
-            return _all([F.contains(text, F.lit(t)) for t in terms])
+            return _all([of.holds(t) for t in terms])
         case Exclude(q, longer):
-            return F.contains(text, F.lit(q)) & (hits(text, q) > hits(text, longer))
+            return of.holds(q) & (of.hits(q) > of.hits(longer))
         case Quorum(parts, least):
             distinct = list(dict.fromkeys(parts))
             need = least * len(distinct) if least < 1 else min(least, len(distinct))
-            return reduce(lambda a, b: a + b, [F.contains(text, F.lit(p)).cast("int") for p in distinct]) >= need
+            return reduce(lambda a, b: a + b, [of.holds(p).cast("int") for p in distinct]) >= need
     raise TypeError(tree)
 
 
-def hit_count(tree, text: Column) -> Column:
+def hit_count(tree, text: Column | OfText) -> Column:
     """Occurrences of all phrases that count for a match."""
+    of = OfText(text) if isinstance(text, Column) else text
     match tree:
         case Phrase(q):
-            return hits(text, q)
+            return of.hits(q)
         case And(parts) | Or(parts):
-            counted = [hit_count(p, text) for p in parts if not isinstance(p, Not)]
+            counted = [hit_count(p, of) for p in parts if not isinstance(p, Not)]
             return reduce(lambda a, b: a + b, counted) if counted else F.lit(0).cast("long")
         case Not(_):
             return F.lit(0).cast("long")
         case Near():
             return F.lit(0).cast("long")  # its tuples are counted where they are found
         case Exclude(q, longer):
-            return hits(text, q) - hits(text, longer)
+            return of.hits(q) - of.hits(longer)
         case Quorum(parts, _):
-            return reduce(lambda a, b: a + b, [hits(text, p) for p in dict.fromkeys(parts)])
+            return reduce(lambda a, b: a + b, [of.hits(p) for p in dict.fromkeys(parts)])
     raise TypeError(tree)
 
 
+def mentioned(tree) -> list[str]:
+    """Every phrase that decides a match, negated and excluded ones too."""
+    match tree:
+        case Not(part):
+            return mentioned(part)
+        case And(parts) | Or(parts):
+            return list(dict.fromkeys(q for p in parts for q in mentioned(p)))
+        case Exclude(q, longer):
+            return [q, longer]
+    return phrases(tree)
+
+
+def matches_nothing_held(tree) -> bool:
+    """Whether a text that holds none of the phrases matches."""
+    match tree:
+        case Not(part):
+            return not matches_nothing_held(part)
+        case And(parts):
+            return all(map(matches_nothing_held, parts))
+        case Or(parts):
+            return any(map(matches_nothing_held, parts))
+        case Quorum(_, least):
+            return least <= 0
+    return False
+
+
 def near_parts(tree) -> list[Near]:
     """The NEAR chains that a text must have; elsewhere than in an AND they can't be verified."""
 

@@ -100,6 +100,26 @@ def publish(spark: SparkSession, staged: str, path: str) -> None:
     fs.delete(kept, True)
 
 
+def _file_system(spark: SparkSession, uri: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    fs, path = _file_system(spark, uri)
+    return fs.exists(path)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    fs, path = _file_system(spark, uri)
+    fs.delete(path, True)
+
+
+def escaped(spark: SparkSession, value: str) -> str:
+    """A value as Spark writes it in the name of a partition's folder."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
 def listing(changes: DataFrame, version: str, order: Sequence[str], text: str) -> DataFrame:
     """One text for each version: a heading and its lines in order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text])
