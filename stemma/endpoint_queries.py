@@ -126,10 +126,12 @@ def converted_script(spark, sf):
     return expand.converted(docs, "text", {"à": "a", "é": "e"}, "other").select("doc_id", F.col("other").alias("text"))
 
 
-@query("select * from (values ('office'), ('o昌ce')) t(spelling)")
+@query("select distinct replace(replace(w, 'ﬁ', 'fi'), 'ﬂ', 'fl') spelling from (select unnest(string_split(p_name, ' ')) w from part)")
 def ligature_variants(spark, sf):
-    spellings = expand.expansions(spark, "oﬃce", {"ﬃ": "ffi,昌"})
-    return expand.without_ligatures(spellings, "spelling", {"ﬃ": "ffi"})
+    """Words of part names, and again with ligatures: what becomes equal is one."""
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("spelling"))
+    joined = words.select(F.replace(F.replace("spelling", F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ")).alias("spelling"))
+    return expand.without_ligatures(words.union(joined), "spelling", {"ﬁ": "fi", "ﬂ": "fl"})
 
 
 WORDS = ["the", "of", "and", "in", "the", "tion"]

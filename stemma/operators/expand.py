@@ -37,6 +37,20 @@ def expansions(spark: SparkSession, query: str, variants: dict[str, str], docs:
     return out.distinct().withColumnRenamed("s", "spelling")
 
 
+def spellings(words: DataFrame, column: str, variants: DataFrame) -> DataFrame:
+    """word, spelling: all spellings of each word of a table, by a dictionary (k, vars: a character's forms, parted by commas).
+
+    The characters are joined to the dictionary; a word's product grows inside its row. It is as large as the forms make
+    it, so give words, not texts.
+    """
+    forms = variants.select(F.col("k").alias("_c"), F.explode(F.split("vars", ",")).alias("_f")).where("_f <> ''").groupBy("_c").agg(F.collect_set("_f").alias("_forms"))
+    each = words.select(F.col(column).alias("word")).distinct().where("word is not null").select("word", F.posexplode(F.split("word", "")).alias("_at", "_c"))
+    known = each.join(forms, "_c", "left").withColumn("_all", F.array_distinct(F.concat(F.array("_c"), F.coalesce("_forms", F.array().cast("array<string>")))))
+    rows = known.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_all"))), lambda x: x["_all"]).alias("_p"))
+    grown = F.aggregate("_p", F.array(F.lit("")), lambda done, of: F.flatten(F.transform(done, lambda s: F.transform(of, lambda x: F.concat(s, x)))))
+    return rows.select("word", F.explode(grown).alias("spelling")).distinct()
+
+
 def held(docs: DataFrame, content: str, spellings: Sequence[str]) -> DataFrame:
     """s: those of the spellings that some text holds, by one scan."""
     there = F.filter(F.array(*[F.lit(s) for s in dict.fromkeys(spellings)]), lambda s: F.contains(F.col(content), s))

@@ -10,6 +10,7 @@ from ..plans.cut import cut
 
 MOST_LEVELS = 100_000
 
+
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, take: Sequence[str]) -> DataFrame:
     """Each row of left with the columns `take` of the last row of right at or before it, in the same group.
 
@@ -78,15 +79,36 @@ def paths(nodes: DataFrame, separator: str = "/") -> DataFrame:
 
 
 def subtree(nodes: DataFrame, root: str) -> DataFrame:
-    """id, depth of all nodes below root, itself included, level by level."""
+    """id, depth of all nodes below root, itself included, level by level. A circle, or more than MOST_LEVELS levels, is an error."""
     level = cut(nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth")))
     out, parents = level, nodes.select(F.col("id").alias("_id"), "parent")
     for depth in range(1, MOST_LEVELS + 1):
         level = cut(level.join(parents, F.col("id") == F.col("parent")).select(F.col("_id").alias("id"), F.lit(depth).alias("depth")))
         if level.isEmpty():
-            break
+            return out
+        if not level.where(F.col("id") == root).isEmpty():  # a circle below the root leads back to it, as a node has one parent
+            raise ValueError(f"{root} lies below itself")
         out = out.unionByName(level)
-    return out
+    raise ValueError(f"more than {MOST_LEVELS} levels below {root}")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, label of the nodes of pairs (a, b): the least node that can be reached, itself included.
+
+    Each round gives every node the least label of its neighbours, and then that label's own label, so that long chains
+    halve; a hub's neighbours are pre-aggregated. Rounds end when no label changes.
+    """
+    edges = cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct())
+    labels = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct().withColumn("label", F.col("node")))
+    while True:
+        named = labels.select(F.col("node").alias("b"), F.col("label").alias("_near"))
+        nearest = edges.join(named, "b").groupBy(F.col("a").alias("node")).agg(F.min("_near").alias("_near"))
+        lower = labels.join(nearest, "node", "left").select("node", F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("_mid"))
+        jump = labels.select(F.col("node").alias("_mid"), F.col("label").alias("_far"))
+        newer = cut(lower.join(jump, "_mid").select("node", F.least("_mid", "_far").alias("label"), (F.least("_mid", "_far") < F.col("_old")).alias("changed")))
+        labels = newer.select("node", "label")
+        if newer.where("changed").isEmpty():
+            return labels
 
 
 def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:

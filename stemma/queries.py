@@ -376,9 +376,16 @@ def synonym_groups(spark, sf):
     return expand.synonyms(table(spark, sf, "nation"), "n_regionkey", "n_name").select("term", F.array_join("synonyms", ",").alias("synonyms"))
 
 
-@query("select * from (values ('of'), ('uf'), ('op'), ('up'), ('ov'), ('uv')) t(spelling)")
+@query(
+    "with recursive v as (select lower(substr(r_name, 1, 1)) k, lower(substr(r_name, 2, 1)) f from region), w as (select distinct lower(n_name) word from nation), "
+    "s as (select word, 0 n, '' spelling from w union all select word, n + 1, spelling || x from s, lateral (select substr(word, n + 1, 1) x union select f from v where k = substr(word, n + 1, 1)) where n < length(word)) "
+    "select distinct word, spelling from s where n = length(word)"
+)
 def variant_product(spark, sf):
-    return expand.expansions(spark, "of", {"o": "u", "f": "p,v"})
+    """Spellings of nation names; a region's second letter is a variant of its first."""
+    words = table(spark, sf, "nation").select(F.lower("n_name").alias("w"))
+    variants = table(spark, sf, "region").select(F.lower(F.substring("r_name", 1, 1)).alias("k"), F.lower(F.substring("r_name", 2, 1)).alias("vars"))
+    return expand.spellings(words, "w", variants)
 
 
 @query(
