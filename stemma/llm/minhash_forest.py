@@ -242,14 +242,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 @lean
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, size of the set, shingle: a row for each shingle of each text."""
+    """key, text, component in; key, component, size of the set, shingle: a row for each shingle of each text."""
     for batch in batches:
         texts = fill(batch.column(1))
         for start, stop in slices(texts):
             sets = shingle_sets(texts.slice(start, stop - start))
             sizes = np.array([len(s) for s in sets])
-            keys = batch.column(0).slice(start, stop - start).take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["key", "size", "shingle"])
+            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            keys, component = (batch.column(i).slice(start, stop - start).take(row) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([keys, component, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["key", "component", "size", "shingle"])
 
 
 def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
@@ -259,10 +260,12 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, work: Workspace) -> Da
     (s: the least similarity), and at the first such shingle both have enough shingles left. Texts that share less
     have none there but what is rare: their template stays out of the join.
     """
-    shingles = work.save(texts_of(texts, nodes.select("key")).mapInArrow(_exploded, "key long, size long, shingle long"), "shingles")
-    shared = work.save(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    named = texts_of(texts, nodes.select("key")).select("key", "text").join(nodes.select("key", "component"), "key")
+    shingles = work.save(named.select("key", "text", "component").mapInArrow(_exploded, "key long, component long, size long, shingle long"), "shingles")
+    # What one component alone holds comes first in the order from rare to frequent, and meets nothing.
+    ends = [F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")]
+    shared = work.save(shingles.groupBy("shingle").agg(*ends).where("low < high").select("shingle", "df"), "shared")
     held = shingles.join(shared, "shingle").groupBy("key").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
-    # What no other text has comes first in the order from rare to frequent, and meets nothing.
     alone = F.col("size") - F.size("held")
     rows = held.select("key", "size", alone.alias("alone"), F.posexplode(F.slice("held", 1, F.greatest(_prefix(1) - alone, F.lit(0)).cast("int"))).alias("i", "x"))
     half = lambda i: F.conv(F.hex(F.substring("sketch", i, 8)), 16, -10).cast("long")
