@@ -13,8 +13,8 @@ Items that templates can't tell are compared word by word: those of fewer than W
 LEAST_CHARS letters and digits (a single common word is no question), and those with too few windows that are not
 mostly placeholders by their literal windows.
 
-The windows of a document that can't be any item's, by a bitmap of fixed size, are dropped as soon as they are rows, so
-that only likely ones are joined or moved. Item windows are broadcast up to BROADCAST_WINDOWS, beyond that Spark joins by shuffle.
+The windows of a document that can't be any item's, by a bitmap whose size follows their number up to a bound, are dropped
+as soon as they are rows, so that only likely ones are joined or moved. Texts are read once for all kinds of windows. Item windows are broadcast up to BROADCAST_WINDOWS, beyond that Spark joins by shuffle.
 The second pass, which needs values, reads only documents with a passage that has placeholders.
 
 Cases: null and empty texts match nothing; items of fewer than LEAST_CHARS letters and digits match nothing; rows of
@@ -34,7 +34,7 @@ WINDOW = 8
 MIN_MATCHES = 6
 LEAST_CHARS = 12
 BROADCAST_WINDOWS = 500_000
-WORDS = 1 << 16  # of 64 bits each, in the bitmap of item windows
+LEAST_MAP, MOST_MAP = 1 << 16, 1 << 20  # words of 64 bits in the bitmap of item windows, which has 16 bits for each of them
 NAME = "\x02"
 #: The units that turn into a placeholder behind a number.
 UNITS = [
@@ -78,29 +78,50 @@ def _windows(template: str) -> Column:
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
-def _literal(tokens: str, width: Column) -> Column:
-    """The hash of each window of words in lower case, of the given width."""
-    n = F.size(tokens) - (width - 1)
-    words = F.transform(tokens, lambda w: F.lower(F.replace(w, F.lit(NAME), F.lit(""))))
+def _lowered(tokens: str) -> Column:
+    return F.transform(tokens, lambda w: F.lower(F.replace(w, F.lit(NAME), F.lit(""))))
+
+
+def _literal(words: str, width: Column) -> Column:
+    """The hash of each window of words, a column of them in lower case, of the given width."""
+    n = F.size(words) - (width - 1)
     hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(width, F.slice(words, i, width)))
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
-def _bitmap(hashes: DataFrame) -> Column:
-    """A test of whether a hash may be among hashes: WORDS * 64 bits, whatever their number."""
-    word, bit = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.col("hash").bitwiseAND(F.lit(63)).cast("int")
+def _bitmap(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """(the bits of a test of whether a hash may be among n hashes, number of its words)."""
+    words = min(MOST_MAP, max(LEAST_MAP, 1 << (max(1, n // 4) - 1).bit_length()))
+    word = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(words - 1)).cast("int")
     rows = hashes.select(word.alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    bits = [0] * WORDS
-    for r in rows.collect():  # WORDS rows at most
+    bits = [0] * words
+    for r in rows.collect():  # a row for each word at most
         bits[r.word] = r.bits
-    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>"), words
 
 
-def _may_hold(bits: Column, h: Column) -> Column:
-    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int"))
+def _may_hold(bitmap: tuple[Column, int], h: Column) -> Column:
+    bits, words = bitmap
+    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1)).cast("int"))
     return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+def _likely_windows(templated: DataFrame, widths: list[int], bitmap: tuple[Column, int]) -> DataFrame:
+    """id, version, pos, hash of the windows, of templates and of literal widths, that may be an item's: one pass over the texts.
+
+    The explosion is an outer one: Spark infers a filter from the inner one and would push it, with the whole template,
+    below. What the bitmap rules out goes right behind it, before anything is joined or moved.
+    """
+    rows = templated.withColumn("words", _lowered("tokens")) if widths else templated
+    arrays = [_windows("template"), *[_literal("words", F.lit(w)) for w in widths]]
+    rows = rows.select("id", "version", F.size("tokens").alias("n"), F.posexplode_outer(F.concat(*arrays)).alias("at", "hash")).where(_may_hold(bitmap, F.col("hash")))
+    before, pos = F.lit(0), F.col("at")
+    for width in [WINDOW, *widths]:  # places count from the start of the array that they are in
+        pos = F.when(F.col("at") >= before, F.col("at") - before).otherwise(pos)
+        before = before + F.greatest(F.lit(0), F.col("n") - (width - 1))
+    return rows.select("id", "version", pos.alias("pos"), "hash")
+
+
 def _item_windows(bench: DataFrame) -> DataFrame:
     """item, iversion, n_windows, ipos, hash, plain (no placeholder inside), width (of literal windows, else null)."""
     filled = lambda i: F.size(F.filter(F.slice("template", i + 1, WINDOW), lambda t: t.isin("#", "@", "%")))
@@ -110,7 +131,8 @@ def _item_windows(bench: DataFrame) -> DataFrame:
     enough = F.length(F.regexp_replace(F.array_join("tokens", ""), r"[^\p{L}\p{N}]+", "")) >= LEAST_CHARS
     width = F.when((n < WINDOW) & enough, n).when((n >= WINDOW) & (F.size("_told") < F.least(F.lit(MIN_MATCHES), n - (WINDOW - 1))), F.lit(WINDOW))
     rows = bench.withColumn("_told", told).withColumn("width", width)
-    literal = F.transform(_literal("tokens", F.col("width")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(True).alias("plain")))
+    rows = rows.withColumn("words", _lowered("tokens"))
+    literal = F.transform(_literal("words", F.col("width")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(True).alias("plain")))
     rows = rows.withColumn("_own", F.when(F.col("width").isNotNull(), literal).otherwise(F.col("_told")))
     rows = rows.select(F.col("id").alias("item"), F.col("version").alias("iversion"), "width", F.size("_own").alias("n_windows"), F.explode_outer("_own").alias("x"))
     return rows.where(F.col("x").isNotNull()).select("item", "iversion", "n_windows", "width", F.col("x.pos").alias("ipos"), "x.hash", "x.plain")
@@ -134,15 +156,10 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     bench = _templated(items, item_key, item_text).dropDuplicates(["id", "version"])
     bench = work.save(bench.withColumn("windows", _windows("template")), "items")
     spread = work.save(_item_windows(bench), "windows")
-    small = spread.count() <= BROADCAST_WINDOWS
-    bits = _bitmap(spread)
+    n = spread.count()
+    small = n <= BROADCAST_WINDOWS
     widths = sorted(r.width for r in spread.where("width is not null").select("width").distinct().collect())  # 1 to WINDOW
-    # Outer explosion: Spark infers a filter from the inner one and would push it, with the whole template, below.
-    # What the bitmap rules out goes right behind it, before anything is joined or moved.
-    theirs = None
-    for windows in [_windows("template"), *[_literal("tokens", F.lit(w)) for w in widths]]:
-        rows = _templated(docs, key, text).select("id", "version", F.posexplode_outer(windows).alias("pos", "hash")).where(_may_hold(bits, F.col("hash")))
-        theirs = rows if theirs is None else theirs.union(rows)
+    theirs = _likely_windows(_templated(docs, key, text), widths, _bitmap(spread, n))
     met = theirs.join(F.broadcast(spread) if small else spread, "hash")
     group = ["id", "version", "item", "iversion", (F.col("pos") - F.col("ipos")).alias("diagonal")]
     passages = met.groupBy(*group).agg(
@@ -170,7 +187,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     kept = judged.where(F.col("steady") | (F.col("n_plain") >= F.least(F.lit(MIN_MATCHES), F.col("n_windows")))).groupBy("id", "item").agg(
         F.max("n_matched").alias("n_matched"),
         F.max(F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-        F.max_by("n_slots", "n_matched").alias("n_slots"),
+        F.max(F.struct("n_matched", "n_slots"))["n_slots"].alias("n_slots"),  # of passages of as many windows the most
         F.when(F.max("same"), "literal").otherwise("reparameterised").alias("kind"),
     )
     out = work.save(kept.select(F.col("id").alias(key), F.col("item").alias(item_key), "n_matched", "coverage", "n_slots", "kind"), "leaks")
