@@ -6,9 +6,12 @@
    of its ANCHOR-word hashes; the windows next to each other that one anchor owns are a segment. Equal windows have
    equal anchors at equal distances.
 3. Each seed or anchor that occurs in several documents has a source: its place in the document of the smallest key.
-   Every other occurrence is matched to that place alone, so a seed of a third of all documents gives a row for each
-   of them and no pairs. Counts are aggregated in each task before the shuffle; the join that follows is split by
-   adaptive execution where a seed is frequent.
+   Every other occurrence is matched to that place, and a document's first occurrence of a seed also to the one in the
+   document before its own, by keys. So a seed of a third of all documents gives two rows for each of them and no
+   pairs, and a passage is met whether its source is the first text that holds its bits or the last one before. Counts
+   are aggregated in each task before the shuffle; the join that follows is split by adaptive execution where a seed
+   is frequent, and the holders of a seed are dealt by hashes of their keys to crowds of about CROWD, in which the one
+   before is looked for.
 4. Equal segments are reduced to one, with its first place. Where an anchor has different segments, the windows of each
    distinct one are hashed and matched to the first document that holds them. So every word of an equal run of
    MIN_WORDS words is found, whichever documents hold its seeds, at a cost that follows the distinct segments. These
@@ -16,6 +19,7 @@
 5. Of a document's sources those with the most matches come first; one whose places they span already is left out (its
    equal runs still stay). The matches of a document with one source document are chained: the best score over matches that lie before in
    both texts comes from a Fenwick tree over source places, where the linear gap costs are part of the key.
+   A single match is enough if at most RARE documents hold its seed.
 6. The words of both sides are fetched for each chain, equal stretches between matches are taken as they are, gaps
    are aligned by longest common subsequence, and both ends are extended. A passage needs MIN_WORDS equal words and
    IDENTITY of the longer side; a chain that lacks it is cut at its worst gap, and each side is judged by itself.
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrow_text import fill, flat, lean, slices
 from .rows import numbered, version_of
@@ -47,7 +51,9 @@ SEED, SPREAD = 5, 20
 MIN_WORDS, IDENTITY = 30, 0.8
 ANCHOR = 15
 GAIN, GAP_COST, MIN_SEEDS = 10.0, 0.15, 2
-PAD, STEP = 40, 20
+RARE = 3  # documents that hold a seed which may stand alone for a passage
+CROWD = 2_000  # holders of a seed among which a row looks for the one before it
+PAD, STEP = 64, 20
 SPAN_GAP, BIN, NEW_BINS = 48, 8, 2  # words without a match inside a span, words in a bin, bins that a source must add
 BROADCAST_SPANS, BROADCAST_COPIES = 300_000, 1_000_000
 SPANS = "key long, start int, stop int, source long, source_start int, source_stop int, n_equal int, identity double"
@@ -208,7 +214,7 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:8], batch.schema.names[:8]).filter(pa.array(keep, pa.bool_()))
 
 
-def chain(d: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+def chain(d: np.ndarray, r: np.ndarray, rare: np.ndarray) -> list[np.ndarray]:
     """Chains of matches (places d in the document, r in the source; sorted by d, then r descending), best first."""
     n = len(d)
     ranks = np.searchsorted(np.unique(r), r) + 1
@@ -243,7 +249,7 @@ def chain(d: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
             used[m] = True
             path.append(m)
             m = parent[m]
-        if len(path) >= MIN_SEEDS:
+        if len(path) >= MIN_SEEDS or (path and rare[path[0]]):
             out.append(np.array(path[::-1]))
     return out
 
@@ -272,21 +278,21 @@ def needed_sources(groups: list[list[int]]) -> list[int]:
 
 @lean
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, source, d, r descending) in, one row for each chain out. A document's rows are held together."""
+    """Rows sorted by (key, source, d, r descending, rare first) in, one row for each chain out. A document's rows are held together."""
     held = None
 
     def done(*columns) -> pa.RecordBatch:
-        fresh = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])]  # a match may come from several sides
-        key, source, d, r = (x[fresh] for x in columns)
+        fresh = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns[:4]])]  # a match may come from several sides
+        key, source, d, r, rare = (x[fresh] for x in columns)
         bounds = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (source[1:] != source[:-1]), True])
-        groups = [(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if b - a >= MIN_SEEDS]
+        groups = [(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if b - a >= MIN_SEEDS or rare[a]]
         rows = []
         for k, mine in itertools.groupby(groups, key=lambda g: key[g[0]]):
             mine = list(mine)
             if len(mine) > 1:
                 mine = [mine[g] for g in needed_sources([d[a:b].tolist() for a, b in mine])]
             for a, b in mine:
-                for c in chain(d[a:b], r[a:b]):
+                for c in chain(d[a:b], r[a:b], rare[a:b]):
                     rows.append((int(k), int(source[a]), d[a:b][c].tolist(), r[a:b][c].tolist()))
         columns = list(zip(*rows)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[3], pa.list_(pa.int32()))], ["key", "source", "d", "r"])
@@ -294,7 +300,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         other = np.flatnonzero(now[0] != now[0][-1])
@@ -456,19 +462,26 @@ def find_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
     plain = plain.withColumnRenamed("id", "key")
     seeds = work.save(plain.mapInArrow(_seeds, SEEDS), "seeds")
     firsts = seeds.where("first").groupBy("seed").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("source"), F.min_by("pos", "key").alias("r"))
-    sources = work.save(firsts.where("c > 1").drop("c"), "sources")  # a table: a join to an aggregate can't be split where skewed
+    sources = work.save(firsts.where("c > 1").withColumn("c", F.col("c").cast("int")), "sources")  # a table: a join to an aggregate can't be split where skewed
     met = work.save(seeds.join(sources, "seed"), "met")
     work.drop("seeds", "sources")
     exact = _exact(work, plain, met.where("n > 0"))
     two = lambda at, more: F.explode(F.array(*[F.struct((F.col(at[0]) + m).alias("d"), (F.col(at[1]) + m).alias("r")) for m in more]))
     others = met.where(F.col("key") != F.col("source"))
-    narrow = others.where("n = 0").select("key", "source", F.col("pos").alias("d"), "r")
+    rare = F.col("c") <= RARE
+    narrow = others.where("n = 0").select("key", "source", F.col("pos").alias("d"), "r", rare.alias("rare"))
+    crowd = F.pmod(F.xxhash64("key"), F.floor(F.col("c") / CROWD) + 1)
+    held = met.where("n = 0 and first and c > 2").select("seed", crowd.alias("crowd"), "key", "source", "pos", "c")  # of two holders the one before is the first
+    before = Window.partitionBy("seed", "crowd").orderBy("key")
+    nearest = held.select("key", F.col("source").alias("least"), F.lag("key").over(before).alias("source"), F.col("pos").alias("d"), F.lag("pos").over(before).alias("r"), rare.alias("rare"))
+    nearest = nearest.where(F.col("source") != F.col("least")).drop("least")
     # An anchor (at its first place in a document) is two seeds, an equal run one at every STEP words and at its end.
     anchors = others.where("n > 0 and first").select("key", "source", two(("pos", "r"), (0, ANCHOR - SEED)).alias("x"))
     steps = F.array_union(F.sequence(F.lit(0), F.col("run") - SEED, F.lit(STEP)), F.array(F.col("run") - SEED))
     runs = exact.select("key", "source", "run_start", "run_source", F.explode(steps).alias("m")).select("key", "source", F.struct((F.col("run_start") + F.col("m")).alias("d"), (F.col("run_source") + F.col("m")).alias("r")).alias("x"))
-    matches = narrow.union(anchors.select("key", "source", "x.d", "x.r")).union(runs.select("key", "source", "x.d", "x.r"))
-    ordered = matches.repartition("key").sortWithinPartitions("key", "source", "d", F.desc("r"))
+    no = F.lit(False)
+    matches = narrow.union(nearest).union(anchors.select("key", "source", "x.d", "x.r", no)).union(runs.select("key", "source", "x.d", "x.r", no))
+    ordered = matches.repartition("key").sortWithinPartitions("key", "source", "d", F.desc("r"), F.desc("rare"))
     chains = work.save(ordered.mapInArrow(_chains, "key long, source long, d array<int>, r array<int>"), "chains")
     chains = chains.withColumns({"r_first": F.get("r", F.lit(0)), "r_last": F.element_at("r", -1)})
     keys = chains.select(F.explode(F.array("key", "source")).alias("key")).distinct()

@@ -231,7 +231,7 @@ def test_passages(spark, docs):
 
 def test_chains():
     d, r = np.array([0, 10, 20, 30]), np.array([100, 110, 5, 130])
-    assert passages.chain(d, r)[0].tolist() == [0, 1, 3]
+    assert passages.chain(d, r, np.zeros(len(d), bool))[0].tolist() == [0, 1, 3]
     assert passages._without("a b  c\nd e", [(1, 3)]) == "a d e"
 
 
