@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import canon_of, line_id, parse_citation, work_number
+from ..plans.cut import cut
 from ..plans.qlang import QueryError
-from .relations import first_by, in_order, tagged_union
+from .relations import as_of, in_order, tagged_union
 from .search import endpoint_inside, like, overlaps
 
 #: Parameters of the works finder in the order in which the first one given wins.
@@ -88,24 +89,29 @@ def resolve(citations: DataFrame, column: str, lines: DataFrame, abbreviations:
 
     Abbreviations are read once more as citations; citations of the other edition go through its line map first.
     """
-    rows = citations.withColumn("_id", F.monotonically_increasing_id()).withColumn("_c", parse_citation(F.col(column)))
+    rows = cut(citations.withColumn("_id", F.monotonically_increasing_id())).withColumn("_c", parse_citation(F.col(column)))
     if abbreviations is not None:
         rows = rows.join(abbreviations.select(F.col("abbr").alias("_abbr"), F.col("ref").alias("_ref")), F.col("_c").isNull() & (F.col(column) == F.col("_abbr")), "left")
         rows = rows.withColumn("_c", F.coalesce("_c", parse_citation(F.col("_ref")))).drop("_abbr", "_ref")
     rows = rows.withColumns({"_vol": F.when(F.col("_c.kind").isin("juan", "volume page"), F.concat(F.lit("T"), F.col("_c.vol"))).when(F.startswith("_c.kind", F.lit("sequel")), F.concat(F.lit("R"), F.col("_c.vol"))).otherwise(F.col("_c.vol"))})
     rows = rows.withColumn("_lb", F.when(F.col("_c.page").isNotNull(), line_id(F.col("_c.page"), F.col("_c.col"), F.col("_c.line"))))
-    if editions is not None:
-        prefix = F.concat("_vol", F.lit("."), F.coalesce("_lb", F.lit("")))
-        mapped = rows.where(F.startswith("_c.kind", F.lit("sequel"))).select("_id", prefix.alias("_p"), "_vol")
-        mapped = mapped.join(editions, (F.substring_index("lb1", ".", 1) == F.col("_vol")) & (F.col("lb1") >= F.col("_p")))
-        mapped = mapped.groupBy("_id").agg(F.min_by("lb2", "lb1").alias("_x"))
+    if editions is not None:  # the first line of the map at or behind the place
+        asked = rows.where(F.startswith("_c.kind", F.lit("sequel"))).select("_id", F.concat("_vol", F.lit("."), F.coalesce("_lb", F.lit(""))).alias("_p"), F.col("_vol").alias("_v"))
+        known = editions.select(F.substring_index("lb1", ".", 1).alias("_v"), "lb1", F.col("lb2").alias("_x"))
+        mapped = as_of(asked, known, ["_v"], "_p", "lb1", ["_x"], forward=True).select("_id", "_x")
         rows = rows.join(mapped, "_id", "left")
         rows = rows.withColumns({"_vol": F.coalesce(F.substring_index("_x", ".", 1), "_vol"), "_lb": F.coalesce(F.substring_index("_x", ".", -1), "_lb")}).drop("_x")
+    # Two joins by equality: a place is one line of a volume, a fascicle is asked for by its work and number.
     at = lines.select(F.col("vol").alias("_lv"), F.concat("page", "col", "line").alias("_ll"), F.col("linehead").alias("_lh"), F.col("juan").alias("_lj"), "ser_no", F.col("work").alias("_lw"))
-    by_juan = (F.col("_c.kind") == "juan") & (F.col("_lj") == F.col("_c.juan").cast("int")) & F.endswith("_lw", work_number(F.col("_c.work")))
-    found = rows.join(at, (F.col("_lv") == F.col("_vol")) & (by_juan | (F.col("_ll") == F.col("_lb"))), "left")
-    first = first_by(found, ["_id"], [F.asc_nulls_last("ser_no")])
-    return first.select(*citations.columns, F.col("_lh").alias("linehead"), F.col("_lj").alias("juan"))
+    asked = rows.select("_id", F.col("_vol"), F.col("_lb"), (F.col("_c.kind") == "juan").alias("_by_juan"), F.col("_c.juan").cast("int").alias("_juan"), work_number(F.col("_c.work")).alias("_work"))
+    by_line = asked.where("not _by_juan").join(at, (F.col("_lv") == F.col("_vol")) & (F.col("_ll") == F.col("_lb")))
+    firsts = at.groupBy("_lv", "_lj", "_lw").agg(F.min_by(F.struct("_lh", "ser_no"), "ser_no").alias("_f"))  # a fascicle's lines are one row
+    firsts = firsts.select("_lv", "_lj", F.col("_f._lh").alias("_lh"), F.col("_f.ser_no").alias("ser_no"), "_lw")
+    by_juan = asked.where("_by_juan").join(firsts, (F.col("_lv") == F.col("_vol")) & (F.col("_lj") == F.col("_juan")) & F.endswith("_lw", F.col("_work")))
+    both = by_line.select("_id", "_lh", "_lj", "ser_no").union(by_juan.select("_id", "_lh", "_lj", "ser_no"))
+    best = both.groupBy("_id").agg(F.min_by(F.struct("_lh", "_lj"), F.struct("ser_no", "_lh")).alias("_best"))
+    out = rows.select(*citations.columns, "_id").join(best, "_id", "left")
+    return out.select(*citations.columns, F.col("_best._lh").alias("linehead"), F.col("_best._lj").alias("juan"))
 
 
 def replace_glyphs(df: DataFrame, column: str, forms: Mapping[str, str], pattern: str = r"\[[^\]]+\]") -> Column:

@@ -11,17 +11,51 @@ from ..plans.cut import cut
 MOST_LEVELS = 100_000
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, take: Sequence[str]) -> DataFrame:
-    """Each row of left with the columns `take` of the last row of right at or before it, in the same group.
+GROUP_ROWS = 1_000_000
 
-    Both sides are put in one order and the last right row is carried on: one shuffle by group, no row pairs.
+
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, take: Sequence[str], forward: bool = False) -> DataFrame:
+    """Each row of left with the columns `take` of the last row of right at or before it, in the same group; forward: of the
+    first one at or behind it.
+
+    Both sides are put in one order and the last right row is carried on: no row pairs.
     """
     value = F.struct(F.col(right_at).alias("_r_at"), *take)
     a = left.select(*by, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_value"))
     b = right.select(*by, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), value.alias("_value"))
-    carried = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b).withColumn("_value", F.last("_value", ignorenulls=True).over(carried)).where("_side = 1")
-    return rows.select("_row.*", *[F.col(f"_value.{c}").alias(c) for c in take])
+    both = carried(a.unionByName(b), by, [F.desc("_at") if forward else F.asc("_at"), F.asc("_side")], F.col("_value"), "_value")
+    return both.where("_side = 1").select("_row.*", *[F.col(f"_value.{c}").alias(c) for c in take])
+
+
+def carried(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, name: str, before: bool = False) -> DataFrame:
+    """df with the last value that isn't null of the rows up to each one in its group (before: of the rows before it).
+
+    Groups of up to GROUP_ROWS rows are windows. If there is a larger one, rows are dealt by ranges of (group, order), so
+    that a group spreads over tasks, and what a range's first group needs from the ranges before is handed on.
+    """
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= GROUP_ROWS:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(up_to(Window.partitionBy(*group).orderBy(*order))))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.withColumn("_v", value).repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    rows = cut(ranged.withColumns({"_own": F.last("_v", ignorenulls=True).over(up_to(inside)), "_n": F.row_number().over(inside), "_to": F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))}))
+    tails = rows.groupBy(*group, "_part").agg(F.max_by("_to", "_n").alias("_tail"))
+    several = tails.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    same = _all_same([(F.col(c), F.col(f"_g{i}")) for i, c in enumerate(group)])
+    ends = tails.join(several, same, "left_semi")  # two for each border between ranges at most
+    handed = ends.withColumn("_handed", F.last("_tail", ignorenulls=True).over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    handed = handed.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_part").alias("_p"), "_handed")
+    out = rows.join(handed, same & (F.col("_part") == F.col("_p")), "left").withColumn(name, F.coalesce("_own", "_handed"))
+    return out.select(*dict.fromkeys([*df.columns, name]))
+
+
+def _all_same(pairs: Sequence[tuple[Column, Column]]) -> Column:
+    out = F.lit(True)
+    for x, y in pairs:
+        out = out & x.eqNullSafe(y)
+    return out
 
 
 def first_by(df: DataFrame, group: Sequence[str], order: Sequence) -> DataFrame:
@@ -176,14 +210,13 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], value:
 
 
 def fill_forward(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return carried(df, group, [F.asc(c) for c in order], value, name)
 
 
 def changed(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Whether the value differs from the row before; true for the first row of a group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1))
+    rows = carried(df, group, [F.asc(c) for c in order], F.struct(F.col(value).alias("v")), "_last", before=True)
+    return rows.withColumn(name, F.col("_last").isNull() | ~F.col(value).eqNullSafe(F.col("_last.v"))).drop("_last")
 
 
 def sort_keys(df: DataFrame, parent: str, order: Sequence[str], name: str = "sort", width: int = 3) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,36 @@ def test_visits_stream(spark, tmp_path):
     assert streamed == batch == {("2024-01-01", "a", 2), ("2024-01-02", "b", 1)}
     merged = visits.merge_counts(spark.createDataFrame([("a", 2)], "url string, visits long"), spark.createDataFrame([("a", 3)], "url string, visits long"), ["url"])
     assert merged.first().visits == 5
+
+
+def _spread_rows(spark):
+    rng = random.Random(6)
+    left = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(60), i) for i in range(300)]
+    right = [(rng.choice(["hot", "hot", "b", None]), t, f"v{t}-{k}") for k, t in enumerate(rng.sample(range(60), 25))]
+    return left, right, spark.createDataFrame(left, "g string, t int, n int"), spark.createDataFrame(right, "g string, t int, v string")
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+@pytest.mark.parametrize("forward", [False, True])
+def test_as_of_of_a_group_that_spreads_over_ranges(spark, monkeypatch, most, forward):
+    monkeypatch.setattr(R, "GROUP_ROWS", most)
+    left, right, a, b = _spread_rows(spark)
+    got = {r.n: r.v for r in R.as_of(a, b, ["g"], "t", "t", ["v"], forward).collect()}
+    for g, t, n in left:
+        fits = [x for x in right if x[0] == g and (x[1] >= t if forward else x[1] <= t)]
+        assert got[n] == ((min if forward else max)(fits, key=lambda x: x[1])[2] if fits else None)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_carried_values_and_changes_over_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "GROUP_ROWS", most)
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "x"]), i, rng.choice([None, None, "p", "q"])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "g string, n int, v string")
+    filled = {r.n: r.f for r in R.fill_forward(frame, ["g"], ["n"], F.col("v"), "f").collect()}
+    flags = {r.n: r.f for r in R.changed(frame, ["g"], ["n"], "v", "f").collect()}
+    last, before = {}, {}
+    for g, n, v in rows:
+        last[g] = v if v is not None else last.get(g)
+        assert filled[n] == last[g] and flags[n] == (g not in before or before[g] != v)
+        before[g] = v
