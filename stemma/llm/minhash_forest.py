@@ -131,10 +131,17 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(tree, order, key, sketch, component, best_only: bool, cut_before: bool, cut_behind: bool):
-    """(smaller key, larger key, agreement) of the pairs that regions propose; the first or last region may be part of one."""
+    """(smaller key, larger key, agreement, region, component) of the pairs that regions propose.
+
+    The first or last region may be part of one that a border cuts. A row of a region that is left to the join by rare
+    shingles is its own mate; in a region that is cut it comes with the region's number and its own component, as only
+    all parts together say whether the region holds several components.
+    """
     first, big = _regions(tree, order, DEPTH if best_only else SHALLOW)
+    cut = np.zeros(len(tree), bool)
     if not best_only:  # a region of which a part lies elsewhere counts as large, however few rows are here
-        big = big | (cut_before & (first == first[0])) | (cut_behind & (first == first[-1]))
+        cut = (cut_before & (first == first[0])) | (cut_behind & (first == first[-1]))
+        big = big | cut
     depth_in = np.arange(len(tree)) - first
     window = WINDOW if best_only else 0  # the second round leaves large regions to the join by rare shingles
     steps = [(d, np.flatnonzero((depth_in >= d) & (~big | (d <= window)))) for d in range(1, max(REGION, WINDOW + 1))]
@@ -158,20 +165,19 @@ def _pairs(tree, order, key, sketch, component, best_only: bool, cut_before: boo
     if best_only:
         j = np.flatnonzero(mate >= 0)
         out = [(mate[j], j, best[j])]
-    else:  # and the rows of large regions, each as its own mate
-        at = _crowded(first, big, component, cut_before, cut_behind)
+    else:
+        at = np.flatnonzero(big & (cut | _mixed(first, component)))
         out.append((at, at, np.full(len(at), -1, np.int16)))
     i, j, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-    return np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), score
+    number = (tree.astype(np.int64) << 32) | (order[:, 0].astype(np.int64) << 16) | order[:, 1].astype(np.int64)  # SHALLOW values
+    part = (i == j) & cut[i]
+    return np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), score, np.where(part, number[i], -1), np.where(part, component[i], -1)
 
 
-def _crowded(first, big, component, cut_before: bool, cut_behind: bool) -> np.ndarray:
-    """The rows of large regions that hold several components, or whose other parts may."""
+def _mixed(first: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Whether each row's region holds several components."""
     starts, place = np.unique(first, return_inverse=True)
-    mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-    mixed[0] |= cut_before
-    mixed[-1] |= cut_behind
-    return np.flatnonzero(big & mixed[place])
+    return (np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts))[place]
 
 
 def _walk(best_only: bool):
@@ -204,8 +210,8 @@ def _walk(best_only: bool):
 
 
 def _batch(pairs) -> pa.RecordBatch:
-    a, b, score = pairs
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score.astype(np.int32))], ["a", "b", "agree"])
+    a, b, score, region, component = pairs
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score.astype(np.int32)), pa.array(region, pa.int64()), pa.array(component, pa.int64())], ["a", "b", "agree", "region", "component"])
 
 
 def _propose(nodes: DataFrame, best_only: bool) -> DataFrame:
@@ -213,7 +219,7 @@ def _propose(nodes: DataFrame, best_only: bool) -> DataFrame:
     rows = trees.select("tree", F.substring("forest", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("order"), "key", "sketch", "component")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "tree", "order").sortWithinPartitions("tree", "order", "key")
-    return ranged.mapInArrow(_walk(best_only), "a long, b long, agree int")
+    return ranged.mapInArrow(_walk(best_only), "a long, b long, agree int, region long, component long")
 
 
 @lean
@@ -311,10 +317,13 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     links = work.save(_confirmed(work.save(first, "pairs-1"), texts), "links-1")
     labels = work.save(components(links, work, "round-1"), "labels-1")
     named = lambda rows: rows.drop("component").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    proposed = work.save(_propose(named(nodes), False).select("a", "b").distinct(), "proposed")
-    crowded = nodes.join(proposed.where("a = b").select(F.col("a").alias("key")), "key", "left_semi")
+    proposed = work.save(_propose(named(nodes), False).drop("agree").distinct(), "proposed")
+    own = proposed.where("a = b")
+    mixed = own.where("region >= 0").groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    crowded = own.where("region < 0").select("a").union(own.join(mixed, "region", "left_semi").select("a")).distinct()
+    crowded = nodes.join(crowded.select(F.col("a").alias("key")), "key", "left_semi")
 
-    more = [work.save(proposed.where("a <> b"), "pairs-2")]
+    more = [work.save(proposed.where("a <> b").select("a", "b"), "pairs-2")]
     crowded = work.save(named(crowded), "crowded")
     if not crowded.isEmpty():
         more.append(work.save(_by_rare_shingles(crowded, texts, work), "pairs-3"))

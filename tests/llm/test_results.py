@@ -328,7 +328,7 @@ def test_forest_hands_on_regions_that_a_border_cuts(rows):
     for n, start in zip(rows, (0, rows[0])):
         out = pa.Table.from_batches(minhash_forest._walk(False)(iter([batch(n, start)])))
         crowded = {a for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist()) if a == b}
-        assert crowded == set(range(start, start + n))
+        assert crowded == set(range(start, start + n)) and set(out["region"].to_pylist()) == {(1 << 16) | 2}
 
 
 def test_forest_of_texts_on_one_template(spark):
