@@ -22,6 +22,23 @@ SKIPPED = {"teiHeader", "rdg", "mulu", "docNumber", "charDecl"}
 BLOCKS = {"p", "head", "lg", "l", "item", "byline", "dialog", "juan", "div", "list", "table", "row", "cell"}
 
 
+# How documents name the forms of rare characters, and the ids of those that belong to scripts of their own.
+MAPPINGS = {"unicode": "uni", "normal_unicode": "norm_uni"}
+PROPERTIES = {"composition": "composition", "normalized form|Normalized Unicode": "norm_big5", "rjchar|Character in the Siddham font": "symbol", "Romanized form in Unicode transcription": "romanized"}
+OWN_SCRIPTS = ("SD", "RJ")
+UNKNOWN_GLYPH = "◇"
+
+
+def in_line(note: ET.Element) -> bool:
+    """Whether a note belongs to the running text."""
+    return note.get("place") in ("inline", "inline2", "interlinear") or note.get("type") == "authorial"
+
+
+def aside(e: ET.Element) -> bool:
+    """Whether an element is a note that stands in parentheses; one of the author's own is plain text."""
+    return _name(e) == "note" and e.get("type") != "authorial"
+
+
 def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
@@ -29,28 +46,45 @@ def _name(e: ET.Element) -> str:
 class Walk:
     """One pass over a document: on_text(kind, text) gets every stretch of text that readers see, in order."""
 
-    def __init__(self, xml: str, glyphs: dict[str, str] | None = None):
+    def __init__(self, xml: str, glyphs: dict[str, str | dict[str, str]] | None = None):
         self.root = ET.fromstring(xml)
         self.glyphs = {**self._own_glyphs(), **(glyphs or {})}
         self.juan, self.lb, self.note = 1, "", 0
         self.stack: list[ET.Element] = []
+        text = next((e for e in self.root.iter() if _name(e) == "text"), None)
+        self.normal = [text is None or text.get("behaviour") != "no-norm"]  # the innermost text or term decides
 
-    def _own_glyphs(self) -> dict[str, str]:
-        """Characters that the document declares: its Unicode form, else a normal form, else the composition."""
+    def _own_glyphs(self) -> dict[str, dict[str, str]]:
+        """The forms of the characters that the document declares."""
         out = {}
         for char in self.root.iter():
             if _name(char) != "char":
                 continue
-            forms = {}
+            forms: dict[str, str] = {}
             for e in char.iter():
-                if _name(e) == "mapping":
-                    forms[e.get("type", "unicode")] = self._code(e.text or "")
+                if _name(e) == "mapping" and (kind := MAPPINGS.get(e.get("type", "unicode"))):
+                    forms[kind] = self._code(e.text or "")
                 if _name(e) == "charProp":
                     parts = {_name(x): (x.text or "") for x in e}
-                    forms[parts.get("localName", "")] = parts.get("value", "")
-            out[char.get(XML_ID, "")] = forms.get("unicode") or forms.get("normal_unicode") or forms.get("Normalized Unicode") or forms.get("composition") or "◇"
+                    kind = next((k for pattern, k in PROPERTIES.items() if re.fullmatch(pattern, parts.get("localName", ""))), None)
+                    if kind and parts.get("value"):
+                        forms.setdefault(kind, parts["value"])
+            out[char.get(XML_ID, "")] = forms
         return out
 
+    def glyph(self, e: ET.Element) -> str:
+        """A rare character's form: of scripts of their own the symbol, then the romanised form; of others its Unicode
+        character, where normal forms may stand for it these, and then its composition. An unknown one is named."""
+        gid = e.get("ref", "").lstrip("#")
+        forms = self.glyphs.get(gid)
+        if not isinstance(forms, dict):
+            return forms or UNKNOWN_GLYPH
+        if gid.startswith(OWN_SCRIPTS):
+            order = ("symbol", "romanized")
+        else:
+            order = ("uni", *(("norm_uni", "norm_big5") if self.normal[-1] else ()), "composition")
+        return next((forms[k] for k in order if forms.get(k)), UNKNOWN_GLYPH if gid.startswith(OWN_SCRIPTS) else f"[{gid}]")
+
     @staticmethod
     def _code(s: str) -> str:
         m = re.fullmatch(r"U\+([0-9A-F]+)", s.strip())
@@ -70,14 +104,17 @@ class Walk:
             self.lb = e.get("n", "")
             self.on_line(e)
         elif tag == "g":
-            self.on_text(self.glyphs.get(e.get("ref", "").lstrip("#"), "◇"), e)
+            self.on_text(self.glyph(e), e)
         elif tag == "mulu":
             self.on_mulu(e)
-        elif tag == "note" and e.get("place") != "inline":
+        elif tag == "note" and not in_line(e):
             self.on_note(e)
         elif tag == "unclear" and not len(e) and not e.text:
             self.on_text("▆", e)
         elif tag not in SKIPPED:
+            scoped = tag in ("term", "text")
+            if scoped:
+                self.normal.append(e.get("behaviour") != "no-norm")
             self.on_open(e)
             if e.text:
                 self.on_text(e.text.replace("\n", ""), e)
@@ -86,6 +123,8 @@ class Walk:
                 if child.tail:
                     self.on_text(child.tail.replace("\n", ""), e)
             self.on_close(e)
+            if scoped:
+                self.normal.pop()
         self.stack.pop()
 
     def inside(self, tag: str, **attributes: str) -> bool:
@@ -114,11 +153,11 @@ class SearchText(Walk):
             self.bare.setdefault(self.juan, []).append(s)
 
     def on_open(self, e):
-        if _name(e) == "note":
+        if aside(e):
             self.full.setdefault(self.juan, []).append("(")
 
     def on_close(self, e):
-        if _name(e) == "note":
+        if aside(e):
             self.full.setdefault(self.juan, []).append(")")
 
     def rows(self):
@@ -253,17 +292,123 @@ class ReadingHtml(Walk):
 
     def on_open(self, e):
         if (tag := self.TAGS.get(_name(e))) is not None:
-            self._put(f'<{tag} class="{_name(e)}">' + ("(" if _name(e) == "note" else ""))
+            self._put(f'<{tag} class="{_name(e)}">' + ("(" if aside(e) else ""))
 
     def on_close(self, e):
         if (tag := self.TAGS.get(_name(e))) is not None:
-            self._put((")" if _name(e) == "note" else "") + f"</{tag}>")
+            self._put((")" if aside(e) else "") + f"</{tag}>")
 
     def rows(self):
         self.run()
         return [(j, "".join(p) + "".join(self.notes.get(j, []))) for j, p in sorted(self.parts.items())]
 
 
+class NotedHtml(ReadingHtml):
+    """juan, html, notes (JSON), missing: reading HTML whose notes are resolved.
+
+    The first pass collects what notes can be referred to: original and modified ones by number. A modified note takes the
+    place of the original of its number (or of its number without the letter that parts of one note have), so that one is
+    not shown. The second pass puts an anchor for every shown note, added notes under numbers of their own, and one for
+    every star, which refers to an earlier note once more and is counted. The foot of a fascicle lists its notes with
+    the places that refer to them; what refers to nothing is listed as missing.
+    """
+
+    LABELS = {"biao": "標", "jie": "解", "ke": "科"}
+
+    def __init__(self, xml, glyphs=None):
+        super().__init__(xml, glyphs)
+        self.targets: dict[str, ET.Element] = {}
+        self.modified: set[str] = set()
+        for e in self.root.iter():
+            if _name(e) != "note":
+                continue
+            n = e.get("n", "")
+            if e.get("type") == "mod":
+                self.modified |= {n, re.sub(r"[a-z]$", "", n)}
+                self.targets[n] = e
+            elif e.get("type") == "orig":
+                self.targets.setdefault(n, e)
+        self.stars: dict[str, int] = {}
+        self.added: dict[int, int] = {}
+        self.listed: dict[int, dict[str, dict]] = {}
+        self.missing: dict[int, list[str]] = {}
+
+    def _foot(self, e: ET.Element) -> str:
+        """A note's own text: of readings the preferred one, notes inside it in parentheses if they belong to its text."""
+        out = [e.text or ""]
+        for child in e:
+            tag = _name(child)
+            if tag == "g":
+                out.append(self.glyph(child))
+            elif tag == "app":
+                out += [self._foot(x) for x in child if _name(x) == "lem"]
+            elif tag == "note":
+                inner = self._foot(child) if in_line(child) else ""
+                out.append(inner if child.get("type") == "authorial" or not inner else f"({inner})")
+            elif tag == "unclear":
+                out.append(self._foot(child) or "▆")
+            elif tag != "rdg":
+                out.append(self._foot(child))
+            out.append(child.tail or "")
+        return "".join(out).replace("\n", "").strip()
+
+    def _cited(self, e: ET.Element) -> str:
+        """The parallels of an added note: notes of type cf1, cf2, … in the preferred reading right behind it."""
+        beside = list(self.stack[-2]) if len(self.stack) > 1 else []
+        behind = next((y for x, y in zip(beside, beside[1:]) if x is e), None)
+        if behind is None or _name(behind) != "app" or not e.get("n") or behind.get("n") != e.get("n"):
+            return ""
+        lem = next((x for x in behind if _name(x) == "lem"), None)
+        cited = [self._foot(x) for x in (lem if lem is not None else []) if _name(x) == "note" and re.fullmatch(r"cf\d+", x.get("type", ""))]
+        return f"(cf. {'; '.join(cited)})" if cited else ""
+
+    def _refer(self, name: str, kind: str, text: str, **more: str) -> None:
+        note = self.listed.setdefault(self.juan, {}).setdefault(name, {"id": name, "kind": kind, "text": text, "refs": []})
+        place = f"ref-{name}-{len(note['refs']) + 1}"
+        note["refs"].append(place)
+        extra = "".join(f' {k.replace("_", "-")}="{html.escape(v)}"' for k, v in more.items())
+        self._put(f'<a class="noteAnchor{"" if kind in ("orig", "mod") and "data_star_no" not in more else " star" if "data_star_no" in more else " add"}" id="{place}" href="#{name}"{extra}></a>')
+
+    def _star(self, e: ET.Element) -> None:
+        n = e.get("corresp", "").lstrip("#")
+        if n not in self.targets:
+            self.missing.setdefault(self.juan, []).append(n)
+            return
+        self.stars[n] = self.stars.get(n, 0) + 1
+        number = re.sub(r"\D", "", n)[-3:].lstrip("0") or "0"
+        self._refer(f"n{n}", self.targets[n].get("type", ""), self._foot(self.targets[n]), data_star_no=f"{number}-{self.stars[n]}")
+
+    def on_note(self, e):
+        kind, n = e.get("type", ""), e.get("n", "")
+        if e.get("rend") == "hide" or kind in ("equivalent", "rest") or kind.startswith("cf"):
+            return
+        if kind == "add":
+            self.added[self.juan] = self.added.get(self.juan, 0) + 1
+            self._refer(f"a{self.juan}-{self.added[self.juan]}", kind, self._foot(e) + self._cited(e))
+        elif kind == "star":
+            self._star(e)
+        elif kind == "mod" or kind == "orig" and n not in self.modified:
+            label = self.LABELS.get(e.get("subtype", ""))
+            self._refer(f"n{n}", kind, self._foot(e), **({"data_label": label + n[-2:]} if label and kind == "orig" else {}))
+        elif kind not in ("orig", "mod"):
+            self.note += 1
+            self._refer(f"n{n or self.note}", "orig", self._foot(e))
+
+    def on_open(self, e):
+        if _name(e) == "app" and e.get("type") == "star":
+            self._star(e)
+        super().on_open(e)
+
+    def rows(self):
+        self.run()
+        out = []
+        for j, parts in sorted(self.parts.items()):
+            notes = list(self.listed.get(j, {}).values())
+            foot = ['<div class="note" id="%s">%s%s</div>' % (x["id"], html.escape(x["text"], quote=False), "".join(f'<a class="back" href="#{r}"></a>' for r in x["refs"])) for x in notes]
+            out.append((j, "".join([*parts, *foot]), json.dumps(notes, ensure_ascii=False), ",".join(self.missing.get(j, []))))
+        return out
+
+
 class PlainText(Walk):
     """juan, text for download: a line for each block, notes in parentheses or left out."""
 
@@ -277,11 +422,11 @@ class PlainText(Walk):
             self.parts.setdefault(self.juan, []).append(s)
 
     def on_open(self, e):
-        if _name(e) == "note" and self.keep:
+        if aside(e) and self.keep:
             self.parts.setdefault(self.juan, []).append("(")
 
     def on_close(self, e):
-        if _name(e) == "note" and self.keep:
+        if aside(e) and self.keep:
             self.parts.setdefault(self.juan, []).append(")")
         elif _name(e) in BLOCKS:
             self.parts.setdefault(self.juan, []).append("\n")
@@ -298,12 +443,16 @@ TRANSFORMS: dict[str, tuple[Callable, str]] = {
     "juan_ends": (JuanEnds, "juan int, lb_begin string, lb_end string"),
     "notes": (Notes, "juan int, lb string, n string, place string, content string, prefix string, suffix string"),
     "reading_html": (ReadingHtml, "juan int, html string"),
+    "noted_html": (NotedHtml, "juan int, html string, notes string, missing string"),
     "plain_text": (PlainText, "juan int, text string"),
 }
 
 
-def transform(files: DataFrame, name: str, glyphs: dict[str, str] | None = None) -> DataFrame:
-    """files: file, content. The rows of the named transform, each with its file."""
+def transform(files: DataFrame, name: str, glyphs: dict[str, str | dict[str, str]] | None = None) -> DataFrame:
+    """files: file, content. The rows of the named transform, each with its file.
+
+    glyphs: of rare characters the one form to show, or their forms (uni, norm_uni, norm_big5, composition, symbol, romanized).
+    """
     make, schema = TRANSFORMS[name]
     kinds = {"int": pa.int32(), "string": pa.string()}
     fields = [f.split() for f in schema.split(", ")]
