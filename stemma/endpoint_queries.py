@@ -80,8 +80,8 @@ def concordance_by_line(spark, sf):
 
 def _notes(spark, sf) -> DataFrame:
     even = F.col("turn") % 2 == 0
-    rows = table(spark, sf, "conversations").withColumn("note", F.substring("text", 10, 80))
-    rows = rows.withColumns({"pre": F.when(even, F.substring("text", 1, 9)), "suf": F.when(even, F.concat(F.lit("zz"), F.substring("text", 3, 40)))})
+    rows = table(spark, sf, "conversations").withColumn("note", F.expr("substring(text, 10)"))  # inline ones have the nine characters before it in front
+    rows = rows.withColumns({"pre": F.when(even, F.substring("text", 1, 9)), "suf": F.when(even, F.concat(F.lit("zz"), F.expr("substring(text, 3)")))})
     return S.searchable(rows, "note")
 
 
@@ -89,8 +89,8 @@ MARKED = "regexp_replace(note, '(t[()*.\\[\\]—…‧─│┬△◎　、。
 
 
 @query(
-    "with n as (select *, substr(text, 10, 80) note from conversations), d as (select *, translate(lower(note), '" + T.ignored().replace("'", "''") + "', '') c from n), "
-    f"m as (select conv_id, turn, {sql_hits('the')} term_hits, {MARKED} h, substr(text, 1, 9) pre, 'zz' || substr(text, 3, 40) suf from d where contains(c, 'the')), "
+    "with n as (select *, substr(text, 10) note from conversations), d as (select *, translate(lower(note), '" + T.ignored().replace("'", "''") + "', '') c from n), "
+    f"m as (select conv_id, turn, {sql_hits('the')} term_hits, {MARKED} h, substr(text, 1, 9) pre, 'zz' || substr(text, 3) suf from d where contains(c, 'the')), "
     "x as (select *, regexp_extract(h, '(?s)^(.*?)(<mark>.*</mark>)(.*)$', 1) a, regexp_extract(h, '(?s)^(.*?)(<mark>.*</mark>)(.*)$', 2) b, regexp_extract(h, '(?s)^(.*?)(<mark>.*</mark>)(.*)$', 3) z from m) "
     "select conv_id, turn, term_hits, case when turn % 2 = 1 then h when b = '' then h else right(pre || '(' || a, 20) || b || left(z || ')' || suf, 20) end highlight from x"
 )
@@ -357,9 +357,10 @@ def split_parts(spark, sf):
     return catalog.halves(rows, ["l_orderkey"], ["l_linenumber"], "juan").select("l_orderkey", "l_linenumber", "half")
 
 
-@query("select cast(year(o_orderdate) as varchar) ver, '# ' || year(o_orderdate) || chr(10) || string_agg(o_orderstatus || o_orderkey, chr(10) order by o_orderkey) as text from orders where o_orderkey < 200 group by year(o_orderdate)")
+@query("select cast(cast(o_orderdate as date) as varchar) ver, '# ' || cast(o_orderdate as date) || chr(10) || string_agg(o_orderstatus || o_orderkey, chr(10) order by o_orderkey) as text from orders group by cast(o_orderdate as date)")
 def change_listing(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderkey < 200").select(F.year("o_orderdate").cast("string").alias("ver"), "o_orderkey", F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("line"))
+    """A day's orders as the changes of a version."""
+    rows = table(spark, sf, "orders").select(F.to_date("o_orderdate").cast("string").alias("ver"), "o_orderkey", F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("line"))
     return sinks.listing(rows, "ver", ["o_orderkey"], "line")
 
 

@@ -89,7 +89,7 @@ def resolve(citations: DataFrame, column: str, lines: DataFrame, abbreviations:
 
     Abbreviations are read once more as citations; citations of the other edition go through its line map first.
     """
-    rows = cut(citations.withColumn("_id", F.monotonically_increasing_id())).withColumn("_c", parse_citation(F.col(column)))
+    rows = cut(citations.withColumn("_id", F.monotonically_increasing_id()).withColumn("_c", parse_citation(F.col(column))))  # ids are fixed, and citations parsed once
     if abbreviations is not None:
         rows = rows.join(abbreviations.select(F.col("abbr").alias("_abbr"), F.col("ref").alias("_ref")), F.col("_c").isNull() & (F.col(column) == F.col("_abbr")), "left")
         rows = rows.withColumn("_c", F.coalesce("_c", parse_citation(F.col("_ref")))).drop("_abbr", "_ref")
@@ -136,10 +136,14 @@ def halves(files: DataFrame, work: Sequence[str], order: Sequence[str], juan: st
 
 
 def unicode_levels(df: DataFrame, key: str, text: str, ranges: DataFrame, name: str = "lvl") -> DataFrame:
-    """key, lvl: the highest level of a text's characters; ranges: low, high, lvl of code points, some hundreds."""
+    """key, lvl: the highest level of a text's characters; ranges: low, high, lvl of code points, which don't overlap.
+
+    Ranges are laid out in blocks of 256 code points, 4,352 of them in all, and met by the characters' blocks.
+    """
     points = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda c: c != ""))
     each = df.select(key, F.explode(points).alias("_c")).withColumn("_p", _code_point(F.col("_c")))
-    found = each.join(F.broadcast(ranges), F.col("_p").between(F.col("low"), F.col("high")))
+    blocks = ranges.select("low", "high", "lvl", F.explode(F.sequence(F.shiftright("low", 8), F.shiftright("high", 8))).alias("_block"))
+    found = each.withColumn("_block", F.shiftright("_p", 8)).join(F.broadcast(blocks), "_block").where(F.col("_p").between(F.col("low"), F.col("high")))
     return found.groupBy(key).agg(F.max("lvl").alias(name))
 
 

@@ -26,10 +26,11 @@ def chunks(docs: DataFrame, key: str, content: str, block: int = BLOCK) -> DataF
 def candidates(rows: DataFrame, content: str, query: str, k: int = 500, share: float = 0.5, tie: tuple[str, ...] = ()) -> DataFrame:
     """The k rows with the most of the query's bigrams, of those that have the given share of its characters."""
     chars = list(dict.fromkeys(query.replace(" ", "")))
-    held = sum((F.contains(F.col(content), F.lit(c)).cast("int") for c in chars), F.lit(0))
     wanted = list(dict.fromkeys(query[i : i + 2] for i in range(len(query) - 1)))
-    score = sum((F.contains(F.col(content), F.lit(g)).cast("int") for g in wanted), F.lit(0))
-    return rows.where(held >= share * len(chars)).withColumn("rank_score", score).orderBy(F.desc("rank_score"), *tie).limit(k)
+    some = lambda found, of: F.size(F.array_intersect(found, F.array(*map(F.lit, of)).cast("array<string>")))  # noqa: E731  whatever the query's length
+    pairs = F.when(F.length(content) > 1, F.transform(F.sequence(F.lit(1), F.length(content) - 1), lambda i: F.substring(content, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    held = rows.where(some(F.split(content, ""), chars) >= share * len(chars))
+    return held.withColumn("rank_score", some(pairs, wanted)).orderBy(F.desc("rank_score"), *tie).limit(k)
 
 
 def ranked(rows: DataFrame, key: str, content: str, words: Sequence[str], k: int = 500, share: float = 0.5) -> DataFrame:

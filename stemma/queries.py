@@ -611,7 +611,7 @@ def json_props(spark, sf):
 @query()
 def similar_passages(spark, sf):
     chunks = similar.chunks(corpus(spark, sf), "doc_id", "content")
-    item = S.searchable(table(spark, sf, "benchmark")).orderBy("item_id").first().content[:60]
+    item = S.searchable(table(spark, sf, "benchmark")).orderBy("item_id").first().content
     return similar.similar(chunks, "doc_id", "content", item)
 
 
