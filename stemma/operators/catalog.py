@@ -84,10 +84,11 @@ def alternates(works: DataFrame) -> DataFrame:
     return parts.select("n", "place", F.when(is_line, as_work).otherwise(F.col("part")).alias("alt"), F.when(is_line, F.col("part")).alias("linehead"))
 
 
-def resolve(citations: DataFrame, column: str, lines: DataFrame, abbreviations: DataFrame | None = None, editions: DataFrame | None = None) -> DataFrame:
+def resolve(citations: DataFrame, column: str, lines: DataFrame, abbreviations: DataFrame | None = None, editions: DataFrame | None = None, nearest: bool = False) -> DataFrame:
     """Adds linehead and juan of the line that each citation names; of several the one of the smallest serial number.
 
-    Abbreviations are read once more as citations; citations of the other edition go through its line map first.
+    Abbreviations are read once more as citations; citations of the other edition go through its line map first. nearest:
+    a place that no line has is the next line of its volume, behind the last one that one.
     """
     rows = cut(citations.withColumn("_id", F.monotonically_increasing_id()).withColumn("_c", parse_citation(F.col(column))))  # ids are fixed, and citations parsed once
     if abbreviations is not None:
@@ -109,7 +110,13 @@ def resolve(citations: DataFrame, column: str, lines: DataFrame, abbreviations:
     firsts = firsts.select("_lv", "_lj", F.col("_f._lh").alias("_lh"), F.col("_f.ser_no").alias("ser_no"), "_lw")
     by_juan = asked.where("_by_juan").join(firsts, (F.col("_lv") == F.col("_vol")) & (F.col("_lj") == F.col("_juan")) & F.endswith("_lw", F.col("_work")))
     both = by_line.select("_id", "_lh", "_lj", "ser_no").union(by_juan.select("_id", "_lh", "_lj", "ser_no"))
-    best = both.groupBy("_id").agg(F.min_by(F.struct("_lh", "_lj"), F.struct("ser_no", "_lh")).alias("_best"))
+    if nearest:
+        places = at.select(F.col("_lv").alias("_vol"), "_ll", "_lh", "_lj", "ser_no")
+        lost = asked.where("not _by_juan and _lb is not null").join(by_line.select("_id"), "_id", "left_anti").select("_id", "_vol", "_lb")
+        sides = as_of(lost, places, ["_vol"], "_lb", "_ll", ["_lh", "_lj", "ser_no"], forward=True)
+        behind = sides.where("_lh is null").select("_id", "_vol", "_lb")
+        both = both.unionByName(sides.where("_lh is not null").select("_id", "_lh", "_lj", "ser_no")).unionByName(as_of(behind, places, ["_vol"], "_lb", "_ll", ["_lh", "_lj", "ser_no"]).select("_id", "_lh", "_lj", "ser_no"))
+    best = both.where("_lh is not null").groupBy("_id").agg(F.min_by(F.struct("_lh", "_lj"), F.struct("ser_no", "_lh")).alias("_best"))
     out = rows.select(*citations.columns, "_id").join(best, "_id", "left")
     return out.select(*citations.columns, F.col("_best._lh").alias("linehead"), F.col("_best._lj").alias("juan"))
 

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import catalog as C
+from stemma.operators import catalog as C, relations as R
 from stemma.plans.qlang import QueryError
 
 WORKS = [
@@ -53,6 +55,23 @@ def test_resolve(spark):
     assert got == {"CORPUS, T30, no. 1579, p. 279a7": "T30n1579_p0279a07", "R130, p. 861b7": "X01n0001_p0001a01", "DA": "T30n1579_p0279a07", "nothing": None, "《大正藏》冊01，第1 號，卷3": "T01n0001_p0010a01"}
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_resolve_to_the_nearest_line(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "GROUP_ROWS", most)  # by ranges and by windows
+    rng = random.Random(4)
+    places = sorted({(rng.randrange(1, 40), rng.choice("abc"), rng.randrange(1, 29)) for _ in range(60)})
+    lines = [("T01", "T0001", 1, f"{p:04d}", c, f"{n:02d}", f"T01n0001_p{p:04d}{c}{n:02d}", k) for k, (p, c, n) in enumerate(places)]
+    asked = [(rng.randrange(0, 45), rng.choice("abc"), rng.randrange(1, 29)) for _ in range(80)] + [places[7]]
+    cites = spark.createDataFrame([(f"T01, no. 1, p. {p}{c}{n}",) for p, c, n in asked] + [("T02, no. 2, p. 1a1",), ("nothing",)], "s string")
+    frame = spark.createDataFrame(lines, "vol string, work string, juan int, page string, col string, line string, linehead string, ser_no int")
+    got = {r.s: r.linehead for r in C.resolve(cites, "s", frame, nearest=True).collect()}
+    for p, c, n in asked:
+        at = f"{p:04d}{c}{n:02d}"
+        behind = [x[6] for x in lines if x[3] + x[4] + x[5] >= at]
+        assert got[f"T01, no. 1, p. {p}{c}{n}"] == (behind[0] if behind else lines[-1][6])
+    assert got["T02, no. 2, p. 1a1"] is None and got["nothing"] is None
+
+
 def test_glyphs_and_layers(spark):
     df = spark.createDataFrame([(1, "[a+b]與[c-d]。"), (2, "無")], "id int, t string")
     assert [r.g for r in df.orderBy("id").select(C.replace_glyphs(df, "t", {"[a+b]": "甲"}).alias("g")).collect()] == ["甲與[c-d]。", "無"]
