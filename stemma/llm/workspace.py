@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list["Workspace"] = []
+_OPENED: contextvars.ContextVar[list["Workspace"] | None] = contextvars.ContextVar("opened", default=None)  # inside closing(), in this thread
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +36,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         _LIVE.append(self)
+        if (opened := _OPENED.get()) is not None:
+            opened.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -61,12 +65,14 @@ class Workspace:
 
 @contextlib.contextmanager
 def closing() -> Iterator[None]:
-    """Closes the workspaces that are opened inside: for a result that is written before the block ends."""
-    before = list(_LIVE)
+    """Closes the workspaces that are opened inside, by this thread: for a result that is written before the block ends."""
+    opened: list[Workspace] = []
+    token = _OPENED.set(opened)
     try:
         yield
     finally:
-        for workspace in [w for w in _LIVE if w not in before]:
+        _OPENED.reset(token)
+        for workspace in opened:
             workspace.close()
 
 

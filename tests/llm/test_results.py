@@ -113,6 +113,48 @@ def test_suffix_array(symbols):
         assert before[y] == x and length[y] == common
 
 
+def test_pieces_of_long_words():
+    """Words of over 1,000 characters take another path."""
+    import random
+
+    import sentencepiece
+
+    proto = open(queries.tokenizer("piece_bpe_32k.model"), "rb").read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "é日a🎉", "a") for n in (999, 1000, 1001, 1500, 6000)]
+    texts.append(" ".join(texts))
+    for text in texts:
+        ids, _ = piece_bpe.encode_texts(pa.array([text]), proto)
+        assert ids.tolist() == sp.encode(text, add_eos=True)
+
+
+def test_words_do_not_depend_on_chunks(monkeypatch):
+    from stemma.llm import words
+    from stemma.llm.arrow_text import flat
+
+    column = pa.array(["one two  three\n" * 40, "", "x" * 900, "   ", "end é日 " * 60, "tail"])
+    whole = words.word_hashes(*flat(column))
+    for chunk in (64, 333, 1000):
+        monkeypatch.setattr(words, "CHUNK", chunk)
+        assert all((a == b).all() for a, b in zip(whole, words.word_hashes(*flat(column))))
+
+
+def test_workspaces_of_other_threads_stay_open(spark):
+    import threading
+
+    from stemma.llm.workspace import _LIVE, closing
+
+    with closing():
+        mine = Workspace(spark, "mine")
+        other = []
+        t = threading.Thread(target=lambda: other.append(Workspace(spark, "other")))
+        t.start()
+        t.join()
+    assert mine not in _LIVE and other[0] in _LIVE
+    other[0].close()
+
+
 def test_pieces_and_counts(spark, docs):
     import sentencepiece
 
