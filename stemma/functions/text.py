@@ -231,3 +231,28 @@ def elapsed(seconds: float) -> str:
 def expand_font_span(c: Column) -> Column:
     """Characters beyond the basic plane's common fonts in a span of their own."""
     return F.regexp_replace(c, r"[\x{2B820}-\x{2EBEF}]+", '<span class="ext">$0</span>')
+
+
+def style_class(c: Column) -> Column:
+    """The class of a style of margin-left and text-indent in em: m2, i1, j1 (an indent to the left), m2_i1; null for other styles."""
+    plain = F.regexp_replace(c, r"\s", "")
+    keys = F.array_sort(F.transform(F.filter(F.split(plain, ";"), lambda x: x != ""), lambda x: F.substring_index(x, ":", 1)))
+    whole = lambda key: F.coalesce(F.nullif(F.regexp_extract(plain, rf"(?:^|;){key}:(-?\d+)", 1), F.lit("")), F.lit("0")).cast("int")
+    margin, indent = F.concat(F.lit("m"), whole("margin-left").cast("string")), whole("text-indent")
+    moved = F.when(indent >= 0, F.concat(F.lit("i"), indent.cast("string"))).otherwise(F.concat(F.lit("j"), (-indent).cast("string")))
+    is_keys = lambda *k: keys == F.array(*map(F.lit, k))
+    return F.when(is_keys("margin-left"), margin).when(is_keys("text-indent"), moved).when(is_keys("margin-left", "text-indent"), F.concat_ws("_", margin, moved))
+
+
+def escaped_html(c: Column, quotes: bool = False) -> Column:
+    for x, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quotes else [])):
+        c = F.replace(c, F.lit(x), F.lit(entity))
+    return c
+
+
+def html_tag(name: str, attributes: dict[str, Column], body: Column | None = None) -> Column:
+    """An element; attributes that are null are left out, body is markup, without one the element is empty."""
+    parts = [F.coalesce(F.concat(F.lit(f' {k}="'), escaped_html(v.cast("string"), True), F.lit('"')), F.lit("")) for k, v in attributes.items()]
+    if body is None:
+        return F.concat(F.lit(f"<{name}"), *parts, F.lit("/>"))
+    return F.concat(F.lit(f"<{name}"), *parts, F.lit(">"), F.coalesce(body, F.lit("")), F.lit(f"</{name}>"))

@@ -116,17 +116,20 @@ class Walk:
             if scoped:
                 self.normal.append(e.get("behaviour") != "no-norm")
             self.on_open(e)
-            if e.text:
-                self.on_text(e.text.replace("\n", ""), e)
-            for child in e:
-                self._visit(child)
-                if child.tail:
-                    self.on_text(child.tail.replace("\n", ""), e)
+            self._content(e)
             self.on_close(e)
             if scoped:
                 self.normal.pop()
         self.stack.pop()
 
+    def _content(self, e: ET.Element) -> None:
+        if e.text:
+            self.on_text(e.text.replace("\n", ""), e)
+        for child in e:
+            self._visit(child)
+            if child.tail:
+                self.on_text(child.tail.replace("\n", ""), e)
+
     def inside(self, tag: str, **attributes: str) -> bool:
         return any(_name(x) == tag and all(x.get(k) == v for k, v in attributes.items()) for x in self.stack)
 
@@ -409,6 +412,59 @@ class NotedHtml(ReadingHtml):
         return out
 
 
+class Editions(Walk):
+    """juan, edition, html: the text of every edition of a file in one pass, each with anchors at its own lines.
+
+    The editions are those that line breaks name. In an apparatus an edition has the first reading that names its
+    witness, else the preferred one. witnesses: the witness of each edition, its own name unless given.
+    """
+
+    def __init__(self, xml, glyphs=None, witnesses: dict[str, str] | None = None):
+        super().__init__(xml, glyphs)
+        names = dict.fromkeys(e.get("ed", "") for e in self.root.iter() if _name(e) == "lb" and e.get("type") != "old")
+        self.witnesses = {n: (witnesses or {}).get(n, n).lstrip("#") for n in names} or {"": ""}
+        self.active = [set(self.witnesses)]
+        self.parts: dict[tuple[int, str], list[str]] = {}
+
+    def _put(self, s: str, editions: set[str]) -> None:
+        for n in editions:
+            self.parts.setdefault((self.juan, n), []).append(s)
+
+    def _visit(self, e):
+        if _name(e) != "app":
+            return super()._visit(e)
+        readings, taken = [], set()
+        for x in e:
+            if _name(x) == "rdg":
+                own = {n for n in self.active[-1] - taken if self.witnesses[n] in re.findall(r"[^\s#]+", x.get("wit", ""))}
+                readings.append((x, own))
+                taken |= own
+        for x in e:
+            of = self.active[-1] - taken if _name(x) == "lem" else next((o for r, o in readings if r is x), set())
+            if of:
+                self.active.append(of)
+                self._content(x)
+                self.active.pop()
+
+    def on_line(self, e):
+        self._put(f'<a id="lb{self.lb}"></a>', {e.get("ed", "")} & self.active[-1])
+
+    def on_text(self, s, e):
+        self._put(html.escape(s, quote=False), self.active[-1])
+
+    def on_open(self, e):
+        if aside(e):
+            self._put("(", self.active[-1])
+
+    def on_close(self, e):
+        if aside(e):
+            self._put(")", self.active[-1])
+
+    def rows(self):
+        self.run()
+        return [(j, n, "".join(p)) for (j, n), p in sorted(self.parts.items())]
+
+
 class PlainText(Walk):
     """juan, text for download: a line for each block, notes in parentheses or left out."""
 
@@ -444,11 +500,12 @@ TRANSFORMS: dict[str, tuple[Callable, str]] = {
     "notes": (Notes, "juan int, lb string, n string, place string, content string, prefix string, suffix string"),
     "reading_html": (ReadingHtml, "juan int, html string"),
     "noted_html": (NotedHtml, "juan int, html string, notes string, missing string"),
+    "editions": (Editions, "juan int, edition string, html string"),
     "plain_text": (PlainText, "juan int, text string"),
 }
 
 
-def transform(files: DataFrame, name: str, glyphs: dict[str, str | dict[str, str]] | None = None) -> DataFrame:
+def transform(files: DataFrame, name: str, glyphs: dict[str, str | dict[str, str]] | None = None, **options) -> DataFrame:
     """files: file, content. The rows of the named transform, each with its file.
 
     glyphs: of rare characters the one form to show, or their forms (uni, norm_uni, norm_big5, composition, symbol, romanized).
@@ -459,7 +516,7 @@ def transform(files: DataFrame, name: str, glyphs: dict[str, str | dict[str, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(f, *r) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c for r in make(c, glyphs).rows()]
+            rows = [(f, *r) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c for r in make(c, glyphs, **options).rows()]
             columns = list(zip(*rows)) or [[]] * (len(fields) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, kinds[k]) for c, (_, k) in zip(columns[1:], fields)]], ["file", *[n for n, _ in fields]])
 
