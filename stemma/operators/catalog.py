@@ -76,6 +76,14 @@ def children(catalog: DataFrame, parent: str, works: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.when(F.col("_n").isNotNull(), made).otherwise(F.col("label"))).drop("_n", "title", "juan", "byline").orderBy("sort", "n")
 
 
+def known_works(df: DataFrame, column: str, works: DataFrame, name: str = "work") -> DataFrame:
+    """df with the work that each id means: itself if there is such a work (n), else the one with the letter A behind it, else null."""
+    ids = works.select("n").distinct()
+    plain, lettered = ids.select(F.col("n").alias("_plain")), ids.select(F.col("n").alias("_lettered"))
+    both = df.join(plain, df[column] == F.col("_plain"), "left").join(lettered, F.concat(df[column], F.lit("A")) == F.col("_lettered"), "left")
+    return both.withColumn(name, F.coalesce("_plain", "_lettered")).drop("_plain", "_lettered")
+
+
 def alternates(works: DataFrame) -> DataFrame:
     """n, alt, place: the parts of alt ('a+b'), each a work id or the start of a line ('T01n0001_p0001a01')."""
     parts = works.where("alt is not null").select("n", F.posexplode(F.split("alt", r"\+")).alias("place", "part"))

@@ -72,6 +72,12 @@ def test_resolve_to_the_nearest_line(spark, monkeypatch, most):
     assert got["T02, no. 2, p. 1a1"] is None and got["nothing"] is None
 
 
+def test_known_works(spark):
+    works = spark.createDataFrame([("T1969A",), ("T0001",), ("T0150A",), ("T0150",)], "n string")
+    asked = spark.createDataFrame([("T1969",), ("T0001",), ("T0150",), ("T0150A",), ("T9",), (None,)], "id string")
+    assert {r.id: r.work for r in C.known_works(asked, "id", works).collect()} == {"T1969": "T1969A", "T0001": "T0001", "T0150": "T0150", "T0150A": "T0150A", "T9": None, None: None}
+
+
 def test_glyphs_and_layers(spark):
     df = spark.createDataFrame([(1, "[a+b]與[c-d]。"), (2, "無")], "id int, t string")
     assert [r.g for r in df.orderBy("id").select(C.replace_glyphs(df, "t", {"[a+b]": "甲"}).alias("g")).collect()] == ["甲與[c-d]。", "無"]
