@@ -33,7 +33,7 @@ def index_of(spark: SparkSession, sf: str) -> phrase_index.TextIndex:
     "select lang, count(distinct doc_id) docs, count(distinct pair) pairs, count(*) n_places from g group by 1"
 )
 def text_index(spark, sf) -> DataFrame:
-    rows = built(spark, sf)._postings.groupBy(F.col("canon").alias("lang"), "key").agg(F.collect_set("pair").alias("p"), F.sum(F.size("places")).alias("n"))
+    rows = built(spark, sf).rows().groupBy(F.col("canon").alias("lang"), "key").agg(F.collect_set("pair").alias("p"), F.sum(F.size("places")).alias("n"))
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n_places"))
     pairs = rows.select("lang", F.explode("p").alias("pair")).distinct().groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("pairs"))
     return counted.join(pairs, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "docs", "pairs", "n_places")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import mark_chars, mark_phrase, note_inline
 from ..plans import qlang
+from ..plans.cut import cut
 from . import expand, kwic, search
 
 
@@ -82,11 +83,12 @@ def all_in_one(
     """Hits with their places as kwics (array of structs by pos), the totals, and facets on demand.
 
     Where the search alone can't tell the hits, for NEAR and exclusion, all places are found first: their number is
-    term_hits, texts without a place go, and the page is cut from what is left. Else only the page's places are found.
+    term_hits, texts without a place go, and what is left is written, for the page, the totals and the facets. Else only
+    the page's places are found.
     """
-    found = search.match(docs, query, content, key)
     tree = qlang.parse(query)
     parts = tree.parts if isinstance(tree, qlang.And) else (tree,)
+    found = search.match(docs, query, content, key, verify=not isinstance(tree, qlang.Near))  # the places of one chain say it all
 
     def with_places(matched: DataFrame) -> DataFrame:
         places = concordance(matched, key, content, query, around)
@@ -96,6 +98,7 @@ def all_in_one(
     page = lambda df: search.page(search.order(df, order, [*tie, key]), start, rows)
     if any(isinstance(p, (qlang.Near, qlang.Exclude)) for p in parts):
         found = with_places(found).withColumn("term_hits", F.size("kwics").cast("long"))
+        found = cut(found)  # page, totals and facets are made from what is found once
         results = page(found)
     else:
         results = search.order(with_places(page(found)), order, [*tie, key])

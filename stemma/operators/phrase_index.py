@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.arrays import bound
 from ..plans import qlang
+from ..plans.cut import cut
 from ..sources import sinks
 from . import endpoints, kwic, search
 
@@ -175,6 +176,10 @@ class TextIndex:
     def texts(self, canons: Sequence[str] | None = None) -> DataFrame:
         return self._texts.where(self._live(canons)).select("row.*")
 
+    def rows(self) -> DataFrame:
+        """Every live row: pair, key, places, canon, field."""
+        return self._postings.where(self._live(None)).select("pair", "key", "places", "canon", "field")
+
     def read(self, key, offset: int, size: int, field: str | None = None) -> DataFrame:
         """One text's characters from offset (0 is the first) on."""
         return self.texts().where(F.col(self.key) == key).select(self.key, F.substring(field or self.fields[0], offset + 1, size).alias("text"))
@@ -256,7 +261,7 @@ class TextIndex:
         """As endpoints.all_in_one(): the page's texts alone are read, by their keys; for NEAR and exclusion those that match."""
         found = self.match(query, field, canons)
         wanted = list(dict.fromkeys([*columns, *facets]))
-        found = self.with_attributes(found, wanted, canons) if wanted else found
+        found = cut(self.with_attributes(found, wanted, canons) if wanted else found)  # read for the page, the totals and each facet
         tree = qlang.parse(query)
         parts = tree.parts if isinstance(tree, qlang.And) else (tree,)
         if any(isinstance(p, (qlang.Near, qlang.Exclude)) for p in parts):

@@ -16,10 +16,11 @@ def searchable(docs: DataFrame, text: str = "text", name: str = "content") -> Da
     return docs.withColumn(name, normal(F.col(text)))
 
 
-def match(docs: DataFrame, query: str, content: str = "content", key: str | None = None) -> DataFrame:
+def match(docs: DataFrame, query: str, content: str = "content", key: str | None = None, verify: bool = True) -> DataFrame:
     """Rows that match, with term_hits. With NEAR a unique key is needed: its tuples are found by
     kwic.near(), and those of which all terms lie inside the first one don't count.
 
+    Without verify texts that hold all terms of a NEAR chain are taken, for a caller that finds its tuples anyway.
     The searched text is bound once in each row; a filter of its own would be pushed down with a copy of the text's
     computation for every phrase.
     """
@@ -30,7 +31,7 @@ def match(docs: DataFrame, query: str, content: str = "content", key: str | None
     test = lambda c: F.struct(qlang.hit_count(tree, c).alias("hits"), qlang.predicate(tree, c).alias("ok"))
     judged = docs.withColumn("_m", F.explode_outer(F.filter(F.transform(F.array(content), test), lambda x: x["ok"])))
     rows = judged.where(F.col("_m").isNotNull()).select(*docs.columns, F.col("_m.hits").alias("term_hits"))
-    for n in nears:
+    for n in nears if verify else []:
         tuples = kwic.drop_contained(kwic.near(rows.select(key, content), key, content, n.terms, n.gaps), n.terms)
         found = tuples.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_tuples"))
         rows = rows.join(found, F.col(key) == F.col("_key")).withColumn("term_hits", F.col("term_hits") + F.col("_tuples")).drop("_key", "_tuples")
