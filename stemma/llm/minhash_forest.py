@@ -268,6 +268,11 @@ def _by_rare_shingles(nodes: DataFrame, texts: DataFrame, work: Workspace) -> Da
     """
     named = texts_of(texts, nodes.select("key")).select("key", "text").join(nodes.select("key", "component"), "key")
     shingles = work.save(named.select("key", "text", "component").mapInArrow(_exploded, "key long, component long, size long, shingle long"), "shingles")
+    # A text with so many shingles of its own that the rest can't make it alike to any other has no link here.
+    own = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("key")).where("df = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    sizes = shingles.groupBy("key").agg(F.first("size").alias("size"))
+    open_ = work.save(sizes.join(own, "key", "left").where(_prefix(1) > F.coalesce("own", F.lit(0))).select("key"), "open")
+    shingles = work.save(shingles.join(open_, "key", "left_semi"), "open-shingles")
     # What one component alone holds comes first in the order from rare to frequent, and meets nothing.
     ends = [F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")]
     shared = work.save(shingles.groupBy("shingle").agg(*ends).where("low < high").select("shingle", "df"), "shared")
@@ -336,5 +341,5 @@ def near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     out = signed.select("key", "n_shingles", "digest").join(found, "digest", "left").withColumn("component", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")))
     out = out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(True)).alias("kept"))
     out = work.save(out, "out")
-    work.drop("signed", "classes", "nodes", "proposed", "crowded", "shingles", "shared", "prefixes", "mixed", "mixed-prefixes", *[f"{x}-{k}" for k in (1, 2, 3) for x in ("pairs", "links", "labels")])
+    work.drop("signed", "classes", "nodes", "proposed", "crowded", "shingles", "open", "open-shingles", "shared", "prefixes", "mixed", "mixed-prefixes", *[f"{x}-{k}" for k in (1, 2, 3) for x in ("pairs", "links", "labels")])
     return out
