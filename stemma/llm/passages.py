@@ -16,13 +16,21 @@
    distinct one are hashed and matched to the first document that holds them. So every word of an equal run of
    MIN_WORDS words is found, whichever documents hold its seeds, at a cost that follows the distinct segments. These
    runs join the matches, and stay as rows where no alignment holds them.
-5. Of a document's sources those with the most matches come first; one whose places they span already is left out (its
+5. Of a document's sources those with the most matches come first; one whose places they span already is left to step 7 (its
    equal runs still stay). The matches of a document with one source document are chained: the best score over matches that lie before in
    both texts comes from a Fenwick tree over source places, where the linear gap costs are part of the key.
-   A single match is enough if at most RARE documents hold its seed.
+   A single match is enough if at most RARE documents hold its seed: those are all met in step 3.
 6. The words of both sides are fetched for each chain, equal stretches between matches are taken as they are, gaps
    are aligned by longest common subsequence, and both ends are extended. A passage needs MIN_WORDS equal words and
    IDENTITY of the longer side; a chain that lacks it is cut at its worst gap, and each side is judged by itself.
+7. So steps 3 and 5 try a few sources for each place. A seed that no passage covers then is open if more than RARE
+   documents hold it, and all earlier documents are tried for it: the first two matches of any chain are at most NEAR
+   words apart, both sides together, so a source shares a link, two seeds in one order at such a distance. Documents
+   are joined by the links of which a seed is open, with no limit on a link's holders, and every source is chained and
+   aligned. Of a link that comes again in a document at one distance its first place stands for all; where that gave a
+   passage, the pair is taken once more with all places that are still open. A match that stands alone makes a passage
+   only if its equal run is MIN_WORDS long or goes on behind a skip at one of its ends: the words around each open seed
+   are compared with those around all its places in earlier documents, in blocks of BLOCK by BLOCK that are dealt out.
 
 The document of the smaller key always keeps its words, so that removal leaves a copy of everything.
 
@@ -53,6 +61,9 @@ ANCHOR = 15
 GAIN, GAP_COST, MIN_SEEDS = 10.0, 0.15, 2
 RARE = 3  # documents that hold a seed which may stand alone for a passage
 CROWD = 2_000  # holders of a seed among which a row looks for the one before it
+NEAR = int(GAIN / GAP_COST)  # words between the first two matches of a chain, both sides together, at most
+AROUND = MIN_WORDS - SEED + 7  # words beside a lone seed: a run shorter than MIN_WORDS, 3 skipped words, 4 equal ones
+BLOCK = 512
 PAD, STEP = 64, 20
 SPAN_GAP, BIN, NEW_BINS = 48, 8, 2  # words without a match inside a span, words in a bin, bins that a source must add
 BROADCAST_SPANS, BROADCAST_COPIES = 300_000, 1_000_000
@@ -150,6 +161,7 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in INTERVALS.split(", ")])
 
 
+CHAINS = "key long, source long, d array<int>, r array<int>"
 EXACT = SPANS + ", run int, run_start int, run_source int"  # with the longest run on one diagonal: words, first word of each side
 
 
@@ -279,6 +291,16 @@ def needed_sources(groups: list[list[int]]) -> list[int]:
 @lean
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, source, d, r descending, rare first) in, one row for each chain out. A document's rows are held together."""
+    return _chained(batches, False)
+
+
+@lean
+def _all_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of all sources."""
+    return _chained(batches, True)
+
+
+def _chained(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
     held = None
 
     def done(*columns) -> pa.RecordBatch:
@@ -289,7 +311,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for k, mine in itertools.groupby(groups, key=lambda g: key[g[0]]):
             mine = list(mine)
-            if len(mine) > 1:
+            if len(mine) > 1 and not every:
                 mine = [mine[g] for g in needed_sources([d[a:b].tolist() for a, b in mine])]
             for a, b in mine:
                 for c in chain(d[a:b], r[a:b], rare[a:b]):
@@ -429,13 +451,30 @@ def align(d: list[int], r: list[int], own: np.ndarray, theirs: np.ndarray, base:
 
 @lean
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    return _judged(batches, False)
+
+
+@lean
+def _aligned_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of rows sorted by key, less chains of which all places lie in one passage found before."""
+    return _judged(batches, True)
+
+
+def _judged(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
+    words, last, found = _Words(), None, []
     for batch in batches:
         out = []
         names = ("key", "source", "d", "r", "words", "text")
         for key, source, d, r, theirs, text in zip(*[batch.column(n).to_pylist() for n in names]):
+            if once:
+                if key != last:
+                    last, found = key, []
+                if any(a <= d[0] and d[-1] + SEED <= b for a, b in found):
+                    continue
+            before = len(out)
             for a, b, c, e, equal in align(d, r, words.of(text or ""), np.frombuffer(theirs, np.uint32), max(0, r[0] - PAD)):
                 out.append((key, a, b, source, c, e, equal, equal / max(1, b - a, e - c)))
+            found += [(x[1], x[2]) for x in out[before:] if once and not any(a <= x[1] and x[2] <= b for a, b in found)]
         columns = list(zip(*out)) or [[]] * 8
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in SPANS.split(", ")])
@@ -482,16 +521,11 @@ def find_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
     no = F.lit(False)
     matches = narrow.union(nearest).union(anchors.select("key", "source", "x.d", "x.r", no)).union(runs.select("key", "source", "x.d", "x.r", no))
     ordered = matches.repartition("key").sortWithinPartitions("key", "source", "d", F.desc("r"), F.desc("rare"))
-    chains = work.save(ordered.mapInArrow(_chains, "key long, source long, d array<int>, r array<int>"), "chains")
-    chains = chains.withColumns({"r_first": F.get("r", F.lit(0)), "r_last": F.element_at("r", -1)})
-    keys = chains.select(F.explode(F.array("key", "source")).alias("key")).distinct()
-    needed = work.save(texts_of(plain, keys), "texts")
-    asked = chains.select(F.col("source").alias("key"), "r_first", "r_last").distinct().join(needed, "key").select("key", "r_first", "r_last", "text")
-    regions = asked.mapInArrow(_regions, "source long, r_first int, r_last int, words binary")
-    both = chains.join(regions, ["source", "r_first", "r_last"]).join(needed, "key").select("key", "source", "d", "r", "words", "text")
-    both = both.mapInArrow(_aligned, SPANS).withColumn("exact", F.lit(False)).union(exact.drop("run", "run_start", "run_source").withColumn("exact", F.lit(True)))
-    both = both.repartition("key").sortWithinPartitions("key", "start", F.desc("stop"), "exact")
-    out = both.mapInArrow(_uncovered, SPANS).union(copies)
+    chains = work.save(ordered.mapInArrow(_chains, CHAINS), "chains")
+    both = _passages(work, plain, chains).withColumn("exact", F.lit(False)).union(exact.drop("run", "run_start", "run_source").withColumn("exact", F.lit(True)))
+    tried = work.save(_largest(both), "tried")
+    work.drop("exact", "chains", "texts")
+    out = _rest(work, plain, met, tried).union(copies)
     if names is None:
         out = out.withColumn("version", F.lit(None).cast("long"))
     else:
@@ -500,10 +534,211 @@ def find_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
         out = out.join(mine, F.col("key") == F.col("_i")).join(theirs, F.col("source") == F.col("_j"))
         out = out.withColumns({"key": F.col("_key"), "source": F.col("_source")}).drop("_i", "_j", "_key", "_source")
     out = work.save(out.select([x.split()[0] for x in SPANS.split(", ")] + ["version"]), "spans")
-    work.drop("firsts", "copies", "met", "exact", "chains", "texts", "names", "rows")
+    work.drop("firsts", "copies", "met", "tried", "rest", "again", "more", "texts", "names", "rows")
+    return out
+
+
+def _passages(work: Workspace, plain: DataFrame, chains: DataFrame, once: bool = False) -> DataFrame:
+    """SPANS of the passages of chains; the texts of their documents are written. once: longest chains first, a place needs one passage."""
+    chains = chains.withColumns({"r_first": F.get("r", F.lit(0)), "r_last": F.element_at("r", -1)})
+    keys = chains.select(F.explode(F.array("key", "source")).alias("key")).distinct()
+    needed = work.save(texts_of(plain, keys), "texts")
+    asked = chains.select(F.col("source").alias("key"), "r_first", "r_last").distinct().join(needed, "key").select("key", "r_first", "r_last", "text")
+    regions = asked.mapInArrow(_regions, "source long, r_first int, r_last int, words binary")
+    both = chains.join(regions, ["source", "r_first", "r_last"]).join(needed, "key").select("key", "source", "d", "r", "words", "text")
+    if once:
+        both = both.repartition("key").sortWithinPartitions("key", F.desc(F.size("d")), "source")
+    return both.mapInArrow(_aligned_once if once else _aligned, SPANS)
+
+
+def _largest(spans: DataFrame) -> DataFrame:
+    """SPANS (and exact) less the exact ones inside others."""
+    return spans.repartition("key").sortWithinPartitions("key", "start", F.desc("stop"), "exact").mapInArrow(_uncovered, SPANS)
+
+
+def _rest(work: Workspace, plain: DataFrame, met: DataFrame, tried: DataFrame) -> DataFrame:
+    """tried and the passages of open seeds with any earlier document."""
+    places = work.save(_places(met, tried), "places")
+    found = work.save(_met_again(work, plain, places, None), "rest")
+    if found.isEmpty():
+        work.drop("places")
+        return tried
+    pairs = found.select("key", "source").distinct()
+    keys = pairs.select(F.explode(F.array("key", "source")).alias("key")).distinct()
+    left = _places(met.join(keys, "key", "left_semi"), tried.union(found).join(keys, "key", "left_semi"))
+    again = work.save(_met_again(work, plain, work.save(left, "places"), pairs), "again")
+    work.drop("places")
+    return _largest(tried.withColumn("exact", F.lit(False)).union(found.union(again).withColumn("exact", F.lit(True))))
+
+
+def _places(met: DataFrame, spans: DataFrame) -> DataFrame:
+    """The seeds that documents share, and which of their places are open: in no span, and held by more than RARE documents."""
+    seeds = met.where("n = 0").select("key", "seed", "pos", "c", F.lit(0).alias("stop"))
+    both = seeds.union(spans.select("key", F.lit(0).cast("long"), "start", F.lit(0), "stop"))  # at one place spans come first
+    reached = F.max("stop").over(Window.partitionBy("key").orderBy("pos", "c"))
+    return both.select("key", "seed", "pos", "c", ((F.col("c") > RARE) & (F.col("pos") + SEED > reached)).alias("open")).where("c > 0").drop("c")
+
+
+LINKS = "link long, key long, pos int, gap int, mine boolean"
+
+
+def _linked(places: DataFrame, every: bool) -> DataFrame:
+    """LINKS of the seeds that are open somewhere. mine: of an open seed of this document, its first open place (every: all)."""
+    asked = places.where("open").select("seed").distinct().withColumn("asked", F.lit(True))
+    marked = places.join(asked, "seed", "left").select("key", "pos", "seed", "open", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+    def done(key, pos, seed, is_open, asked) -> pa.RecordBatch:
+        pairs, k = [], 1
+        while k < len(key):
+            near = (key[k:] == key[:-k]) & (pos[k:] - pos[:-k] < NEAR)
+            if not near.any():
+                break
+            at = np.flatnonzero(near & (asked[k:] | asked[:-k]))
+            pairs.append((at, at + k))
+            k += 1
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
+        link = mix(seed[i].view(np.uint64) + mix(seed[j].view(np.uint64))).view(np.int64)
+        gap = pos[j] - pos[i]
+        opened = is_open[i] | is_open[j]
+
+        def firsts(which):
+            which = which[np.lexsort((pos[i[which]], gap[which], link[which], key[i[which]]))]
+            a, b = which[1:], which[:-1]
+            return which[np.r_[True, (gap[a] != gap[b]) | (link[a] != link[b]) | (key[i[a]] != key[i[b]])]] if len(which) else which
+
+        theirs, mine = firsts(np.arange(len(i))), np.flatnonzero(opened)
+        at = np.r_[theirs, mine if every else firsts(mine)]
+        columns = [link[at], key[i[at]], pos[i[at]], gap[at], np.arange(len(at)) >= len(theirs)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in LINKS.split(", ")])
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            other = np.flatnonzero(now[0] != now[0][-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            held = [x[cut:] for x in now]
+            if cut:
+                yield done(*[x[:cut] for x in now])
+        if held is not None:
+            yield done(*held)
+
+    return marked.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(run, LINKS)
+
+
+CONTEXTS = "seed long, key long, pos int, mine boolean, words binary"
+
+
+def _contexts(plain: DataFrame, places: DataFrame, every: bool) -> DataFrame:
+    """CONTEXTS, the words around each seed that is open somewhere; equal ones of a document once. mine: of its open places (every: all)."""
+    asked = places.where("open").select("seed").distinct()
+    lists = places.join(asked, "seed", "left_semi").groupBy("key").agg(F.collect_list(F.struct("seed", "pos", "open")).alias("seeds"))
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 4 * (2 * AROUND + SEED)
+        for batch in batches:
+            texts, out = fill(batch.column(1)), []
+            for k, (key, seeds) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                seed, pos, is_open = (x.to_numpy(zero_copy_only=False) for x in seeds.values.flatten())
+                words = (word_hashes(*flat(texts.slice(k, 1)))[0] >> np.uint64(32)).astype(np.uint32)
+                padded = np.r_[np.zeros(AROUND, np.uint32), words, np.zeros(AROUND + SEED, np.uint32)]
+                around = np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + SEED)[pos]
+                kinds = np.column_stack([np.ascontiguousarray(seed).view(np.uint32).reshape(-1, 2), around])
+                kinds = np.ascontiguousarray(kinds).view(np.dtype((np.void, kinds.shape[1] * 4))).ravel()
+                first = lambda at: at[np.unique(kinds[at], return_index=True)[1]]
+                theirs, mine = first(np.arange(len(pos))), np.flatnonzero(is_open)
+                at = np.r_[theirs, mine if every else first(mine)]
+                raw = np.ascontiguousarray(around[at]).tobytes()
+                out.append((seed[at], np.full(len(at), key), pos[at], np.arange(len(at)) >= len(theirs), [raw[i : i + size] for i in range(0, len(raw), size)]))
+            if out:
+                columns = [pa.array(np.concatenate(x)) for x in list(zip(*out))[:4]] + [pa.array(itertools.chain.from_iterable(x[4] for x in out), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CONTEXTS.split(", ")])
+
+    return texts_of(plain, lists.select("key")).join(lists, "key").select("key", "text", "seeds").mapInArrow(run, CONTEXTS)
+
+
+def goes_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For the words around a seed (rows of a, of b): whether their equal run has MIN_WORDS or is followed, behind a skip, by 4 equal words."""
+    a = np.where(a == 0, np.uint32(1), a)  # what lies outside a text equals nothing
+    differs = np.concatenate([a[:, None, AROUND:] != b[None, :, AROUND:], np.ones((len(a), len(b), 1), bool)], axis=2)
+    right = differs.argmax(2)
+    differs = np.concatenate([a[:, None, AROUND - 1 :: -1] != b[None, :, AROUND - 1 :: -1], np.ones((len(a), len(b), 1), bool)], axis=2)
+    left = differs.argmax(2)
+    out = left + right >= MIN_WORDS
+    i, j = np.nonzero(~out & (right >= SEED))
+    of = lambda x: sum(x[:, n : x.shape[1] - 3 + n].astype(np.uint64) * powers(4)[n] for n in range(4))
+    ga, gb = of(a), of(b)
+    stop, start = AROUND + right[i, j], AROUND - 4 - left[i, j]
+    more = np.zeros(len(i), bool)
+    for x in range(4):
+        for y in range(4):
+            if x or y:
+                more |= (ga[i, stop + x] == gb[j, stop + y]) | (ga[i, start - x] == gb[j, start - y])
+    out[i, j] = more
     return out
 
 
+@lean
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (seed, i, j, mine, key, pos, words), sorted, mine first, in; (key, source, d, r) of the pairs that may make a passage out."""
+    group, own = None, []
+
+    def done(theirs) -> pa.RecordBatch:
+        a, b = ([x for rows in side for x in rows] for side in (own, theirs))
+        words = [np.frombuffer(b"".join(x[2] for x in side), np.uint32).reshape(len(side), -1) for side in (a, b)]
+        (ka, pa_), (kb, pb) = ((np.array([x[0] for x in side]), np.array([x[1] for x in side], np.int32)) for side in (a, b))
+        i, j = np.nonzero(goes_on(*words) & (kb[None, :] < ka[:, None]))
+        return pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), pa.array(pa_[i]), pa.array(pb[j])], ["key", "source", "d", "r"])
+
+    for batch in batches:
+        rows = zip(*[c.to_pylist() for c in batch.columns])
+        for (now, mine), part in itertools.groupby(rows, key=lambda x: (x[:3], x[3])):
+            part = [x[4:] for x in part]
+            if now != group:
+                group, own = now, []
+            if mine:
+                own.append(part)
+            elif own:
+                yield done([part])
+
+
+def _lone(work: Workspace, plain: DataFrame, places: DataFrame, every: bool) -> DataFrame:
+    """(key, source, d, r) of single matches of open seeds with all earlier documents that may make a passage."""
+    held = work.save(_contexts(plain, places, every), "contexts")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = held.groupBy("seed").agg(F.count_if("mine").alias("a"), F.count_if(~F.col("mine")).alias("b")).where("a > 0").select("seed", parts("a").alias("a"), parts("b").alias("b"))
+    rows = held.join(sizes, "seed")
+    own, all_of = F.pmod(F.xxhash64("key", "pos"), F.when(F.col("mine"), F.col("a")).otherwise(F.col("b"))).cast("int"), F.when(F.col("mine"), F.col("b")).otherwise(F.col("a"))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), all_of - 1)))
+    i, j = F.when(F.col("mine"), F.col("own")).otherwise(F.col("other")), F.when(F.col("mine"), F.col("other")).otherwise(F.col("own"))
+    dealt = dealt.select("seed", i.alias("i"), j.alias("j"), "mine", "key", "pos", "words")
+    return dealt.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", F.desc("mine")).mapInArrow(_alone, "key long, source long, d int, r int")
+
+
+def _met_again(work: Workspace, plain: DataFrame, places: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """SPANS of open seeds with all earlier documents that share one; pairs: with those alone, at all open places."""
+    links = work.save(_linked(places, pairs is not None), "links")
+    mine = links.where("mine").drop("mine")
+    theirs = links.where("not mine").select("link", F.col("key").alias("source"), F.col("pos").alias("r"), F.col("gap").alias("r_gap"))
+    both = mine.join(theirs, "link").where((F.col("source") < F.col("key")) & (F.col("gap") + F.col("r_gap") <= NEAR))
+    lone = _lone(work, plain, places, pairs is not None)
+    if pairs is not None:
+        both, lone = (x.join(pairs, ["key", "source"], "left_semi") for x in (both, lone))
+    ends = F.array(F.struct(F.col("pos").alias("d"), "r"), F.struct((F.col("pos") + F.col("gap")).alias("d"), (F.col("r") + F.col("r_gap")).alias("r")))
+    matches = both.select("key", "source", F.explode(ends).alias("x")).select("key", "source", "x.d", "x.r", F.lit(False).alias("rare"))
+    matches = matches.union(lone.select("key", "source", "d", "r", F.lit(True)))
+    ordered = matches.repartition("key").sortWithinPartitions("key", "source", "d", F.desc("r"), F.desc("rare"))
+    chains = work.save(ordered.mapInArrow(_all_chains, CHAINS), "more")
+    work.drop("links", "contexts")
+    return _passages(work, plain, chains, True)
+
+
 def _exact(work: Workspace, plain: DataFrame, anchors: DataFrame) -> DataFrame:
     """EXACT of all runs of MIN_WORDS words or more that a document of a smaller key holds, by its first such document."""
     segment = ["seed", "digest", "n"]
