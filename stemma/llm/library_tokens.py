@@ -75,15 +75,14 @@ class LibraryTokenizer:
         library puts a blank before each text.
         """
         ids: list[np.ndarray] = [None] * len(words)
-        solid = np.fromiter((_SOLID(w) is not None for w in words), bool, len(words))
+        others = range(len(words))
         if self.bare:
             single = np.fromiter((_SINGLE(w) is not None for w in words), bool, len(words))
             self._singles(words, np.flatnonzero(single).tolist(), ids)
-            solid &= ~single
-            rest = np.flatnonzero(~solid & ~single).tolist()
-        else:
-            rest = np.flatnonzero(~solid).tolist()
-        good = np.flatnonzero(solid).tolist()
+            others = np.flatnonzero(~single).tolist()
+        good, rest = [], []
+        for i in others:
+            (good if _SOLID(words[i]) else rest).append(i)
         groups = [good[i : i + JOINED] for i in range(0, len(good), JOINED)]
         for group, got in zip(groups, self.whole([GUARD + GUARD.join(words[i] for i in g) for g in groups])):
             flat_ids = np.array(got[len(self.lead) - 1 :], np.int32)
@@ -96,9 +95,14 @@ class LibraryTokenizer:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.concatenate([np.zeros(0, np.int32), *ids]), lengths
 
+    def _spelt(self, word: str) -> str:
+        if word.isascii():  # of letters or marks behind a blank, which alone has another character
+            return self.letters[32] + word[1:] if word[0] == " " else word
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def _singles(self, words: list[str], which: list[int], ids: list) -> None:
         groups = [which[i : i + JOINED] for i in range(0, len(which), JOINED)]
-        spelt = [[words[i].encode().decode("latin-1").translate(self.letters) for i in g] for g in groups]
+        spelt = [[self._spelt(words[i]) for i in g] for g in groups]
         for group, got in zip(groups, self.bare.encode_batch(spelt, is_pretokenized=True, add_special_tokens=False)):
             flat_ids = np.array(got.ids, np.int32)
             ends = np.r_[0, np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(group)))].tolist()

@@ -41,34 +41,29 @@ def encode(values: np.ndarray) -> Coded:
         return Coded(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64))
     blocks = -(-n // BLOCK)
     row = BLOCK + PAD
-    bits = np.ones((blocks, row), np.uint8)
+    bits, held = np.ones((blocks, row), np.uint8), np.zeros((blocks, row), np.uint64)
     full = n // BLOCK
-    own = _bits(values)
-    bits[:full, :BLOCK] = own[: full * BLOCK].reshape(full, BLOCK)
-    if full < blocks:
-        bits[full, : n - full * BLOCK] = own[full * BLOCK :]
+    for padded, own in ((bits, _bits(values)), (held, values)):
+        padded[:full, :BLOCK] = own[: full * BLOCK].reshape(full, BLOCK)
+        if full < blocks:
+            padded[full, : n - full * BLOCK] = own[full * BLOCK :]
     most = {1: bits.ravel()}  # most[k][i]: widest of the k values from i
     for k in (2, 4, 8, 16, 32):
         half = most[k // 2]
         most[k] = half.copy()
         np.maximum(half[: -(k // 2)], half[k // 2 :], out=most[k][: -(k // 2)])
+    best = np.zeros(blocks * row, np.uint8)  # the selector of a word that begins at a place; no word begins in the last PAD
+    for s in range(14, 0, -1):
+        count = int(COUNTS[s])
+        k = 1 << (count.bit_length() - 1)
+        size = len(best) - (count - k)
+        best[:size][np.maximum(most[k][:size], most[k][count - k :]) <= WIDTHS[s]] = s
     room = np.full(blocks, BLOCK)
     room[-1] = n - (blocks - 1) * BLOCK
     pos, alive = np.zeros(blocks, np.int64), np.arange(blocks)
     chain = []
     while len(alive):
-        here = alive * row + pos[alive]
-        sel = np.zeros(len(alive), np.int64)
-        todo = np.arange(len(alive))
-        for s in range(1, 15):
-            count = int(COUNTS[s])
-            k = 1 << (count.bit_length() - 1)
-            at = here[todo]
-            fits = np.maximum(most[k][at], most[k][at + count - k]) <= WIDTHS[s]
-            sel[todo[fits]] = s
-            todo = todo[~fits]
-            if not len(todo):
-                break
+        sel = best[alive * row + pos[alive]]
         chain.append((alive, pos[alive], sel))
         pos[alive] += COUNTS[sel]
         alive = alive[pos[alive] < room[alive]]
@@ -76,15 +71,17 @@ def encode(values: np.ndarray) -> Coded:
     order = np.lexsort((first, block))
     block, first, sel = block[order], first[order], sel[order]
     words = sel.astype(np.uint64) << np.uint64(60)
-    flat_at = block * BLOCK + first
+    held, flat_at = held.ravel(), block * row + first
     for s in range(1, 15):
         mine = np.flatnonzero(sel == s)
-        for j in range(int(COUNTS[s]) if len(mine) else 0):
-            real = mine[first[mine] + j < room[block[mine]]]
-            words[real] |= values[flat_at[real] + j] << np.uint64(j * int(WIDTHS[s]))
+        if len(mine):
+            at, packed = flat_at[mine], words[mine]
+            for j in range(int(COUNTS[s])):
+                packed |= held[at + j] << np.uint64(j * int(WIDTHS[s]))
+            words[mine] = packed
     odd = sel == 0
     ends = lambda of: np.r_[0, np.cumsum(np.bincount(of, minlength=blocks))]
-    return Coded(words, ends(block), values[flat_at[odd]], ends(block[odd]))
+    return Coded(words, ends(block), held[flat_at[odd]], ends(block[odd]))
 
 
 def decode(words: np.ndarray, escapes: np.ndarray, word_ends: np.ndarray, counts: np.ndarray) -> np.ndarray:

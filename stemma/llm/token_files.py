@@ -33,6 +33,7 @@ from .workspace import Workspace
 
 MAGIC = b"S8BTOK01"
 NULL_KEY = -(1 << 63)
+SLICE = 4 << 20  # bytes of text encoded at a time
 STRIDE = simple8b.BLOCK * 1024  # ids coded at a time
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
@@ -147,7 +148,7 @@ def write_token_files(docs: DataFrame, key: str, text: str, tokenizer_path: str,
                 stream = fs.open_output_stream(f"{root}/{name}")
                 writer = FileWriter(stream)
             texts = fill(batch.column(1))
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, SLICE):
                 ids, ends = coder.ids(texts.slice(start, stop - start))
                 keys = batch.column(0).slice(start, stop - start).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
                 writer.append(keys, np.insert(ids, ends[1:], end_id), np.diff(ends) + 1)
