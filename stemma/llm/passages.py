@@ -24,13 +24,15 @@
    are aligned by longest common subsequence, and both ends are extended. A passage needs MIN_WORDS equal words and
    IDENTITY of the longer side; a chain that lacks it is cut at its worst gap, and each side is judged by itself.
 7. So steps 3 and 5 try a few sources for each place. A seed that no passage covers then is open if more than RARE
-   documents hold it, and all earlier documents are tried for it: the first two matches of any chain are at most NEAR
-   words apart, both sides together, so a source shares a link, two seeds in one order at such a distance. Documents
-   are joined by the links of which a seed is open, with no limit on a link's holders, and every source is chained and
-   aligned. Of a link that comes again in a document at one distance its first place stands for all; where that gave a
-   passage, the pair is taken once more with all places that are still open. A match that stands alone makes a passage
-   only if its equal run is MIN_WORDS long or goes on behind a skip at one of its ends: the words around each open seed
-   are compared with those around all its places in earlier documents, in blocks of BLOCK by BLOCK that are dealt out.
+   documents hold it, and all earlier documents are tried for it. A passage that is no equal run of MIN_WORDS words has a
+   gap between two runs. Either two seeds stand on its sides, at most NEAR words apart, both sides together: documents
+   meet by links, two seeds in one order, where the words between differ; a link with the same words everywhere is part
+   of one run and meets nothing. Or the run around an open seed goes on behind a skip: contexts of a seed (AROUND words
+   on both sides) are sorted, and where they branch they meet by the 4 words that follow the skip. So documents that
+   share a line and nothing more make no pairs. Equal contexts are one, with the earliest document as its source, and a
+   pair of contexts that ends with fewer than MIN_WORDS equal words is left. Places in stretches that repeat a few words
+   are their two ends. Each pair found is chained with all its matches near open places and aligned. Contexts of a
+   seed are dealt out in blocks of BLOCK.
 
 The document of the smaller key always keeps its words, so that removal leaves a copy of everything.
 
@@ -63,10 +65,10 @@ RARE = 3  # documents that hold a seed which may stand alone for a passage
 CROWD = 2_000  # holders of a seed among which a row looks for the one before it
 NEAR = int(GAIN / GAP_COST)  # words between the first two matches of a chain, both sides together, at most
 AROUND = MIN_WORDS - SEED + 7  # words beside a lone seed: a run shorter than MIN_WORDS, 3 skipped words, 4 equal ones
-BLOCK = 512
+BLOCK = 20_000  # contexts of a seed on each side of a block
 PAD, STEP = 64, 20
 SPAN_GAP, BIN, NEW_BINS = 48, 8, 2  # words without a match inside a span, words in a bin, bins that a source must add
-BROADCAST_SPANS, BROADCAST_COPIES = 300_000, 1_000_000
+BROADCAST_SPANS, BROADCAST_COPIES, BROADCAST_SEEDS = 300_000, 1_000_000, 1_000_000
 SPANS = "key long, start int, stop int, source long, source_start int, source_stop int, n_equal int, identity double"
 
 
@@ -534,7 +536,7 @@ def find_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
         out = out.join(mine, F.col("key") == F.col("_i")).join(theirs, F.col("source") == F.col("_j"))
         out = out.withColumns({"key": F.col("_key"), "source": F.col("_source")}).drop("_i", "_j", "_key", "_source")
     out = work.save(out.select([x.split()[0] for x in SPANS.split(", ")] + ["version"]), "spans")
-    work.drop("firsts", "copies", "met", "tried", "rest", "again", "more", "texts", "names", "rows")
+    work.drop("firsts", "copies", "met", "tried", "more", "texts", "names", "rows")
     return out
 
 
@@ -559,16 +561,12 @@ def _largest(spans: DataFrame) -> DataFrame:
 def _rest(work: Workspace, plain: DataFrame, met: DataFrame, tried: DataFrame) -> DataFrame:
     """tried and the passages of open seeds with any earlier document."""
     places = work.save(_places(met, tried), "places")
-    found = work.save(_met_again(work, plain, places, None), "rest")
-    if found.isEmpty():
-        work.drop("places")
-        return tried
-    pairs = found.select("key", "source").distinct()
-    keys = pairs.select(F.explode(F.array("key", "source")).alias("key")).distinct()
-    left = _places(met.join(keys, "key", "left_semi"), tried.union(found).join(keys, "key", "left_semi"))
-    again = work.save(_met_again(work, plain, work.save(left, "places"), pairs), "again")
-    work.drop("places")
-    return _largest(tried.withColumn("exact", F.lit(False)).union(found.union(again).withColumn("exact", F.lit(True))))
+    around = work.save(_around(work, plain, places), "around")
+    pairs = work.save(_linked(around).union(_alone(around)), "pairs")
+    chains = work.save(_shared(around, pairs).mapInArrow(_all_chains, CHAINS), "more")
+    work.drop("places", "lists", "around", "pairs")
+    found = _passages(work, plain, chains, True)
+    return _largest(tried.withColumn("exact", F.lit(False)).union(found.withColumn("exact", F.lit(True))))
 
 
 def _places(met: DataFrame, spans: DataFrame) -> DataFrame:
@@ -579,65 +577,51 @@ def _places(met: DataFrame, spans: DataFrame) -> DataFrame:
     return both.select("key", "seed", "pos", "c", ((F.col("c") > RARE) & (F.col("pos") + SEED > reached)).alias("open")).where("c > 0").drop("c")
 
 
-LINKS = "link long, key long, pos int, gap int, mine boolean"
+AROUNDS = "kind int, id long, key long, pos int, gap int, mine boolean, between long, words binary"
+PLACE, LINK, CONTEXT = range(3)
 
 
-def _linked(places: DataFrame, every: bool) -> DataFrame:
-    """LINKS of the seeds that are open somewhere. mine: of an open seed of this document, its first open place (every: all)."""
-    asked = places.where("open").select("seed").distinct().withColumn("asked", F.lit(True))
-    marked = places.join(asked, "seed", "left").select("key", "pos", "seed", "open", F.coalesce("asked", F.lit(False)).alias("asked"))
-
-    def done(key, pos, seed, is_open, asked) -> pa.RecordBatch:
-        pairs, k = [], 1
-        while k < len(key):
-            near = (key[k:] == key[:-k]) & (pos[k:] - pos[:-k] < NEAR)
-            if not near.any():
-                break
-            at = np.flatnonzero(near & (asked[k:] | asked[:-k]))
-            pairs.append((at, at + k))
-            k += 1
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
-        link = mix(seed[i].view(np.uint64) + mix(seed[j].view(np.uint64))).view(np.int64)
-        gap = pos[j] - pos[i]
-        opened = is_open[i] | is_open[j]
-
-        def firsts(which):
-            which = which[np.lexsort((pos[i[which]], gap[which], link[which], key[i[which]]))]
-            a, b = which[1:], which[:-1]
-            return which[np.r_[True, (gap[a] != gap[b]) | (link[a] != link[b]) | (key[i[a]] != key[i[b]])]] if len(which) else which
-
-        theirs, mine = firsts(np.arange(len(i))), np.flatnonzero(opened)
-        at = np.r_[theirs, mine if every else firsts(mine)]
-        columns = [link[at], key[i[at]], pos[i[at]], gap[at], np.arange(len(at)) >= len(theirs)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in LINKS.split(", ")])
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            other = np.flatnonzero(now[0] != now[0][-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            held = [x[cut:] for x in now]
-            if cut:
-                yield done(*[x[:cut] for x in now])
-        if held is not None:
-            yield done(*held)
-
-    return marked.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(run, LINKS)
+def _ends(words: np.ndarray, seed: np.ndarray, pos: np.ndarray, *flags: np.ndarray) -> list[np.ndarray]:
+    """(stretch, seed, pos, flags) of places, by pos. A place in a stretch that repeats fewer than SEED words becomes the seed's first and last one there; stretch: its start, else -1.
 
+    They stand for all: texts that share a part of such a stretch are equal from one of its ends on, or have less in common than that part.
+    """
+    first, last, stretch = pos.copy(), pos.copy(), np.full(len(pos), -1)
+    for step in range(1, SEED):
+        at = np.flatnonzero(stretch < 0)
+        for n in range(SEED - step):
+            at = at[words[pos[at] + n] == words[pos[at] + n + step]]
+        if not len(at):
+            continue
+        i = np.arange(len(words))
+        ends = np.r_[words[:-step] != words[step:], np.ones(step, bool)]
+        start = np.r_[0, np.maximum.accumulate(np.where(ends, i + 1, 0))][pos[at]]
+        stop = np.minimum.accumulate(np.where(ends, i, len(words))[::-1])[::-1][pos[at]] + step
+        if step > SEED // 2:  # the seed alone doesn't say that it is repeated
+            more = stop - start >= SEED + step
+            at, start, stop = at[more], start[more], stop[more]
+        first[at], last[at], stretch[at] = pos[at] - (pos[at] - start) // step * step, pos[at] + (stop - SEED - pos[at]) // step * step, start
+    at, which = np.unique(np.r_[first, last], return_index=True)
+    which %= len(pos)
+    of = np.searchsorted(at, np.r_[first, last])
+    out = [stretch[which], seed[which], at]
+    for flag in flags:
+        held = np.zeros(len(at), bool)
+        held[of[np.r_[flag, flag]]] = True
+        out.append(held)
+    return out
 
-CONTEXTS = "seed long, key long, pos int, mine boolean, words binary"
 
+def _around(work: Workspace, plain: DataFrame, places: DataFrame) -> DataFrame:
+    """AROUNDS of the documents that hold an open seed or share one: places, links and the words around seeds that are open somewhere.
 
-def _contexts(plain: DataFrame, places: DataFrame, every: bool) -> DataFrame:
-    """CONTEXTS, the words around each seed that is open somewhere; equal ones of a document once. mine: of its open places (every: all)."""
-    asked = places.where("open").select("seed").distinct()
-    lists = places.join(asked, "seed", "left_semi").groupBy("key").agg(F.collect_list(F.struct("seed", "pos", "open")).alias("seeds"))
+    mine: open in this document. Equal links and contexts of a document stand once.
+    """
+    asked = places.where("open").select("seed").distinct().withColumn("asked", F.lit(True))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_SEEDS else asked
+    marked = places.join(asked, "seed", "left").select("key", F.struct("seed", "pos", "open", F.coalesce("asked", F.lit(False)).alias("asked")).alias("x"))
+    lists = marked.groupBy("key").agg(F.collect_list("x").alias("seeds")).where(F.exists("seeds", lambda x: x["asked"]))
+    lists = work.save(lists, "lists")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -645,98 +629,196 @@ def _contexts(plain: DataFrame, places: DataFrame, every: bool) -> DataFrame:
         for batch in batches:
             texts, out = fill(batch.column(1)), []
             for k, (key, seeds) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-                seed, pos, is_open = (x.to_numpy(zero_copy_only=False) for x in seeds.values.flatten())
-                words = (word_hashes(*flat(texts.slice(k, 1)))[0] >> np.uint64(32)).astype(np.uint32)
-                padded = np.r_[np.zeros(AROUND, np.uint32), words, np.zeros(AROUND + SEED, np.uint32)]
-                around = np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + SEED)[pos]
-                kinds = np.column_stack([np.ascontiguousarray(seed).view(np.uint32).reshape(-1, 2), around])
-                kinds = np.ascontiguousarray(kinds).view(np.dtype((np.void, kinds.shape[1] * 4))).ravel()
-                first = lambda at: at[np.unique(kinds[at], return_index=True)[1]]
-                theirs, mine = first(np.arange(len(pos))), np.flatnonzero(is_open)
-                at = np.r_[theirs, mine if every else first(mine)]
-                raw = np.ascontiguousarray(around[at]).tobytes()
-                out.append((seed[at], np.full(len(at), key), pos[at], np.arange(len(at)) >= len(theirs), [raw[i : i + size] for i in range(0, len(raw), size)]))
+                columns = [x.to_numpy(zero_copy_only=False) for x in seeds.values.flatten()]
+                words = word_hashes(*flat(texts.slice(k, 1)))[0]
+                sums = np.zeros(len(words) + 1, np.uint64)
+                np.cumsum(words * powers(len(words)), out=sums[1:])
+                stretch, seed, pos, is_open, asked = _ends(words, *columns)
+                near = np.zeros(len(words) + 1, np.int64)
+                np.add.at(near, np.maximum(pos[is_open] - NEAR, 0), 1)
+                np.add.at(near, np.minimum(pos[is_open] + NEAR, len(words)), -1)
+                more = ~np.isin(columns[1], pos)  # inside of stretches: places of passages, not of their sources
+                at, kind = np.r_[pos, columns[1][more]], np.r_[seed, columns[0][more]]
+                n = len(at)
+                out.append((np.full(n, PLACE), kind, key, at, (np.arange(n) < len(pos)).astype(np.int64), np.cumsum(near)[at] > 0, np.zeros(n, np.int64), [None] * n))
+
+                n = len(pos)
+                pairs, step = [np.zeros((2, 0), np.int64)], 1
+                while step < n and (close := pos[step:] - pos[:-step] < NEAR).any():
+                    at = np.flatnonzero(close & (asked[step:] | asked[:-step]))
+                    pairs.append(np.array([at, at + step]))
+                    step += 1
+                i, j = np.concatenate(pairs, axis=1)
+                short = (stretch[i] >= 0) & (stretch[i] == stretch[j]) & (pos[j] - pos[i] + SEED < MIN_WORDS)  # no passage by itself
+                i, j = i[~short], j[~short]
+                between = mix((sums[pos[j] + SEED] - sums[pos[i]]) * powers(len(words), True)[pos[i]]).view(np.int64)
+                link = mix(seed[i].view(np.uint64) + mix(seed[j].view(np.uint64))).view(np.int64)
+                mine = is_open[i] | is_open[j]
+                order = np.lexsort((~mine, between, link))
+                at = order[np.r_[True, (link[order[1:]] != link[order[:-1]]) | (between[order[1:]] != between[order[:-1]])]] if len(order) else order
+                n = len(at)
+                out.append((np.full(n, LINK), link[at], key, pos[i[at]], pos[j[at]] - pos[i[at]], mine[at], between[at], [None] * n))
+
+                at = np.flatnonzero(asked)
+                small = (words >> np.uint64(32)).astype(np.uint32)
+                small[small == 0] = 1  # 0 is what lies outside
+                padded = np.r_[np.zeros(AROUND, np.uint32), small, np.zeros(AROUND + SEED, np.uint32)]
+                around = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + SEED)[pos[at]])
+                kinds = around.view(np.dtype((np.void, size))).ravel()  # it holds the seed
+                order = np.lexsort((~is_open[at], np.unique(kinds, return_inverse=True)[1]))
+                first = order[np.r_[True, kinds[order[1:]] != kinds[order[:-1]]]] if len(order) else order
+                at, n = at[first], len(first)
+                raw = np.ascontiguousarray(around[first]).tobytes()
+                out.append((np.full(n, CONTEXT), seed[at], key, pos[at], np.zeros(n, np.int64), is_open[at], np.zeros(n, np.int64), [raw[x : x + size] for x in range(0, len(raw), size)]))
             if out:
-                columns = [pa.array(np.concatenate(x)) for x in list(zip(*out))[:4]] + [pa.array(itertools.chain.from_iterable(x[4] for x in out), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CONTEXTS.split(", ")])
-
-    return texts_of(plain, lists.select("key")).join(lists, "key").select("key", "text", "seeds").mapInArrow(run, CONTEXTS)
-
-
-def goes_on(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For the words around a seed (rows of a, of b): whether their equal run has MIN_WORDS or is followed, behind a skip, by 4 equal words."""
-    a = np.where(a == 0, np.uint32(1), a)  # what lies outside a text equals nothing
-    differs = np.concatenate([a[:, None, AROUND:] != b[None, :, AROUND:], np.ones((len(a), len(b), 1), bool)], axis=2)
-    right = differs.argmax(2)
-    differs = np.concatenate([a[:, None, AROUND - 1 :: -1] != b[None, :, AROUND - 1 :: -1], np.ones((len(a), len(b), 1), bool)], axis=2)
-    left = differs.argmax(2)
-    out = left + right >= MIN_WORDS
-    i, j = np.nonzero(~out & (right >= SEED))
-    of = lambda x: sum(x[:, n : x.shape[1] - 3 + n].astype(np.uint64) * powers(4)[n] for n in range(4))
-    ga, gb = of(a), of(b)
-    stop, start = AROUND + right[i, j], AROUND - 4 - left[i, j]
-    more = np.zeros(len(i), bool)
-    for x in range(4):
-        for y in range(4):
-            if x or y:
-                more |= (ga[i, stop + x] == gb[j, stop + y]) | (ga[i, start - x] == gb[j, start - y])
-    out[i, j] = more
-    return out
+                columns = [pa.array(np.concatenate([x[c] if c != 2 else np.full(len(x[0]), x[2], np.int64) for x in out])) for c in range(7)]
+                columns.append(pa.array(list(itertools.chain.from_iterable(x[7] for x in out)), pa.binary()))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds)], [x.split()[0] for x in AROUNDS.split(", ")])
+
+    return texts_of(plain, lists.select("key")).join(lists, "key").select("key", "text", "seeds").mapInArrow(run, AROUNDS)
+
+
+PAIRS = "key long, source long, d int, r int"
+
+
+def _linked(around: DataFrame) -> DataFrame:
+    """PAIRS (d, r: null) of documents and earlier ones with a link of theirs, of which a seed is open, and other words between."""
+    links = around.where(F.col("kind") == LINK).select(F.col("id").alias("link"), "key", "gap", "mine", "between")
+    several = links.groupBy("link").agg(F.min("between").alias("a"), F.max("between").alias("b"), F.bool_or("mine").alias("mine")).where("mine and a <> b").select("link")
+    links = links.join(several, "link", "left_semi")
+    theirs = links.select("link", F.col("key").alias("source"), F.col("gap").alias("r_gap"), F.col("between").alias("others"))
+    both = links.where("mine").join(theirs, "link").where((F.col("source") < F.col("key")) & (F.col("between") != F.col("others")) & (F.col("gap") + F.col("r_gap") <= NEAR))
+    no = F.lit(None).cast("int")
+    return both.select("key", "source").distinct().select("key", "source", no.alias("d"), no.alias("r"))
+
+
+def going_on(seed: np.ndarray, words: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): mine[i], of one seed with j, and the equal run of the words around both goes on behind a skip by 4 equal words.
+
+    Rows are sorted by their words on one side of the seed, so those of equal first words are neighbours. Where they
+    branch, rows meet by the 4 words that come 0 to 3 words behind the branch, so rows that share a run and nothing more
+    are never compared.
+    """
+    found = []
+    for side, least in ((words[:, AROUND:], SEED), (words[:, AROUND - 1 :: -1], 0)):
+        side = np.ascontiguousarray(side)
+        width = side.shape[1]
+        order = np.lexsort((np.unique(side.view(np.dtype((np.void, 4 * width))).ravel(), return_inverse=True)[1], seed))
+        s, m = side[order], mine[order]
+        differs = np.concatenate([s[1:] != s[:-1], np.ones((max(0, len(s) - 1), 1), bool)], axis=1)
+        common = np.r_[-1, np.where(seed[order[1:]] == seed[order[:-1]], differs.argmax(1), -1)]
+        gram = mix(sum(s[:, n : width - 3 + n].astype(np.uint64) * powers(5)[n + 1] for n in range(4)))
+        for depth in range(least, width - 3):
+            if not (common == depth).any():
+                continue
+            node = np.cumsum(common < depth) - 1
+            branches = np.zeros(node[-1] + 1, bool)
+            branches[node[common == depth]] = True
+            has = np.zeros(len(branches), bool)
+            has[node[m]] = True
+            rows = np.flatnonzero((branches & has)[node] & (s[:, depth] != 0))
+            skips = [(rows[ok], gram[rows[ok], depth + x]) for x in range(4) if depth + x < width - 3 and (ok := (s[rows, depth + x : depth + x + 4] != 0).all(1)) is not None]
+            row, key = (np.concatenate(x) for x in zip(*skips))
+            if not len(row):
+                continue
+            key = mix(key + mix(node[row].astype(np.uint64)))
+            by = np.lexsort((s[row, depth], key))
+            row, key, next_word = row[by], key[by], s[row[by], depth]
+            group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            stop = np.r_[start[1:], len(key)]
+            asks = np.flatnonzero(m[row] & (next_word[start] != next_word[stop - 1])[group])
+            n = (stop - start)[group[asks]]
+            a = np.repeat(asks, n)
+            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[asks]], n)
+            good = next_word[a] != next_word[b]
+            found.append((order[row[a[good]]], order[row[b[good]]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+    both = np.unique(i * len(seed) + j)
+    return both // len(seed), both % len(seed)
+
+
+def may_pass(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the words around a seed, on both sides, have MIN_WORDS equal ones behind skips, or go on to where they are cut off."""
+    equal = 0
+    for x, y in ((a[AROUND:], b[AROUND:]), (a[AROUND - 1 :: -1], b[AROUND - 1 :: -1])):
+        i, j, n = _extend(*(z[: (z == 0).argmax()] if (z == 0).any() else z for z in (x, y)))
+        if max(i, j) > len(x) - 8:
+            return True
+        equal += n
+    return equal >= MIN_WORDS
 
 
 @lean
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (seed, i, j, mine, key, pos, words), sorted, mine first, in; (key, source, d, r) of the pairs that may make a passage out."""
-    group, own = None, []
+def _met_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (seed, i, j, side, key, pos, words), sorted, in; PAIRS that may make a passage out. side: 1 mine, 2 theirs, 3 both."""
+    held = None
 
-    def done(theirs) -> pa.RecordBatch:
-        a, b = ([x for rows in side for x in rows] for side in (own, theirs))
-        words = [np.frombuffer(b"".join(x[2] for x in side), np.uint32).reshape(len(side), -1) for side in (a, b)]
-        (ka, pa_), (kb, pb) = ((np.array([x[0] for x in side]), np.array([x[1] for x in side], np.int32)) for side in (a, b))
-        i, j = np.nonzero(goes_on(*words) & (kb[None, :] < ka[:, None]))
-        return pa.RecordBatch.from_arrays([pa.array(ka[i]), pa.array(kb[j]), pa.array(pa_[i]), pa.array(pb[j])], ["key", "source", "d", "r"])
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        seed, i, j, side, key, pos = (rows.column(c).to_numpy() for c in range(6))
+        block = np.cumsum(np.r_[True, (seed[1:] != seed[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        words = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint32).reshape(len(seed), -1)
+        kinds = np.ascontiguousarray(np.column_stack([block.astype(np.uint32), words]))
+        _, first, kind = np.unique(kinds.view(np.dtype((np.void, 4 * kinds.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        asks = np.zeros(len(first), bool)
+        asks[kind[side & 1 > 0]] = True
+        own, other = going_on(block[first], words[first], asks)
+        good = np.array([may_pass(words[first[x]], words[first[y]]) for x, y in zip(own, other)], bool)
+        own, other = own[good], other[good]
+        # Documents with equal words around a seed are one source, the earliest of them.
+        least = np.full(len(first), -1)
+        theirs = np.flatnonzero(side & 2 > 0)
+        theirs = theirs[np.lexsort((key[theirs], kind[theirs]))][::-1]
+        least[kind[theirs]] = theirs
+        mine = np.flatnonzero(side & 1 > 0)
+        mine = mine[np.argsort(kind[mine], kind="stable")]
+        start, stop = (np.searchsorted(kind[mine], own, side=x) for x in ("left", "right"))
+        n = stop - start
+        a = mine[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)]
+        b = np.repeat(least[other], n)
+        good = (b >= 0) & (key[b] < key[a])
+        a, b = a[good], b[good]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[a], key[b], pos[a], pos[b])], ["key", "source", "d", "r"])
 
     for batch in batches:
-        rows = zip(*[c.to_pylist() for c in batch.columns])
-        for (now, mine), part in itertools.groupby(rows, key=lambda x: (x[:3], x[3])):
-            part = [x[4:] for x in part]
-            if now != group:
-                group, own = now, []
-            if mine:
-                own.append(part)
-            elif own:
-                yield done([part])
-
-
-def _lone(work: Workspace, plain: DataFrame, places: DataFrame, every: bool) -> DataFrame:
-    """(key, source, d, r) of single matches of open seeds with all earlier documents that may make a passage."""
-    held = work.save(_contexts(plain, places, every), "contexts")
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        names = [held.column(c).to_numpy() for c in range(3)]
+        other = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in names]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield done(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None:
+        yield done(held)
+
+
+def _alone(around: DataFrame) -> DataFrame:
+    """PAIRS of single matches of open seeds with all earlier documents that may make a passage."""
+    rows = around.where(F.col("kind") == CONTEXT).select(F.col("id").alias("seed"), "key", "pos", "mine", "words")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    sizes = held.groupBy("seed").agg(F.count_if("mine").alias("a"), F.count_if(~F.col("mine")).alias("b")).where("a > 0").select("seed", parts("a").alias("a"), parts("b").alias("b"))
-    rows = held.join(sizes, "seed")
-    own, all_of = F.pmod(F.xxhash64("key", "pos"), F.when(F.col("mine"), F.col("a")).otherwise(F.col("b"))).cast("int"), F.when(F.col("mine"), F.col("b")).otherwise(F.col("a"))
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), all_of - 1)))
-    i, j = F.when(F.col("mine"), F.col("own")).otherwise(F.col("other")), F.when(F.col("mine"), F.col("other")).otherwise(F.col("own"))
-    dealt = dealt.select("seed", i.alias("i"), j.alias("j"), "mine", "key", "pos", "words")
-    return dealt.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j", F.desc("mine")).mapInArrow(_alone, "key long, source long, d int, r int")
-
-
-def _met_again(work: Workspace, plain: DataFrame, places: DataFrame, pairs: DataFrame | None) -> DataFrame:
-    """SPANS of open seeds with all earlier documents that share one; pairs: with those alone, at all open places."""
-    links = work.save(_linked(places, pairs is not None), "links")
-    mine = links.where("mine").drop("mine")
-    theirs = links.where("not mine").select("link", F.col("key").alias("source"), F.col("pos").alias("r"), F.col("gap").alias("r_gap"))
-    both = mine.join(theirs, "link").where((F.col("source") < F.col("key")) & (F.col("gap") + F.col("r_gap") <= NEAR))
-    lone = _lone(work, plain, places, pairs is not None)
-    if pairs is not None:
-        both, lone = (x.join(pairs, ["key", "source"], "left_semi") for x in (both, lone))
-    ends = F.array(F.struct(F.col("pos").alias("d"), "r"), F.struct((F.col("pos") + F.col("gap")).alias("d"), (F.col("r") + F.col("r_gap")).alias("r")))
-    matches = both.select("key", "source", F.explode(ends).alias("x")).select("key", "source", "x.d", "x.r", F.lit(False).alias("rare"))
-    matches = matches.union(lone.select("key", "source", "d", "r", F.lit(True)))
-    ordered = matches.repartition("key").sortWithinPartitions("key", "source", "d", F.desc("r"), F.desc("rare"))
-    chains = work.save(ordered.mapInArrow(_all_chains, CHAINS), "more")
-    work.drop("links", "contexts")
-    return _passages(work, plain, chains, True)
+    sizes = rows.groupBy("seed").agg(F.count_if("mine").alias("a"), F.count(F.lit(1)).alias("b")).select("seed", parts("a").alias("a"), parts("b").alias("b")).where("a > 0")
+    own = lambda n: F.pmod(F.xxhash64("key", "pos"), F.col(n)).cast("int")
+    blocks = F.array_union(F.when(F.col("mine"), F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda x: F.struct(own("a").alias("i"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>")), F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda x: F.struct(x.alias("i"), own("b").alias("j"))))
+    dealt = rows.join(sizes, "seed").withColumn("x", F.explode(blocks))
+    as_mine, as_theirs = F.col("mine") & (F.col("x.i") == own("a")), F.col("x.j") == own("b")
+    dealt = dealt.select("seed", "x.i", "x.j", (as_mine.cast("int") + 2 * as_theirs.cast("int")).alias("side"), "key", "pos", "words")
+    return dealt.repartition("seed", "i", "j").sortWithinPartitions("seed", "i", "j").mapInArrow(_met_around, PAIRS)
+
+
+def _shared(around: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All matches of PAIRS near open places, those of _alone as rare, sorted for _all_chains."""
+    places = around.where(F.col("kind") == PLACE).select("key", F.col("id").alias("seed"), "pos", "mine", "gap")
+    asked = pairs.select("key", "source").distinct()
+    own = asked.join(places.where("mine"), "key").select("key", "source", "seed", F.col("pos").alias("d"))
+    theirs = places.where("gap = 1").select(F.col("key").alias("source"), "seed", F.col("pos").alias("r"))
+    matches = own.join(theirs, ["source", "seed"]).select("key", "source", "d", "r", F.lit(False).alias("rare"))
+    matches = matches.union(pairs.where("d is not null").select("key", "source", "d", "r", F.lit(True)))
+    return matches.repartition("key").sortWithinPartitions("key", "source", "d", F.desc("r"), F.desc("rare"))
 
 
 def _exact(work: Workspace, plain: DataFrame, anchors: DataFrame) -> DataFrame:
