@@ -488,7 +488,7 @@ def _copies(plain: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     firsts = work.save(signed.groupBy("digest").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     copies = work.save(signed.join(firsts, "digest").where("id <> source").select("id", "source"), "copies")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
-    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")
+    n = F.when(F.col("source").isNotNull(), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")  # source keeps the filter on it behind the join
     sized = plain.join(few, "id").select("id", "source", n).where(F.col("n") >= MIN_WORDS)
     zero = F.lit(0)
     spans = sized.select(F.col("id").alias("key"), zero.alias("start"), F.col("n").alias("stop"), "source", zero.alias("source_start"), F.col("n").alias("source_stop"), F.col("n").alias("n_equal"), F.lit(1.0).alias("identity"))
