@@ -75,14 +75,26 @@ SPANS = "key long, start int, stop int, source long, source_start int, source_st
 SEEDS = "key long, seed long, pos int, first boolean, digest long, n int, off int"  # n: windows of an anchor's segment, 0 for a seed
 
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    return np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])][: len(columns[0])]
+
+
 def _first_of(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each hash is the first of its kind in its document."""
-    _, first = np.unique(np.rec.fromarrays([doc, hashes]), return_index=True)
+    """Whether each hash is the first of its kind in its document; doc ascends."""
+    order = np.argsort(hashes, kind="stable")
     out = np.zeros(len(doc), bool)
-    out[first] = True
+    out[order] = _new(hashes[order], doc[order])
     return out
 
 
+def _listed(column: pa.Array, start: int, stop: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(row of each entry, fields) of the lists of structs in rows start to stop."""
+    offsets = column.offsets.to_numpy()[start : stop + 1]
+    fields = [x.slice(offsets[0], offsets[-1] - offsets[0]) for x in column.values.flatten()]
+    return np.repeat(np.arange(stop - start), np.diff(offsets)), fields
+
+
 @lean
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SEEDS.split(", ")]
@@ -127,19 +139,21 @@ WINDOWS = "window long, key long, pos int, seed long, digest long, n int, i int,
 @lean
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, text, segments (seed, digest, n, lo, times) in; a row for each window of each segment out."""
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
     for batch in batches:
         texts = fill(batch.column(1))
-        for k, (key, segments) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-            raw, offsets = flat(texts.slice(k, 1))
-            hashes = grams(word_hashes(raw, offsets)[0], MIN_WORDS).view(np.int64)
-            fields = dict(zip(("seed", "digest", "n", "lo", "times"), segments.values.flatten()))
-            n = fields["n"].to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = fields["lo"].to_numpy()[row] + i
-            kept = {c: fields[c].take(pa.array(row)) for c in ("seed", "digest", "n", "times")}
-            columns = [pa.array(hashes[at]), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32)), kept["seed"], kept["digest"], kept["n"], pa.array(i.astype(np.int32)), kept["times"]]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in WINDOWS.split(", ")])
+        for start, stop in slices(texts):
+            hashes, _, _, firsts = word_hashes(*flat(texts.slice(start, stop - start)))
+            hashes = grams(hashes, MIN_WORDS).view(np.int64)
+            text, (seed, digest, n, lo, times) = _listed(batch.column(2), start, stop)
+            size = n.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = lo.to_numpy()[row] + i
+            seed, digest, n, times = (x.take(pa.array(row)) for x in (seed, digest, n, times))
+            key = batch.column(0).slice(start, stop - start).take(pa.array(text[row]))
+            columns = [pa.array(hashes[firsts[text[row]] + at]), key, pa.array(at.astype(np.int32)), seed, digest, n, pa.array(i.astype(np.int32)), times]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 INTERVALS = "seed long, digest long, n int, i int, size int, source long, r int"
@@ -149,18 +163,14 @@ INTERVALS = "seed long, digest long, n int, i int, size int, source long, r int"
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A segment and the (i, source, r) of its windows in; stretches of windows that lie on one diagonal of one source out."""
     for batch in batches:
-        out = []
-        for seed, digest, n, held in zip(*[c.to_pylist() for c in batch.columns]):
-            last = None
-            for x in sorted(held, key=lambda x: x["i"]):
-                if last and x["i"] == last[3] + last[4] and x["source"] == last[5] and x["r"] - last[6] == last[4]:
-                    last[4] += 1
-                    continue
-                last = [seed, digest, n, x["i"], 1, x["source"], x["r"]]
-                out.append(last)
-        columns = list(zip(*out)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in INTERVALS.split(", ")])
+        row, fields = _listed(batch.column(3), 0, batch.num_rows)
+        i, source, r = (x.to_numpy() for x in fields)
+        order = np.lexsort((i, row))
+        row, i, source, r = (x[order] for x in (row, i, source, r))
+        first = np.flatnonzero(_new(row, source, i - np.arange(len(i)), r - i))
+        kept = [c.take(pa.array(row[first])) for c in batch.columns[:3]]
+        columns = [*kept, *[pa.array(x) for x in (i[first], np.diff(np.r_[first, len(i)]).astype(np.int32), source[first], r[first])]]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INTERVALS.split(", ")])
 
 
 CHAINS = "key long, source long, d array<int>, r array<int>"
@@ -231,6 +241,8 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chain(d: np.ndarray, r: np.ndarray, rare: np.ndarray) -> list[np.ndarray]:
     """Chains of matches (places d in the document, r in the source; sorted by d, then r descending), best first."""
     n = len(d)
+    if n == 1 or ((d[1:] > d[:-1]) & (r[1:] > r[:-1]) & (d[1:] - d[:-1] + r[1:] - r[:-1] < NEAR)).all():  # each adds to the one before
+        return [np.arange(n)] if n >= MIN_SEEDS or rare[-1] else []
     ranks = np.searchsorted(np.unique(r), r) + 1
     size = int(ranks.max()) + 1
     tree_value, tree_at = [-1e18] * size, [-1] * size
@@ -336,25 +348,23 @@ def _chained(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Reco
         yield done(*held)
 
 
-class _Words:
-    """The word hashes of texts, 32 bits each; the last text is kept, as its rows come one after the other."""
-
-    def __init__(self):
-        self.text, self.words = None, None
-
-    def of(self, text: str) -> np.ndarray:
-        if text != self.text:
-            raw, offsets = flat(pa.array([text]))
-            self.text, self.words = text, (word_hashes(raw, offsets)[0] >> np.uint64(32)).astype(np.uint32)
-        return self.words
+def _words(keys: pa.Array, column: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each row's text, 32 bits each; rows of one key that follow each other share them."""
+    keys = keys.to_numpy()
+    fresh = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    texts, found = fill(column).filter(pa.array(fresh)), []
+    for start, stop in slices(texts):
+        hashes, _, _, firsts = word_hashes(*flat(texts.slice(start, stop - start)))
+        small = (hashes >> np.uint64(32)).astype(np.uint32)
+        found += [small[a:b] for a, b in itertools.pairwise(firsts.tolist())]
+    return [found[k] for k in (np.cumsum(fresh) - 1).tolist()]
 
 
 @lean
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
     for batch in batches:
-        texts = fill(batch.column(3)).to_pylist()
-        got = [words.of(t)[max(0, a - PAD) : b + PAD].tobytes() for t, a, b in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        words = _words(batch.column(0), batch.column(3))
+        got = [w[max(0, a - PAD) : b + PAD].tobytes() for w, a, b in zip(words, batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(got, pa.binary())], ["source", "r_first", "r_last", "words"])
 
 
@@ -371,16 +381,22 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+_SKIPS = [(x, s - x) for s in range(1, 7) for x in range(min(s, 3) + 1) if s - x <= 3]
+
+
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """(words of a, of b, equal ones) taken from the front: equal runs, with up to 3 words skipped before 4 equal ones."""
     i = j = equal = 0
+    raw, other = a.tobytes(), b.tobytes()
+    w = a.itemsize
     while True:
-        n = min(len(a) - i, len(b) - j)
-        differs = np.flatnonzero(a[i : i + n] != b[j : j + n])
-        run = int(differs[0]) if len(differs) else n
+        run = _run(a[i:], b[j:])
         i, j, equal = i + run, j + run, equal + run
-        skip = next(((x, y) for s in range(1, 7) for x in range(min(s, 3) + 1) for y in [s - x] if y <= 3 and len(a) - i - x >= 4 and len(b) - j - y >= 4 and (a[i + x : i + x + 4] == b[j + y : j + y + 4]).all()), None)
-        if not len(differs) or skip is None:
+        n, m = len(a) - i, len(b) - j
+        if not n or not m:
+            return i, j, equal
+        skip = next(((x, y) for x, y in _SKIPS if n - x >= 4 and m - y >= 4 and raw[(i + x) * w : (i + x + 4) * w] == other[(j + y) * w : (j + y + 4) * w]), None)
+        if skip is None:
             return i, j, equal
         i, j = i + skip[0], j + skip[1]
 
@@ -388,8 +404,11 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 def _run(a: np.ndarray, b: np.ndarray) -> int:
     """Number of equal words at the front."""
     n = min(len(a), len(b))
-    differs = np.flatnonzero(a[:n] != b[:n])
-    return int(differs[0]) if len(differs) else n
+    if not n or a[0] != b[0]:
+        return 0
+    differs = a[:n] != b[:n]
+    first = int(differs.argmax())
+    return first if differs[first] else n
 
 
 def _blocks(d: list[int], r: list[int], own: np.ndarray, theirs: np.ndarray) -> list[list[int]]:
@@ -463,18 +482,18 @@ def _aligned_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _judged(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
-    words, last, found = _Words(), None, []
+    last, found = None, []
     for batch in batches:
         out = []
-        names = ("key", "source", "d", "r", "words", "text")
-        for key, source, d, r, theirs, text in zip(*[batch.column(n).to_pylist() for n in names]):
+        names = ("key", "source", "d", "r", "words")
+        for key, source, d, r, theirs, own in zip(*[batch.column(n).to_pylist() for n in names], _words(batch.column("key"), batch.column("text"))):
             if once:
                 if key != last:
                     last, found = key, []
                 if any(a <= d[0] and d[-1] + SEED <= b for a, b in found):
                     continue
             before = len(out)
-            for a, b, c, e, equal in align(d, r, words.of(text or ""), np.frombuffer(theirs, np.uint32), max(0, r[0] - PAD)):
+            for a, b, c, e, equal in align(d, r, own, np.frombuffer(theirs, np.uint32), max(0, r[0] - PAD)):
                 out.append((key, a, b, source, c, e, equal, equal / max(1, b - a, e - c)))
             found += [(x[1], x[2]) for x in out[before:] if once and not any(a <= x[1] and x[2] <= b for a, b in found)]
         columns = list(zip(*out)) or [[]] * 8
@@ -484,9 +503,10 @@ def _judged(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.Record
 
 def _copies(plain: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(documents less all but the first of equal texts, SPANS of the others)."""
-    signed = plain.select("id", F.unhex(F.md5("text")).alias("digest"))
+    signed = work.save(plain.select("id", F.unhex(F.md5("text")).alias("digest")), "signed")
     firsts = work.save(signed.groupBy("digest").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     copies = work.save(signed.join(firsts, "digest").where("id <> source").select("id", "source"), "copies")
+    work.drop("signed")
     few = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
     n = F.when(F.col("source").isNotNull(), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")  # source keeps the filter on it behind the join
     sized = plain.join(few, "id").select("id", "source", n).where(F.col("n") >= MIN_WORDS)
@@ -504,7 +524,7 @@ def find_passages(docs: DataFrame, key: str, text: str) -> DataFrame:
     seeds = work.save(plain.mapInArrow(_seeds, SEEDS), "seeds")
     firsts = seeds.where("first").groupBy("seed").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("source"), F.min_by("pos", "key").alias("r"))
     sources = work.save(firsts.where("c > 1").withColumn("c", F.col("c").cast("int")), "sources")  # a table: a join to an aggregate can't be split where skewed
-    met = work.save(seeds.join(sources, "seed"), "met")
+    met = work.save(seeds.join(sources.hint("shuffle_hash"), "seed"), "met")  # a row for each seed: no need to sort the others
     work.drop("seeds", "sources")
     exact = _exact(work, plain, met.where("n > 0"))
     two = lambda at, more: F.explode(F.array(*[F.struct((F.col(at[0]) + m).alias("d"), (F.col(at[1]) + m).alias("r")) for m in more]))
@@ -581,8 +601,8 @@ AROUNDS = "kind int, id long, key long, pos int, gap int, mine boolean, between
 PLACE, LINK, CONTEXT = range(3)
 
 
-def _ends(words: np.ndarray, seed: np.ndarray, pos: np.ndarray, *flags: np.ndarray) -> list[np.ndarray]:
-    """(stretch, seed, pos, flags) of places, by pos. A place in a stretch that repeats fewer than SEED words becomes the seed's first and last one there; stretch: its start, else -1.
+def _ends(words: np.ndarray, firsts: np.ndarray, seed: np.ndarray, pos: np.ndarray, *flags: np.ndarray) -> list[np.ndarray]:
+    """(stretch, seed, pos, flags) of places, by pos, in texts that begin at firsts. A place in a stretch that repeats fewer than SEED words becomes the seed's first and last one there; stretch: its start, else -1.
 
     They stand for all: texts that share a part of such a stretch are equal from one of its ends on, or have less in common than that part.
     """
@@ -593,10 +613,12 @@ def _ends(words: np.ndarray, seed: np.ndarray, pos: np.ndarray, *flags: np.ndarr
             at = at[words[pos[at] + n] == words[pos[at] + n + step]]
         if not len(at):
             continue
-        i = np.arange(len(words))
         ends = np.r_[words[:-step] != words[step:], np.ones(step, bool)]
-        start = np.r_[0, np.maximum.accumulate(np.where(ends, i + 1, 0))][pos[at]]
-        stop = np.minimum.accumulate(np.where(ends, i, len(words))[::-1])[::-1][pos[at]] + step
+        last_words = firsts[1:, None] - np.arange(1, step + 1)
+        ends[last_words[last_words >= 0]] = True
+        ends = np.flatnonzero(ends)
+        behind = np.searchsorted(ends, pos[at])
+        start, stop = np.where(behind > 0, ends[behind - 1] + 1, 0), ends[behind] + step
         if step > SEED // 2:  # the seed alone doesn't say that it is repeated
             more = stop - start >= SEED + step
             at, start, stop = at[more], start[more], stop[more]
@@ -612,6 +634,75 @@ def _ends(words: np.ndarray, seed: np.ndarray, pos: np.ndarray, *flags: np.ndarr
     return out
 
 
+@lean
+def _arounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text, seeds (seed, pos, open, asked) in, AROUNDS out. Places are counted over all texts of a slice."""
+    width = 2 * AROUND + SEED
+    fields = [x.split()[0] for x in AROUNDS.split(", ")]
+    for batch in batches:
+        texts = fill(batch.column(1))
+        for begin, end in slices(texts):
+            words, _, _, firsts = word_hashes(*flat(texts.slice(begin, end - begin)))
+            keys = batch.column(0).slice(begin, end - begin)
+            text, columns = _listed(batch.column(2), begin, end)
+            all_seeds, all_pos, *flags = (x.to_numpy(zero_copy_only=False) for x in columns)
+            all_pos = all_pos + firsts[text]
+            stretch, seed, pos, is_open, asked = _ends(words, firsts, all_seeds, all_pos, *flags)
+            doc = np.searchsorted(firsts, pos, side="right") - 1
+            sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(words * powers(len(words)), out=sums[1:])
+
+            def rows(kind, ids, doc, pos, gap, mine, between, around=None):
+                n = len(ids)
+                ints = [np.full(n, kind), pos - firsts[doc], gap]
+                kind, pos, gap = (pa.array(x.astype(np.int32)) for x in ints)
+                if around is None:
+                    held = pa.nulls(n, pa.binary())
+                else:
+                    held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * (4 * width)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
+                return pa.RecordBatch.from_arrays([kind, pa.array(ids), keys.take(pa.array(doc)), pos, gap, pa.array(mine), pa.array(between), held], fields)
+
+            low, high = np.maximum(pos - NEAR, firsts[doc])[is_open], np.minimum(pos + NEAR, firsts[doc + 1])[is_open]
+            near = np.cumsum(np.bincount(low, minlength=len(words) + 1) - np.bincount(high, minlength=len(words) + 1)) > 0
+            kept = np.zeros(len(words) + 1, bool)
+            kept[pos] = True
+            more = ~kept[all_pos]  # inside of stretches: places of passages, not of their sources
+            at = np.r_[pos, all_pos[more]]
+            n = len(at)
+            yield rows(PLACE, np.r_[seed, all_seeds[more]], np.r_[doc, text[more]], at, (np.arange(n) < len(pos)), near[at], np.zeros(n, np.int64))
+
+            apart = pos + doc * NEAR  # places of two texts are never near
+            at, pairs, step = np.arange(len(pos)), [np.zeros((2, 0), np.int64)], 1
+            while len(at := at[at + step < len(pos)]) and len(at := at[apart[at + step] - apart[at] < NEAR]):
+                i = at[asked[at] | asked[at + step]]
+                pairs.append(np.array([i, i + step]))
+                step += 1
+            i, j = np.concatenate(pairs, axis=1)
+            short = (stretch[i] >= 0) & (stretch[i] == stretch[j]) & (pos[j] - pos[i] + SEED < MIN_WORDS)  # no passage by itself
+            i, j = i[~short], j[~short]
+            between = mix((sums[pos[j] + SEED] - sums[pos[i]]) * powers(len(words), True)[pos[i]]).view(np.int64)
+            link = mix(seed[i].view(np.uint64) + mix(seed[j].view(np.uint64))).view(np.int64)
+            mine = is_open[i] | is_open[j]
+            order = np.lexsort((~mine, between, link, doc[i]))
+            at = order[_new(between[order], link[order], doc[i][order])]
+            yield rows(LINK, link[at], doc[i[at]], pos[i[at]], pos[j[at]] - pos[i[at]], mine[at], between[at])
+
+            at = np.flatnonzero(asked)
+            small = (words >> np.uint64(32)).astype(np.uint32)
+            small[small == 0] = 1  # 0 is what lies outside
+            gap = AROUND + SEED
+            padded = np.zeros(len(words) + len(firsts) * gap + AROUND, np.uint32)
+            padded[np.arange(len(words)) + AROUND + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts)) * gap] = small
+            around = np.lib.stride_tricks.sliding_window_view(padded, width)[pos[at] + doc[at] * gap]  # it holds the seed
+            digest = sum(around[:, n].astype(np.uint64) * powers(width)[n] for n in range(width))
+            order = np.lexsort((~is_open[at], digest, doc[at]))
+            at, around = at[order], around[order]
+            fresh = _new(doc[at]) | np.r_[True, (around[1:] != around[:-1]).any(1)][: len(at)]
+            at = at[fresh]
+            n = len(at)
+            yield rows(CONTEXT, seed[at], doc[at], pos[at], np.zeros(n), is_open[at], np.zeros(n, np.int64), around[fresh])
+
+
 def _around(work: Workspace, plain: DataFrame, places: DataFrame) -> DataFrame:
     """AROUNDS of the documents that hold an open seed or share one: places, links and the words around seeds that are open somewhere.
 
@@ -622,61 +713,7 @@ def _around(work: Workspace, plain: DataFrame, places: DataFrame) -> DataFrame:
     marked = places.join(asked, "seed", "left").select("key", F.struct("seed", "pos", "open", F.coalesce("asked", F.lit(False)).alias("asked")).alias("x"))
     lists = marked.groupBy("key").agg(F.collect_list("x").alias("seeds")).where(F.exists("seeds", lambda x: x["asked"]))
     lists = work.save(lists, "lists")
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 4 * (2 * AROUND + SEED)
-        for batch in batches:
-            texts, out = fill(batch.column(1)), []
-            for k, (key, seeds) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-                columns = [x.to_numpy(zero_copy_only=False) for x in seeds.values.flatten()]
-                words = word_hashes(*flat(texts.slice(k, 1)))[0]
-                sums = np.zeros(len(words) + 1, np.uint64)
-                np.cumsum(words * powers(len(words)), out=sums[1:])
-                stretch, seed, pos, is_open, asked = _ends(words, *columns)
-                near = np.zeros(len(words) + 1, np.int64)
-                np.add.at(near, np.maximum(pos[is_open] - NEAR, 0), 1)
-                np.add.at(near, np.minimum(pos[is_open] + NEAR, len(words)), -1)
-                more = ~np.isin(columns[1], pos)  # inside of stretches: places of passages, not of their sources
-                at, kind = np.r_[pos, columns[1][more]], np.r_[seed, columns[0][more]]
-                n = len(at)
-                out.append((np.full(n, PLACE), kind, key, at, (np.arange(n) < len(pos)).astype(np.int64), np.cumsum(near)[at] > 0, np.zeros(n, np.int64), [None] * n))
-
-                n = len(pos)
-                pairs, step = [np.zeros((2, 0), np.int64)], 1
-                while step < n and (close := pos[step:] - pos[:-step] < NEAR).any():
-                    at = np.flatnonzero(close & (asked[step:] | asked[:-step]))
-                    pairs.append(np.array([at, at + step]))
-                    step += 1
-                i, j = np.concatenate(pairs, axis=1)
-                short = (stretch[i] >= 0) & (stretch[i] == stretch[j]) & (pos[j] - pos[i] + SEED < MIN_WORDS)  # no passage by itself
-                i, j = i[~short], j[~short]
-                between = mix((sums[pos[j] + SEED] - sums[pos[i]]) * powers(len(words), True)[pos[i]]).view(np.int64)
-                link = mix(seed[i].view(np.uint64) + mix(seed[j].view(np.uint64))).view(np.int64)
-                mine = is_open[i] | is_open[j]
-                order = np.lexsort((~mine, between, link))
-                at = order[np.r_[True, (link[order[1:]] != link[order[:-1]]) | (between[order[1:]] != between[order[:-1]])]] if len(order) else order
-                n = len(at)
-                out.append((np.full(n, LINK), link[at], key, pos[i[at]], pos[j[at]] - pos[i[at]], mine[at], between[at], [None] * n))
-
-                at = np.flatnonzero(asked)
-                small = (words >> np.uint64(32)).astype(np.uint32)
-                small[small == 0] = 1  # 0 is what lies outside
-                padded = np.r_[np.zeros(AROUND, np.uint32), small, np.zeros(AROUND + SEED, np.uint32)]
-                around = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + SEED)[pos[at]])
-                kinds = around.view(np.dtype((np.void, size))).ravel()  # it holds the seed
-                order = np.lexsort((~is_open[at], np.unique(kinds, return_inverse=True)[1]))
-                first = order[np.r_[True, kinds[order[1:]] != kinds[order[:-1]]]] if len(order) else order
-                at, n = at[first], len(first)
-                raw = np.ascontiguousarray(around[first]).tobytes()
-                out.append((np.full(n, CONTEXT), seed[at], key, pos[at], np.zeros(n, np.int64), is_open[at], np.zeros(n, np.int64), [raw[x : x + size] for x in range(0, len(raw), size)]))
-            if out:
-                columns = [pa.array(np.concatenate([x[c] if c != 2 else np.full(len(x[0]), x[2], np.int64) for x in out])) for c in range(7)]
-                columns.append(pa.array(list(itertools.chain.from_iterable(x[7] for x in out)), pa.binary()))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds)], [x.split()[0] for x in AROUNDS.split(", ")])
-
-    return texts_of(plain, lists.select("key")).join(lists, "key").select("key", "text", "seeds").mapInArrow(run, AROUNDS)
+    return texts_of(plain, lists.select("key")).join(lists, "key").select("key", "text", "seeds").mapInArrow(_arounds, AROUNDS)
 
 
 PAIRS = "key long, source long, d int, r int"
