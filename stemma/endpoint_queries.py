@@ -215,13 +215,15 @@ def alternate_works(spark, sf):
     "union all select null, p_name from part where p_size % 10 = 4 and p_partkey % 2 = 0"
 )
 def catalog_children(spark, sf):
+    """Ids have four digits, so from part 10,000 on several works share one: an entry knows its work by uuid."""
     part = table(spark, sf, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
     own = F.concat(F.lit("T"), F.lpad(k.cast("string"), 4, "0"))
     nodes = part.where((size % 10 == 3) | ((size % 10 == 4) & (k % 2 == 0))).select(
-        F.lit("root").alias("parent"), k.cast("string").alias("n"), F.col("p_name").alias("label"), F.when(size % 10 == 3, own).alias("work"), F.lpad(k.cast("string"), 9, "0").alias("sort")
-    )
-    return catalog.children(nodes, "root", _works(spark, sf)).select("work", "label")
+        F.lit("root").alias("parent"), k.cast("string").alias("n"), F.col("p_name").alias("label"), F.when(size % 10 == 3, own).alias("work"), F.lpad(k.cast("string"), 9, "0").alias("sort"),
+        F.when(size % 10 == 3, F.md5(k.cast("string"))).alias("uuid"),
+    )
+    return catalog.children(nodes, "root", _works(spark, sf), "uuid", "uuid").select("work", "label")
 
 
 LINES = (

@@ -69,11 +69,18 @@ def look_up(q: str, catalog: DataFrame, works: DataFrame, toc: DataFrame) -> Dat
     )
 
 
-def children(catalog: DataFrame, parent: str, works: DataFrame) -> DataFrame:
-    """Entries below a node in order; a work's label is made from its number, title and fascicles."""
-    rows = catalog.where(F.col("parent") == parent).join(works.select(F.col("n").alias("_n"), "title", "juan", "byline"), F.col("work") == F.col("_n"), "left")
-    made = F.concat_ws(" ", "work", F.concat(F.col("title"), F.when(F.col("juan") > 0, F.concat(F.lit(" ("), F.col("juan").cast("string"), F.lit("卷)"))).otherwise("")), F.nullif("byline", F.lit("")))
-    return rows.withColumn("label", F.when(F.col("_n").isNotNull(), made).otherwise(F.col("label"))).drop("_n", "title", "juan", "byline").orderBy("sort", "n")
+def children(catalog: DataFrame, parent: str, works: DataFrame, node_key: str = "work", work_key: str = "n") -> DataFrame:
+    """Entries below a node in order, one row each; a work's label is made from its number, title and fascicles.
+
+    An entry's work is found by node_key and work_key, where ids name several works by a key of more than the id; of works
+    that share a key the first one by title counts.
+    """
+    made_of = F.struct("title", "juan", "byline")
+    known = works.where(F.col(work_key).isNotNull()).groupBy(F.col(work_key).alias("_n")).agg(F.min(made_of).alias("_w"))
+    rows = catalog.where(F.col("parent") == parent).join(known, F.col(node_key) == F.col("_n"), "left")
+    juan = F.col("_w.juan")
+    made = F.concat_ws(" ", "work", F.concat(F.col("_w.title"), F.when(juan > 0, F.concat(F.lit(" ("), juan.cast("string"), F.lit("卷)"))).otherwise("")), F.nullif(F.col("_w.byline"), F.lit("")))
+    return rows.withColumn("label", F.when(F.col("_n").isNotNull(), made).otherwise(F.col("label"))).drop("_n", "_w").orderBy("sort", "n")
 
 
 def known_works(df: DataFrame, column: str, works: DataFrame, name: str = "work") -> DataFrame:

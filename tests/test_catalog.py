@@ -3,8 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import stemma.endpoint_queries  # noqa: F401
 from stemma.operators import catalog as C, relations as R
 from stemma.plans.qlang import QueryError
+from stemma.queries import QUERIES
 
 WORKS = [
     ("T0001", "T01", "長阿含經", "佛陀耶舍", "佛陀耶舍(A000001)", "後秦", 384, 417, None, "u1", 22, "譯"),
@@ -43,6 +45,18 @@ def test_look_up_and_children(spark, works):
     assert [(r.alt, r.linehead) for r in C.alternates(works).orderBy("place").collect()] == [("T0001", None), ("T0002", "T01n0002_p0001a01")]
 
 
+def test_children_of_works_that_share_an_id(spark, works, tmp_path):
+    catalog = spark.createDataFrame([("root", "a", None, "T0001", "1", "u1"), ("root", "b", None, "T0001", "2", "u4"), ("root", "c", "none", "T9", "3", None)], "parent string, n string, label string, work string, sort string, uuid string")
+    several = works.unionByName(works.where("n = 'T0001'").withColumns({"title": F.lit("起世經"), "juan": F.lit(10), "uuid": F.lit("u4")}))
+    first = "T0001 起世經 (10卷) 譯"
+    assert [r.label for r in C.children(catalog, "root", several).collect()] == [first, first, "none"]
+    assert [r.label for r in C.children(catalog, "root", several, "uuid", "uuid").collect()] == ["T0001 長阿含經 (22卷) 譯", first, "none"]
+    rows = [(k, f"name {k}", f"Brand#{k}", "SMALL", 13) for k in (1234, 12340, 12341)]  # one id
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in QUERIES["catalog_children"](spark, str(tmp_path)).select("work", "label").collect()]
+    assert sorted(got) == sorted(("T1234", f"T1234 name {k} (13卷) Brand#{k}") for k in (1234, 12340, 12341))
+
+
 def test_resolve(spark):
     lines = spark.createDataFrame(
         [("T30", "T1579", 1, "0279", "a", "07", "T30n1579_p0279a07", 5), ("X01", "X0001", 2, "0001", "a", "01", "X01n0001_p0001a01", 9), ("T01", "T0001", 3, "0010", "a", "01", "T01n0001_p0010a01", 1)],
