@@ -117,10 +117,11 @@ def resolve(citations: DataFrame, column: str, lines: DataFrame, abbreviations:
         mapped = as_of(asked, known, ["_v"], "_p", "lb1", ["_x"], forward=True).select("_id", "_x")
         rows = rows.join(mapped, "_id", "left")
         rows = rows.withColumns({"_vol": F.coalesce(F.substring_index("_x", ".", 1), "_vol"), "_lb": F.coalesce(F.substring_index("_x", ".", -1), "_lb")}).drop("_x")
-    # Two joins by equality: a place is one line of a volume, a fascicle is asked for by its work and number.
+    # Two joins by equality: a place of a volume, a fascicle by its work and number. Both are one row, that of their first line.
     at = lines.select(F.col("vol").alias("_lv"), F.concat("page", "col", "line").alias("_ll"), F.col("linehead").alias("_lh"), F.col("juan").alias("_lj"), "ser_no", F.col("work").alias("_lw"))
     asked = rows.select("_id", F.col("_vol"), F.col("_lb"), (F.col("_c.kind") == "juan").alias("_by_juan"), F.col("_c.juan").cast("int").alias("_juan"), work_number(F.col("_c.work")).alias("_work"))
-    by_line = asked.where("not _by_juan").join(at, (F.col("_lv") == F.col("_vol")) & (F.col("_ll") == F.col("_lb")))
+    in_place = at.groupBy("_lv", "_ll").agg(F.min_by(F.struct("_lh", "_lj", "ser_no"), F.when(F.col("_lh").isNotNull(), F.struct("ser_no", "_lh"))).alias("_f")).select("_lv", "_ll", "_f.*")
+    by_line = asked.where("not _by_juan").join(in_place, (F.col("_lv") == F.col("_vol")) & (F.col("_ll") == F.col("_lb")))
     firsts = at.groupBy("_lv", "_lj", "_lw").agg(F.min_by(F.struct("_lh", "ser_no"), "ser_no").alias("_f"))  # a fascicle's lines are one row
     firsts = firsts.select("_lv", "_lj", F.col("_f._lh").alias("_lh"), F.col("_f.ser_no").alias("ser_no"), "_lw")
     by_juan = asked.where("_by_juan").join(firsts, (F.col("_lv") == F.col("_vol")) & (F.col("_lj") == F.col("_juan")) & F.endswith("_lw", F.col("_work")))

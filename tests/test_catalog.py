@@ -86,6 +86,25 @@ def test_resolve_to_the_nearest_line(spark, monkeypatch, most):
     assert got["T02, no. 2, p. 1a1"] is None and got["nothing"] is None
 
 
+def test_many_lines_in_one_place(spark):
+    """A place that 400 lines have and 400 citations name makes 400 rows, not a row for each pair."""
+    lines = spark.range(400).selectExpr("'T01' vol", "'T0001' work", "cast(id % 5 as int) juan", "'0001' page", "'a' col", "'01' line", "if(id < 10, null, concat('T01n', 1000 - id)) linehead", "cast(id % 100 as int) ser_no")
+    cites = spark.range(400).selectExpr("id", "'T01, no. 1, p. 1a1' s")
+    found = C.resolve(cites, "s", lines)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    got = found.collect()
+    assert len(got) == 400 and {(r.linehead, r.juan) for r in got} == {("T01n700", 0)}  # line 300; of those with number 0 the first by its name
+    made = []
+    for i in range(before, store.executionsList().size()):
+        run = store.executionsList().apply(i).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())] if "Join" in node.name() else []
+            made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    assert made and max(made) <= 400
+
+
 def test_known_works(spark):
     works = spark.createDataFrame([("T1969A",), ("T0001",), ("T0150A",), ("T0150",)], "n string")
     asked = spark.createDataFrame([("T1969",), ("T0001",), ("T0150",), ("T0150A",), ("T9",), (None,)], "id string")
