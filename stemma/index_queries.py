@@ -33,10 +33,13 @@ def index_of(spark: SparkSession, sf: str) -> phrase_index.TextIndex:
     "select lang, count(distinct doc_id) docs, count(distinct pair) pairs, count(*) n_places from g group by 1"
 )
 def text_index(spark, sf) -> DataFrame:
-    rows = built(spark, sf).rows().groupBy(F.col("canon").alias("lang"), "key").agg(F.collect_set("pair").alias("p"), F.sum(F.size("places")).alias("n"))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n_places"))
-    pairs = rows.select("lang", F.explode("p").alias("pair")).distinct().groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("pairs"))
-    return counted.join(pairs, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "docs", "pairs", "n_places")
+    """Counted by the stored blocks: a text's last character is paired with END, so that is one pair of each text."""
+    rows = built(spark, sf).blocks().withColumnRenamed("canon", "lang")
+    texts = rows.where(F.endswith("pair", F.lit(phrase_index.END))).select("lang", F.explode("keys").alias("key"))
+    counted = texts.groupBy(F.col("lang").alias("_lang")).agg(F.countDistinct("key").alias("docs"))
+    places = F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x)
+    each = rows.groupBy("lang", "pair").agg(F.sum(places).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("n_places"))
+    return each.join(counted, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "docs", "pairs", "n_places")
 
 
 @query(SQL["phrase_search"])

@@ -4,27 +4,32 @@ The index holds, for each field of each text, every pair of neighbouring charact
 last character is paired with END). A phrase is covered by pairs two characters apart, the last one by the pair that
 ends it; it stands where all of them do, shifted by their distance. So places are exact, and no text is read for them.
 
-    <path>/postings/canon=…/generation=…/field=…/bucket=…   pair, key, places; sorted by pair
-    <path>/texts/canon=…/generation=…                       all columns of the texts; sorted by key
+    <path>/postings/canon=…/generation=…/field=…/bucket=…   pair, keys, sizes, gaps; sorted by pair
+    <path>/texts/canon=…/generation=…/part=…                all columns of the texts; sorted by key
     <path>/manifest                                         the live generation of each canon, and the shape of the index
 
 A pair's hash is its bucket, a folder, so that a query reads its pairs' buckets alone, and of their files the row groups
-of these pairs. A pair's places in one text are one row: pairs of common letters are spread over texts, and
-rebalancing deals the rows of a large bucket to several files. A canon is replaced by writing a new generation of
-it; readers see it when the manifest is swapped, and the old one is deleted after that.
+of these pairs. A pair's places in a block of texts of one canon, some SLICE characters, are one row: the texts' keys, the
+number of places in each, and the places as gaps in bytes of seven bits. Pairs of common letters are spread over blocks,
+and rebalancing deals the rows of a large bucket to several files.
+
+Texts are written first, in PARTS by their order, and postings made of a few parts at a time, so that what is shuffled at
+once is a share of the whole; it is deleted with each write. A canon is replaced by writing a new generation of it;
+readers see it when the manifest is swapped, and the old one is deleted after that.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.arrays import bound
 from ..plans import qlang
@@ -35,11 +40,42 @@ from . import endpoints, kwic, search
 END = "\U0010ffff"  # no character
 BUCKETS = 64
 SLICE = 1 << 20
+PARTS = 8
+#: Characters of which postings are made at once, or a share of 1 / PARTS of all, if that is more.
+ROUND = 1 << 25
 _SHIFT = np.uint64(21)
 
 
-def _pairs_of(texts: pa.Array) -> tuple[np.ndarray, list[str], pa.ListArray]:
-    """(row of the text, pair, places) of each distinct pair of each text, by rows."""
+def _packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each) of positive numbers: seven bits a byte, lowest first, all but the last byte marked."""
+    sizes = 1 + sum((numbers >> (7 * k) > 0).astype(np.int64) for k in range(1, 5))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        held = sizes > k
+        out[starts[held] + k] = ((numbers[held] >> (7 * k)) & 127) | np.where(sizes[held] > k + 1, 128, 0)
+    return out, sizes
+
+
+def _unpacked(coded: np.ndarray) -> np.ndarray:
+    if not len(coded):
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, coded[:-1] < 128])
+    at = np.arange(len(coded)) - np.repeat(starts, np.diff(np.r_[starts, len(coded)]))
+    return np.add.reduceat((coded & 127).astype(np.int64) << (7 * at), starts)
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows of about SLICE in all."""
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
+        yield start, stop
+        start = stop
+
+
+def _pairs_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of each distinct pair: itself, where its texts begin, then these texts (rows), their numbers of places, and its gaps."""
     whole = [t + END for t in texts.to_pylist()]
     points = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.array([len(t) for t in whole], np.int64)
@@ -48,34 +84,74 @@ def _pairs_of(texts: pa.Array) -> tuple[np.ndarray, list[str], pa.ListArray]:
     first = np.ones(len(points), bool)
     first[starts + sizes - 1] = False  # END begins no pair
     at = np.flatnonzero(first)
-    codes = (owner[at].astype(np.uint64) << np.uint64(42)) | (points[at] << _SHIFT) | points[at + 1]
-    order = np.argsort(codes, kind="stable")
+    codes = (points[at] << _SHIFT) | points[at + 1]
+    order = np.argsort(codes, kind="stable")  # by pairs, their texts and places
     codes, at = codes[order], at[order]
-    heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-    places = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(codes)].astype(np.int32)), pa.array((at - starts[owner[at]] + 1).astype(np.int32)))
-    both = np.stack([(codes[heads] >> _SHIFT) & np.uint64((1 << 21) - 1), codes[heads] & np.uint64((1 << 21) - 1)], axis=1).astype("<u4")
+    owner, places = owner[at], at - starts[owner[at]] + 1
+    new_pair = np.r_[True, codes[1:] != codes[:-1]][: len(codes)]
+    new_text = new_pair | np.r_[True, owner[1:] != owner[:-1]][: len(codes)]
+    coded, widths = _packed(np.where(new_text, places, places - np.r_[0, places[:-1]][: len(places)]))
+    heads, texts_at = np.flatnonzero(new_pair), np.flatnonzero(new_text)
+    both = np.stack([codes[heads] >> _SHIFT, codes[heads] & np.uint64((1 << 21) - 1)], axis=1).astype("<u4")
     said = both.tobytes().decode("utf-32-le")
-    return owner[at[heads]] if len(heads) else heads, [said[i : i + 2] for i in range(0, len(said), 2)], places
+    cuts = np.r_[0, np.cumsum(widths)][np.r_[heads, len(codes)]].astype(np.int32)
+    gaps = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(cuts), pa.py_buffer(coded)])
+    return [said[i : i + 2] for i in range(0, len(said), 2)], np.searchsorted(texts_at, np.r_[heads, len(codes)]), owner[texts_at], np.diff(np.r_[texts_at, len(codes)]), gaps
 
 
-def _postings(docs: DataFrame, key: str, fields: Sequence[str], canon: Column) -> DataFrame:
-    rows = docs.select(canon.alias("canon"), F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+def _postings(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Of docs: canon, key and the fields."""
+    names = ["canon", "field", "pair", "keys", "sizes", "gaps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, field in enumerate(fields):
-                texts = pc.fill_null(batch.column(2 + i).cast(pa.string()), "")
-                ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-                start = 0
-                while start < batch.num_rows:  # by about SLICE characters
-                    stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, side="right")))
-                    owner, pair, places = _pairs_of(texts.slice(start, stop - start))
-                    who = pa.array(owner + start)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(who), pa.array([field] * len(pair), pa.string()), pa.array(pair, pa.string()), batch.column(1).take(who), places], ["canon", "field", "pair", "key", "places"])
-                    start = stop
+            canons = pc.dictionary_encode(batch.column(0), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            for mine in (np.flatnonzero(canons == c) for c in np.unique(canons)):
+                canon, key = batch.column(0)[int(mine[0])].as_py(), batch.column(1).take(pa.array(mine))
+                for i, field in enumerate(fields):
+                    texts = pc.fill_null(batch.column(2 + i).cast(pa.string()), "").take(pa.array(mine))
+                    for start, stop in _slices(pc.utf8_length(texts).to_numpy(zero_copy_only=False)):
+                        pairs, heads, who, sizes, gaps = _pairs_of(texts.slice(start, stop - start))
+                        listed = lambda values: pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), values)  # noqa: B023, E731
+                        columns = [pa.array([canon] * len(pairs), pa.string()), pa.array([field] * len(pairs), pa.string()), pa.array(pairs, pa.string())]
+                        yield pa.RecordBatch.from_arrays([*columns, listed(key.take(pa.array(who + start))), listed(pa.array(sizes.astype(np.int32))), gaps], names)
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"canon string, field string, pair string, key {kind}, places array<int>")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.mapInArrow(run, f"canon string, field string, pair string, keys array<{kind}>, sizes array<int>, gaps binary")
+
+
+def _spread(blocks: DataFrame, rest: Sequence[str] = ()) -> DataFrame:
+    """pair, key, places, and the rest, of pair, keys, sizes, gaps and the rest: a row for each text."""
+    names = ["pair", "key", "places", *rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in _slices(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)):
+                rows = batch.slice(start, stop - start)
+                counts = rows.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = pa.array(np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False)))
+                sums = np.cumsum(gaps := _unpacked(np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8)))
+                ends = np.cumsum(counts)
+                first = ends - counts
+                places = (sums - np.repeat(sums[first] - gaps[first], counts)).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(places))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(owner), rows.column(1).flatten(), listed, *[rows.column(4 + i).take(owner) for i in range(len(rest))]], names)
+
+    kind = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    made = ["pair string", f"key {blocks.schema['keys'].dataType.elementType.simpleString()}", "places array<int>", *[f"{c} {kind[c]}" for c in rest]]
+    return blocks.select("pair", "keys", "sizes", "gaps", *rest).mapInArrow(run, ", ".join(made))
+
+
+@contextlib.contextmanager
+def _dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a query inside has shuffled is deleted when it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _bucket(pair: Column, buckets: int) -> Column:
@@ -94,13 +170,22 @@ def build(docs: DataFrame, path: str, key: str, fields: Sequence[str], canon: st
         raise ValueError("the index has another shape")
     generation = uuid.uuid4().hex[:12]
     name = (F.col(canon).cast("string") if canon else F.lit("all")).alias("canon")
-    found = _postings(docs, key, fields, name).withColumn("generation", F.lit(generation)).withColumn("bucket", _bucket(F.col("pair"), buckets))
-    where = ["canon", "generation", "field", "bucket"]
-    found.hint("rebalance", *where).sortWithinPartitions(*where, "pair", "key").write.mode("append").partitionBy(*where).parquet(f"{path}/postings")
-    columns = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"), name).withColumn("generation", F.lit(generation))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns.repartitionByRange(n, "canon", "_key").sortWithinPartitions("canon", "_key").drop("_key").write.mode("append").option("parquet.block.size", 4 << 20).partitionBy("canon", "generation").parquet(f"{path}/texts")
-    names = [r[0] for r in docs.select(name).distinct().collect()]  # a folder each
+    columns = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"), name).withColumn("generation", F.lit(generation))
+    part = F.least(F.floor(F.spark_partition_id() * PARTS / n), F.lit(PARTS - 1)).cast("int")
+    chars, size = Observation(), sum((F.coalesce(F.length(F.col("row")[f].cast("string")), F.lit(0)) for f in fields), F.lit(0).cast("long"))
+    dealt = columns.repartitionByRange(n, "canon", "_key").withColumn("part", part).observe(chars, F.sum(size).alias("n")).sortWithinPartitions("canon", "_key").drop("_key")
+    with _dropped_shuffles(spark):
+        names = [r[0] for r in docs.select(name).distinct().collect()]  # a folder each
+        dealt.write.mode("append").option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy("canon", "generation", "part").parquet(f"{path}/texts")
+        kept = spark.read.schema(T.StructType([*dealt.schema])).parquet(f"{path}/texts").where(F.col("generation") == generation)
+        where = ["canon", "generation", "field", "bucket"]
+        rounds = min(PARTS, max(1, -(-(chars.get["n"] or 0) // ROUND)))
+        for i in range(rounds):
+            texts = kept.where(F.col("part").isin([p for p in range(PARTS) if p * rounds // PARTS == i])).select("canon", F.col("row")[key].alias("key"), *[F.col("row")[f].alias(f"f{k}") for k, f in enumerate(fields)])
+            found = _postings(texts, fields).withColumn("generation", F.lit(generation)).withColumn("bucket", _bucket(F.col("pair"), buckets))
+            found = found.hint("rebalance", *where).sortWithinPartitions(*where, "pair", F.col("keys")[0])
+            found.write.mode("append").option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy(*where).parquet(f"{path}/postings")
     before = dict(map(tuple, live["canons"])) if live else {}
     gone = [(c, before[c]) for c in names if c in before]
     sinks_manifest = shape | {"canons": sorted((before | {c: generation for c in names}).items(), key=lambda x: (x[0] is None, x[0] or ""))}
@@ -163,7 +248,7 @@ class TextIndex:
         row = T.StructType.fromJson(shape["schema"])
         kind = row[self.key].dataType
         parts = T.StructType().add("canon", "string").add("generation", "string")
-        postings = T.StructType().add("pair", "string").add("key", kind).add("places", T.ArrayType(T.IntegerType()))
+        postings = T.StructType().add("pair", "string").add("keys", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType())).add("gaps", "binary")
         postings = T.StructType([*postings, *parts]).add("field", "string").add("bucket", "integer")
         self._postings = spark.read.schema(postings).parquet(f"{path}/postings")
         self._texts = spark.read.schema(T.StructType([T.StructField("row", row), *parts])).parquet(f"{path}/texts")
@@ -176,9 +261,13 @@ class TextIndex:
     def texts(self, canons: Sequence[str] | None = None) -> DataFrame:
         return self._texts.where(self._live(canons)).select("row.*")
 
+    def blocks(self) -> DataFrame:
+        """Every live row as it is stored: pair, keys, sizes, gaps, canon, field."""
+        return self._postings.where(self._live(None)).select("pair", "keys", "sizes", "gaps", "canon", "field")
+
     def rows(self) -> DataFrame:
-        """Every live row: pair, key, places, canon, field."""
-        return self._postings.where(self._live(None)).select("pair", "key", "places", "canon", "field")
+        """pair, key, places, canon, field of every text's pairs."""
+        return _spread(self.blocks(), ["canon", "field"])
 
     def read(self, key, offset: int, size: int, field: str | None = None) -> DataFrame:
         """One text's characters from offset (0 is the first) on."""
@@ -193,7 +282,7 @@ class TextIndex:
         if not singles:
             numbers = self.spark.range(1).select([_bucket(F.lit(p), self.buckets) for p in pairs]).first()
             rows = rows.where(F.col("bucket").isin(sorted(set(numbers))))
-        return rows.where(wanted).select("key", "pair", "places")
+        return _spread(rows.where(wanted)).select("key", "pair", "places")
 
     def places(self, phrases: Sequence[str], field: str | None = None, canons: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, Column]]:
         """(key and one column for each phrase, the columns: places from 1 on, rising) of texts that hold a pair of them."""
