@@ -235,6 +235,18 @@ class _OfPlaces:
         return F.aggregate(at, start, step, lambda a: a["n"])
 
 
+def _shown(parts: Sequence, of: _OfPlaces) -> Column:
+    """The number of places that endpoints.concordance() shows for an AND's parts, without those of its NEAR chains."""
+    out, plain = F.lit(0), {}
+    for part in parts:
+        if isinstance(part, qlang.Exclude):
+            longer = shifted(of.places[part.longer], -part.longer.index(part.phrase))
+            out = out + F.size(F.array_except(of.places[part.phrase], longer))
+        elif not isinstance(part, qlang.Near):
+            plain |= dict.fromkeys(qlang.phrases(part))
+    return sum((F.size(of.places[q]) for q in plain), out).cast("long")
+
+
 class TextIndex:
     """A view of the index as it was when opened: files are listed once for all queries through it."""
 
@@ -302,6 +314,10 @@ class TextIndex:
     def match(self, query: str, field: str | None = None, canons: Sequence[str] | None = None) -> DataFrame:
         """key and term_hits of the texts that match, as search.match() gives them."""
         tree = qlang.parse(query)
+        return self._counted(tree, lambda of: qlang.hit_count(tree, of), qlang.near_parts(tree), field, canons)
+
+    def _counted(self, tree, count: Callable[[_OfPlaces], Column], counted: Sequence[qlang.Near], field: str | None, canons: Sequence[str] | None) -> DataFrame:
+        """key and term_hits of the texts that match: the count of what they hold, and the tuples of the chains in counted."""
         nears = qlang.near_parts(tree)
         found, places = self.places(qlang.mentioned(tree), field, canons)
         if qlang.matches_nothing_held(tree):  # texts without any of the pairs have no row
@@ -309,11 +325,13 @@ class TextIndex:
             none = F.array().cast("array<int>")
             found = every.join(found, F.col("_every").eqNullSafe(F.col(self.key)), "left").select(F.col("_every").alias(self.key), *[F.coalesce(c, none).alias(n) for c, n in ((p, f"_p{i}") for i, p in enumerate(places.values()))])
         of = _OfPlaces(places)
-        rows = found.where(qlang.predicate(tree, of)).withColumn("term_hits", qlang.hit_count(tree, of))
+        held = found.where(qlang.predicate(tree, of))
+        rows = held.select(self.key, count(of).alias("term_hits"))
         for near in nears:
-            tuples = kwic.drop_contained(self._chain(rows, places, near), near.terms)
-            counted = tuples.groupBy(F.col(self.key).alias("_key")).agg(F.count(F.lit(1)).alias("_tuples"))
-            rows = rows.join(counted, F.col(self.key) == F.col("_key")).withColumn("term_hits", F.col("term_hits") + F.col("_tuples")).drop("_key", "_tuples")
+            tuples = kwic.drop_contained(self._chain(held, places, near), near.terms)
+            each = tuples.groupBy(F.col(self.key).alias("_key")).agg(F.count(F.lit(1)).alias("_tuples"))
+            rows = rows.join(each, F.col(self.key) == F.col("_key")).drop("_key")
+            rows = rows.withColumn("term_hits", F.col("term_hits") + (F.col("_tuples") if near in counted else F.lit(0))).drop("_tuples")
         return rows.select(self.key, "term_hits")
 
     def _chain(self, rows: DataFrame, places: Mapping[str, Column], near: qlang.Near) -> DataFrame:
@@ -347,23 +365,32 @@ class TextIndex:
     def all_in_one(
         self, query: str, columns: Sequence[str] = (), order: str = "", tie: Sequence[str] = (), start: int = 0, rows: int = 20, around: int = 20, facets: Sequence[str] = (), field: str | None = None, canons: Sequence[str] | None = None
     ) -> endpoints.Answer:
-        """As endpoints.all_in_one(): the page's texts alone are read, by their keys; for NEAR and exclusion those that match."""
-        found = self.match(query, field, canons)
-        wanted = list(dict.fromkeys([*columns, *facets]))
-        found = cut(self.with_attributes(found, wanted, canons) if wanted else found)  # read for the page, the totals and each facet
+        """As endpoints.all_in_one(): the page's texts alone are read, by their keys; for NEAR and exclusion, too, whose
+        places are counted in the index.
+        """
         tree = qlang.parse(query)
         parts = tree.parts if isinstance(tree, qlang.And) else (tree,)
-        if any(isinstance(p, (qlang.Near, qlang.Exclude)) for p in parts):
-            texts = self.texts(canons).join(found.select(F.col(self.key).alias("_key")), F.col(self.key).eqNullSafe(F.col("_key")), "left_semi")
-            return endpoints.all_in_one(texts, self.key, field or self.fields[0], query, order, tie, start, rows, around, facets)
+        nears = [p for p in parts if isinstance(p, qlang.Near)]
+        settled = nears or any(isinstance(p, qlang.Exclude) for p in parts)
+        if settled:
+            found = self._counted(tree, lambda of: _shown(parts, of), nears, field, canons).where((F.col("term_hits") > 0) & F.col(self.key).isNotNull())
+        else:
+            found = self.match(query, field, canons)
+        by = [x.strip().rstrip("+-") for x in order.split(",")]
+        wanted = [c for c in dict.fromkeys([*columns, *facets, *by, *tie]) if c not in ("", "term_hits", self.key)]
+        found = cut(self.with_attributes(found, wanted, canons) if wanted else found)  # read for the page, the totals and each facet
+        totals, bundle = search.totals(found), search.facet_bundle(found, facets) if facets else None
         ordered = [*tie, self.key]
         page = search.page(search.order(found, order, ordered), start, rows)
         keys = [r[0] for r in page.select(self.key).collect()]  # `rows` of them at most
+        if settled:
+            texts = self.texts(canons).where(F.col(self.key).isin(keys))
+            return endpoints.Answer(endpoints.all_in_one(texts, self.key, field or self.fields[0], query, order, tie, 0, rows, around).results, totals, bundle)
         places = self.occurrences(qlang.phrases(tree), around, field, canons, keys)
         shown = F.struct("pos", "keyword", "left", F.concat(F.lit("<mark>"), "keyword", F.lit("</mark>")).alias("mark"), "right")
         lists = places.groupBy(F.col(self.key).alias("_key")).agg(F.array_sort(F.collect_list(shown)).alias("kwics"))
         results = found.where(F.col(self.key).isin(keys)).join(lists, F.col(self.key) == F.col("_key")).drop("_key")
-        return endpoints.Answer(search.order(results, order, ordered), search.totals(found), search.facet_bundle(found, facets) if facets else None)
+        return endpoints.Answer(search.order(results, order, ordered), totals, bundle)
 
     def spelling_hits(self, spellings: Sequence[str], field: str | None = None, canons: Sequence[str] | None = None) -> DataFrame:
         """spelling, hits of those that occur, as expand.spelling_hits() gives them."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import phrase_index as P, search as S
+from stemma.operators import endpoints as E, phrase_index as P, search as S
 
 rng = random.Random(3)
 WORDS = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
@@ -53,3 +53,17 @@ def test_numbers_in_bytes():
     coded, sizes = P._packed(numbers)
     assert sizes.tolist() == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 1] and P._unpacked(coded).tolist() == numbers.tolist()
     assert P._packed(numbers[:0])[0].tolist() == [] and P._unpacked(coded[:0]).tolist() == []
+
+
+def test_settled_answers_read_the_texts_of_a_page(spark, docs, tmp_path, monkeypatch):
+    """For NEAR and exclusion all matching texts were read; now those of the page, and the answers are those of a scan."""
+    index = P.build(docs, f"file://{tmp_path}/i", "n", ["content"], "canon", buckets=4)
+    scan, read = E.all_in_one, []
+    monkeypatch.setattr(P.endpoints, "all_in_one", lambda texts, *more: read.append(texts.count()) or scan(texts, *more))
+    whole = docs.fillna("", ["content"])
+    for q in ('"e" NEAR/3 "st"', '"e" NEAR/3 "e"', '"st" -"sto"', '"st" -"ast" "on" ("e" | "q") !"zz"', '"e" NEAR/3 "st" "ee" -"eet" "e" NEAR/3 "st"', '"zz" NEAR/2 "e"'):
+        one = index.all_in_one(q, order="canon-,term_hits", start=2, rows=5, around=4, facets=["canon"])
+        two = scan(whole, "n", "content", q, order="canon-,term_hits", start=2, rows=5, around=4, facets=["canon"])
+        assert [tuple(r) for r in one.results.select("n", "term_hits", "canon", "kwics").collect()] == [tuple(r) for r in two.results.select("n", "term_hits", "canon", "kwics").collect()]
+        assert sorted(map(tuple, one.total.collect())) == sorted(map(tuple, two.total.collect())) and sorted(map(tuple, one.facets.collect())) == sorted(map(tuple, two.facets.collect()))
+    assert len(read) == 6 and max(read) == 5
