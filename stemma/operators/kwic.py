@@ -102,8 +102,11 @@ def chain(places: Callable[[str, str], DataFrame], key: str, terms: Sequence[str
     for i, (one, two, gap) in enumerate(zip(terms, terms[1:], gaps), start=1):
         a, b = F.col(f"p{i}"), F.col(f"p{i + 1}")
         width = gap + max(len(one), len(two))
-        left = out.withColumn("_bucket", F.explode(F.array(*[(F.floor(a / width) + d) for d in (-1, 0, 1)])))
-        right = places(two, f"p{i + 1}").withColumn("_bucket", F.floor(b / width))
+        own = lambda at: F.floor(at / width)  # noqa: B023, E731
+        around = lambda at: F.explode(F.array(*[own(at) + d for d in (-1, 0, 1)]))  # noqa: B023, E731
+        few = len(two) > len(one)  # the longer term is the rarer one: its places go to three buckets
+        left = out.withColumn("_bucket", own(a) if few else around(a))
+        right = places(two, f"p{i + 1}").withColumn("_bucket", around(b) if few else own(b))
         apart = F.when(b >= a, b - a - len(one)).otherwise(a - b - len(two))
         out = left.join(right, [key, "_bucket"]).where((apart <= gap) & (a != b if one == two else F.lit(True))).drop("_bucket")
     return out

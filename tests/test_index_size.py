@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import endpoints as E, phrase_index as P, search as S
+from stemma.operators import endpoints as E, kwic, phrase_index as P, search as S
 
 rng = random.Random(3)
 WORDS = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
@@ -67,3 +67,24 @@ def test_settled_answers_read_the_texts_of_a_page(spark, docs, tmp_path, monkeyp
         assert [tuple(r) for r in one.results.select("n", "term_hits", "canon", "kwics").collect()] == [tuple(r) for r in two.results.select("n", "term_hits", "canon", "kwics").collect()]
         assert sorted(map(tuple, one.total.collect())) == sorted(map(tuple, two.total.collect())) and sorted(map(tuple, one.facets.collect())) == sorted(map(tuple, two.facets.collect()))
     assert len(read) == 6 and max(read) == 5
+
+
+@pytest.mark.parametrize("terms", [("the", "in the"), ("in the", "the")])
+def test_the_rarer_term_of_a_chain_goes_to_three_buckets(spark, terms):
+    text = "the " * 500 + "in the " * 20
+    places = lambda t, name: spark.createDataFrame([(1, [i + 1 for i in range(len(text)) if text.startswith(t, i)])], "k long, x array<int>").select("k", F.explode("x").alias(name))
+    found = kwic.chain(places, "k", terms, [7])
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    got = sorted((r.p1, r.p2) for r in found.collect())
+    at = {t: [i + 1 for i in range(len(text)) if text.startswith(t, i)] for t in terms}
+    near = lambda a, b: (b - a - len(terms[0]) if b >= a else a - b - len(terms[1])) <= 7
+    assert got == sorted((a, b) for a in at[terms[0]] for b in at[terms[1]] if near(a, b))
+    most = 0
+    for i in range(before, store.executionsList().size()):
+        run = store.executionsList().apply(i).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())] if node.name() == "Generate" else []
+            most = max([most, *[int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]])
+    assert 500 <= most <= 520  # not three times as many
